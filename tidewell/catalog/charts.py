@@ -44,9 +44,9 @@ st AS (SELECT *, lo - 4 * bw AS low, (hi + 4 * bw - (lo - 4 * bw)) / {m} AS step
 ps AS (SELECT kd.g, (x - low) / step AS p FROM kd JOIN st ON kd.g = st.g),
 ms AS (SELECT g, cell, sum(mass) AS mass FROM (SELECT g, floor(p) AS cell, 1 - (p - floor(p)) AS mass FROM ps
        UNION ALL SELECT g, floor(p) + 1, p - floor(p) FROM ps) GROUP BY 1, 2),
-pt AS (SELECT st.*, point, lo + point * (hi - lo) / {m} AS at FROM st, range({points}) AS r(point)),
-pp AS (SELECT *, floor((at - low) / step) AS near, (at - low) / step - floor((at - low) / step) AS wt FROM pt),
-dn AS (SELECT pp.g, point, any_value(at) AS x, sum(mass * ((1 - wt) * exp(-0.5 * pow((near - cell) * step / bw, 2))
+pt AS (SELECT st.*, point, lo + point * (hi - lo) / {m} AS xat FROM st, range({points}) AS r(point)),
+pp AS (SELECT *, floor((xat - low) / step) AS near, (xat - low) / step - floor((xat - low) / step) AS wt FROM pt),
+dn AS (SELECT pp.g, point, any_value(xat) AS x, sum(mass * ((1 - wt) * exp(-0.5 * pow((near - cell) * step / bw, 2))
        + wt * exp(-0.5 * pow((near + 1 - cell) * step / bw, 2)))) / any_value(n * bw * sqrt(2 * pi())) AS density
        FROM pp JOIN ms ON pp.g = ms.g GROUP BY 1, 2)
 --

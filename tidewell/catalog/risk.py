@@ -96,7 +96,7 @@ mean AS (SELECT coin_id, avg(ra) AS mu FROM ret GROUP BY 1),
 mom AS (SELECT coin_id, any_value(mu) AS mu, avg(pow(ra - mu, 2)) AS m2, avg(pow(ra - mu, 3)) AS m3,
         avg(pow(ra - mu, 4)) AS m4, sqrt(avg(pow(least(ra, 0), 2))) AS downside_deviation,
         quantile_cont(ra, 0.05) AS historical_var FROM ret JOIN mean USING (coin_id) GROUP BY 1),
-cf AS (SELECT *, m3 / pow(m2, 1.5) AS s, m4 / (m2 * m2) - 3 AS k, -1.6448536269514726 AS z FROM mom),
+cf AS (SELECT *, m3 / pow(m2, 1.5) AS s, m4 / (m2 * m2) - 3 AS k, CAST(-1.6448536269514726 AS DOUBLE) AS z FROM mom),
 wealth AS (SELECT coin_id, timestamp, product(1 + ra) OVER (PARTITION BY coin_id ORDER BY timestamp
            ROWS UNBOUNDED PRECEDING) AS w FROM ret),
 peak AS (SELECT coin_id, w, greatest(1, max(w) OVER (PARTITION BY coin_id ORDER BY timestamp

@@ -27,7 +27,7 @@ def level_days(v):
 
 @query(
     "q02_price_window",
-    "coin_id timestamp:day price:6",
+    "coin_id timestamp:day price:8",
     f"""{views("price_history")}
 --
 SELECT coin_id, timestamp, price FROM price_history WHERE timestamp >= DATE '{SINCE}'""",
@@ -43,7 +43,7 @@ long AS (SELECT coin_id, timestamp, week, breakeven, 'price' AS type, price AS v
 
 @query(
     "q03_weekly_strikes",
-    "coin_id timestamp:day week:day breakeven:8 type value:6",
+    "coin_id timestamp:day week:day breakeven:9 type value:8",
     f"""{_LONG}
 --
 SELECT * FROM long WHERE timestamp >= DATE '{SINCE}'""",
@@ -108,8 +108,8 @@ e AS (SELECT coin_id, week, arg_max(hold_portfolio, timestamp) AS h, arg_max(cov
 g AS (SELECT *, h / lag(h, 1, 100.0) OVER x AS hg, c / lag(c, 1, 100.0) OVER x AS cg FROM e
       WINDOW x AS (PARTITION BY coin_id ORDER BY week)),
 t AS (SELECT coin_id, count(*) AS weeks, arg_max(h, week) / 100 - 1 AS hold_return,
-      arg_max(c, week) / 100 - 1 AS covered_call_return, count(*) FILTER (cg < hg) AS weeks_behind,
-      sum(CASE WHEN cg < hg THEN cg - hg ELSE 0 END) AS shortfall FROM g GROUP BY 1)
+      arg_max(c, week) / 100 - 1 AS covered_call_return, count(*) FILTER (hg - cg > 1e-12) AS weeks_behind,
+      sum(CASE WHEN hg - cg > 1e-12 THEN cg - hg ELSE 0 END) AS shortfall FROM g GROUP BY 1)
 --
 SELECT coin_id, weeks, hold_return, covered_call_return, weeks_behind,
        shortfall / nullif(weeks_behind, 0) AS average_shortfall,

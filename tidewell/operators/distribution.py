@@ -13,29 +13,43 @@ from pyspark.sql import functions as F
 
 from tidewell.functions.nulls import safe_div
 from tidewell.operators.reshape import left_join_null_safe
+from tidewell.sources.stage import settle
 
 
 def value_counts(df: DataFrame, x: str, by: Sequence[str] = ()) -> DataFrame:
     """One row per distinct non-missing value: ``n`` rows carry it."""
-    return df.where(F.col(x).isNotNull()).groupBy(*by, x).agg(F.count(F.lit(1)).alias("n"))
+    counts = df.where(F.col(x).isNotNull()).groupBy(*by, x).agg(F.count(F.lit(1)).alias("n"))
+    # Always true. It keeps ``n`` in passes that only need the values, so that all passes have
+    # the same exchange and it is run once.
+    return counts.where(F.col("n") > 0)
 
 
-def running_counts(counts: DataFrame, x: str, by: Sequence[str] = (), slices: int = 64) -> DataFrame:
+def _slice(cuts: str, x: Column, levels: int, df: DataFrame) -> DataFrame:
+    """Add ``__slice``, the number of cuts below ``x``: a binary search, one column per level."""
+    df = df.withColumn("__slice", F.lit(0))
+    for half in (2**k for k in reversed(range(levels))):
+        beyond = F.get(cuts, F.col("__slice") + (half - 1)) < x
+        df = df.withColumn("__slice", F.col("__slice") + F.when(beyond, half).otherwise(0))
+    return df
+
+
+def running_counts(counts: DataFrame, x: str, by: Sequence[str] = (), levels: int = 8) -> DataFrame:
     """Add ``n_through`` (rows at or below the value) and ``n_total`` to value counts.
 
     A plain running sum would need every value of a group in one task. Here approximate
-    quantiles of the values cut the number line into slices; the running sum is taken inside each
-    slice and lifted by the totals of the slices below. Where the cuts fall only affects balance,
-    not the result. The slice totals have at most ``slices`` rows per group.
+    quantiles of the values cut the number line into ``2 ** levels`` slices; the running sum is
+    taken inside each slice and lifted by the totals of the slices below. Where the cuts fall
+    only affects balance, not the result.
     """
+    slices = 2**levels
+    number = F.col(x).cast("double")
     cuts = counts.agg(
-        F.percentile_approx(F.col(x).cast("double"), [i / slices for i in range(1, slices)], 10 * slices)
+        F.percentile_approx(number, [i / slices for i in range(1, slices)], 10 * slices)
     ).scalar()
-    sliced = counts.withColumn(
-        "__slice", F.size(F.filter(cuts, lambda c: c < F.col(x).cast("double")))
-    )
+    sliced = _slice("__cuts", number, levels, counts.withColumn("__cuts", cuts)).drop("__cuts")
     within = Window.partitionBy(*by, "__slice").orderBy(x)
     below = Window.partitionBy(*by).orderBy("__slice")
+    # At most one row per group and slice.
     totals = (
         sliced.groupBy(*by, "__slice")
         .agg(F.sum("n").alias("__n"))
@@ -83,7 +97,12 @@ def quantiles(
     whose cumulative share reaches ``p``. Exact percentiles hold a group's distinct values in one
     buffer; this picks the two order statistics out of the running counts instead.
     """
-    steps = running_counts(value_counts(df, x, by), x, by)
+    return _pick_quantiles(running_counts(value_counts(df, x, by), x, by), x, probs, by, interpolate)
+
+
+def _pick_quantiles(
+    steps: DataFrame, x: str, probs: Sequence[float], by: Sequence[str] = (), interpolate: bool = True
+) -> DataFrame:
     wanted = F.explode(F.array(*[F.lit(float(p)) for p in probs]))
     total, through = F.col("n_total"), F.col("n_through")
     before = through - F.col("n")
@@ -124,27 +143,32 @@ def histogram(
     is relative to all rows of the chart.
     """
     data = _on_scale(df, x, log10)
-    extent = data.agg(F.struct(F.min("__x").alias("lo"), F.max("__x").alias("hi"))).scalar()
-    data = data.withColumn("__e", extent)
+    extent = data.agg(
+        F.struct(F.min("__x").alias("lo"), F.max("__x").alias("hi"), F.count(F.lit(1)).alias("total"))
+    ).scalar()
     width = _bin_width(bins)
-    index = F.when(F.col("__e.hi") == F.col("__e.lo"), F.lit(0)).otherwise(
-        F.greatest(F.ceil(safe_div(F.col("__x") - (F.col("__e.lo") - width / 2), width)) - 1, F.lit(0))
-    )
-    counted = data.groupBy(*by, index.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    total = data.agg(F.count(F.lit(1))).scalar()
-    n_bins = F.when(F.col("__e.hi") == F.col("__e.lo"), F.lit(1)).otherwise(F.lit(bins))
-    every = (
-        (counted.select(*by).distinct() if by else df.sparkSession.range(1).drop("id"))
-        .withColumn("__e", extent)
-        .where(F.col("__e.lo").isNotNull())
-        .withColumn("bin", F.explode(F.sequence(F.lit(0), n_bins - 1)))
+    first_edge = F.col("__e.lo") - width / 2
+    single = F.col("__e.hi") == F.col("__e.lo")
+    index = F.when(single, 0).otherwise(F.greatest(F.ceil(safe_div(F.col("__x") - first_edge, width)) - 1, F.lit(0)))
+    counted = data.withColumn("__e", extent).groupBy(*by, index.cast("int").alias("bin")).agg(
+        F.count(F.lit(1)).alias("n")
     )
-    filled = left_join_null_safe(every, counted, [*by, "bin"])
-    n = F.coalesce("n", F.lit(0))
-    left = F.col("__e.lo") - width / 2 + F.col("bin") * width
-    right = F.col("__e.lo") - width / 2 + (F.col("bin") + 1) * width
-    return filled.select(
-        *by, "bin", left.alias("x_min"), right.alias("x_max"), n.alias("count"), (n / total).alias("frequency")
+    # A group's bars as one map of at most ``bins`` entries, from which empty bins are read too.
+    bars = counted.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("__n"))
+    every = F.sequence(F.lit(0), F.when(single, 0).otherwise(bins - 1))
+    n = F.coalesce(F.try_element_at("__n", F.col("bin")), F.lit(0))
+    return (
+        bars.withColumn("__e", extent)
+        .where(F.col("__e.total") > 0)
+        .withColumn("bin", F.explode(every))
+        .select(
+            *by,
+            "bin",
+            (first_edge + F.col("bin") * width).alias("x_min"),
+            (first_edge + (F.col("bin") + 1) * width).alias("x_max"),
+            n.alias("count"),
+            (n / F.col("__e.total")).alias("frequency"),
+        )
     )
 
 
@@ -166,13 +190,20 @@ def density(
     ``points`` x ``points`` products per group.
     """
     by = list(by)
-    data = _on_scale(df, x, log10).select(*by, "__x")
+    # Read by half a dozen passes below, so the values are written down once.
+    data = settle(value_counts(_on_scale(df, x, log10), "__x", by))
     extent = data.agg(F.struct(F.min("__x").alias("lo"), F.max("__x").alias("hi"))).scalar()
-    moments = data.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("__n"), F.stddev_samp("__x").alias("__sd"), F.min("__x").alias("__first")
+    n, shifted = F.col("n"), F.col("__x") - F.col("__e.lo")
+    squares = F.sum(n * shifted * shifted) - F.sum(n * shifted) * F.sum(n * shifted) / F.sum("n")
+    moments = data.withColumn("__e", extent).groupBy(*by).agg(
+        F.sum("n").alias("__n"),
+        F.sqrt(F.greatest(safe_div(squares, F.sum("n") - 1), F.lit(0.0))).alias("__sd"),
+        F.min("__x").alias("__first"),
+    )
+    steps = running_counts(data, "__x", by)
+    spread = _pick_quantiles(steps, "__x", [0.25, 0.75], by).groupBy(*by).agg(
+        (F.max("quantile") - F.min("quantile")).alias("__iqr")
     )
-    quartiles = quantiles(data, "__x", [0.25, 0.75], by)
-    spread = quartiles.groupBy(*by).agg((F.max("quantile") - F.min("quantile")).alias("__iqr"))
     rule = F.least("__sd", F.col("__iqr") / 1.34)
     # Same fall-backs as the usual rule of thumb when the spread is zero.
     scale = F.coalesce(
@@ -194,7 +225,7 @@ def density(
         .withColumn("__cell", F.floor(place))
         .withColumn("__part", place - F.col("__cell"))
         .groupBy(*by, "__cell")
-        .agg(F.sum(1 - F.col("__part")).alias("__m0"), F.sum("__part").alias("__m1"))
+        .agg(F.sum(n * (1 - F.col("__part"))).alias("__m0"), F.sum(n * F.col("__part")).alias("__m1"))
     )
     halves = F.explode(
         F.array(

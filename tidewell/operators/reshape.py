@@ -31,14 +31,27 @@ def left_join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str])
     return left.join(renamed, cond, "left").drop(*[f"__r_{k}" for k in keys])
 
 
-def complete_grid(df: DataFrame, period: str, key: str) -> DataFrame:
-    """Every observed ``period`` next to every observed ``key``.
+def observed_periods(df: DataFrame, period: str) -> Column:
+    """All distinct days or weeks of ``df`` in order, as one array.
 
-    The observed periods are calendar days or weeks, a few thousand values for decades of data,
-    so they travel as one array and are exploded per key. No join is involved.
+    Calendar periods are few (a century of days is 36,525), whatever the number of rows.
     """
-    periods = df.agg(F.sort_array(F.collect_set(period))).scalar()
-    return df.select(key).distinct().select(F.explode(periods).alias(period), key)
+    return df.agg(F.sort_array(F.collect_set(period))).scalar()
+
+
+def complete_grid(df: DataFrame, period: str, key: str, cols: Sequence[str] = ()) -> DataFrame:
+    """Every observed ``period`` next to every observed ``key``, with ``cols`` where there is a row.
+
+    ``df`` has at most one row per pair. A key's rows become one map from period to values, and
+    the calendar is exploded over it: no grid is joined.
+    """
+    values = F.struct(*cols) if cols else F.lit(True)
+    per_key = df.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct(period, values))).alias("__known"))
+    grid = per_key.withColumn("__periods", observed_periods(df, period)).select(
+        key, F.explode("__periods").alias(period), "__known"
+    )
+    found = F.try_element_at("__known", F.col(period))
+    return grid.select(period, key, *[found[c].alias(c) for c in cols])
 
 
 def ffill(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: Sequence[str]) -> DataFrame:
@@ -54,16 +67,16 @@ def carry_to_next(df: DataFrame, key: str, day: str) -> DataFrame:
     a key's first row, but neither the grid nor the dropped part is ever built: a row's span is
     known from its successor alone, and the work is in proportion to the rows that come out.
     """
-    days = df.select(F.col(day).alias("__day")).distinct()
-    last = days.agg(F.max("__day")).scalar()
-    successor = F.lead(day).over(Window.partitionBy(key).orderBy(day))
-    span = F.sequence(F.col(day), F.coalesce(F.date_sub("__next", 1), last))
+    place = F.array_position("__days", F.col(day))
+    successor = F.lead("__place").over(Window.partitionBy(key).orderBy("__place"))
+    until = F.coalesce(F.col("__next"), F.array_size("__days") + 1)
     return (
-        df.withColumn("__next", successor)
-        .withColumn("__day", F.explode(span))
-        .join(days, "__day", "left_semi")
+        df.withColumn("__days", observed_periods(df, day))
+        .withColumn("__place", place)
+        .withColumn("__next", successor)
+        .withColumn("__day", F.explode(F.slice("__days", F.col("__place").cast("int"), (until - F.col("__place")).cast("int"))))
         .withColumn(day, F.col("__day"))
-        .drop("__next", "__day")
+        .drop("__days", "__place", "__next", "__day")
     )
 
 

@@ -44,8 +44,10 @@ def daily_valued_flows(events: DataFrame, rates: DataFrame, mode: str = "event_d
         last = daily.agg(F.max("date")).scalar()
         following = F.lead("date").over(Window.partitionBy("vault").orderBy("date"))
         until = F.coalesce(F.date_sub(following, 1), F.greatest(last, F.col("date")))
-        quotes = quotes.withColumn("date", F.explode(F.sequence(F.col("date"), until)))
-        valued = left_join_null_safe(daily, quotes, ["vault", "date"])
+        quotes = quotes.withColumn("__until", until).withColumn(
+            "date", F.explode(F.sequence(F.col("date"), F.col("__until")))
+        )
+        valued = left_join_null_safe(daily, quotes.drop("__until"), ["vault", "date"])
     elif mode == "event_days":
         valued = ffill(
             left_join_null_safe(daily, quotes, ["vault", "date"]), ["type", "vault"], ["date"], ["coin_id", "price"]

@@ -78,6 +78,5 @@ def weekly_dense_counts(swaps: DataFrame, side: str) -> DataFrame:
     counts = weekly.groupBy("week", asset).agg(
         F.countDistinct("swapper").alias("whales"), F.count(F.lit(1)).cast("double").alias("swaps")
     )
-    grid = complete_grid(weekly, "week", asset)
-    dense = left_join_null_safe(grid, counts, ["week", asset])
+    dense = complete_grid(counts, "week", asset, ["whales", "swaps"])
     return dense.select("week", asset, "whales", F.coalesce("swaps", F.lit(0.0)).alias("swaps"))

@@ -25,13 +25,3 @@ def get_session(app: str = "tidewell", master: str | None = None, **conf: str) -
     for key, value in {**SETTINGS, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
-
-
-def checkpoint_dir(spark: SparkSession, default: str | None = None) -> str | None:
-    """The shared folder named by the cluster; ``default`` is used only when none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if default:
-        spark.sparkContext.setCheckpointDir(default)
-    return default

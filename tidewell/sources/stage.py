@@ -1,0 +1,28 @@
+"""Intermediate results that several later passes read."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> str | None:
+    """The shared folder the cluster names. Only a local session without one gets its own."""
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if sc.getCheckpointDir() is None:
+        if named is None and sc.master.startswith("local"):
+            named = tempfile.mkdtemp(prefix="tidewell-checkpoint-")
+        if named is not None:
+            sc.setCheckpointDir(named)
+    return sc.getCheckpointDir()
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Write ``df`` once to the checkpoint folder, so that what follows starts from files.
+
+    The files outlive lost executors. Without a folder to share, the plan is returned as it is
+    and merely computed again by each pass.
+    """
+    return df.checkpoint() if ensure_checkpoint_dir(df.sparkSession) else df
