@@ -3,6 +3,7 @@ from tidewell.catalog.charts import density_sql, ecdf_sql, histogram_sql
 from tidewell.catalog.sql import views
 from tidewell.plans import lp as l
 from tidewell.plans import upstream as u
+from tidewell.sources.stage import settle
 from tidewell.sources.views import Views
 
 
@@ -14,6 +15,11 @@ def _lp(v: Views):
     return l.value_lp_positions(u.net_lp_positions(v.liquidity_actions()), _liquidity(v))
 
 
+def _prepared(v: Views):
+    """Valued positions written down once; the distribution behind a chart reads them repeatedly."""
+    return settle(_lp(v))
+
+
 _LP = views("lp")
 _SIZES = f"""{_LP}, sizes AS (SELECT * FROM (SELECT pool_name_short, sum(lp_position_usd) AS lp_position_usd FROM lp GROUP BY 1)
   WHERE lp_position_usd > 0),
@@ -114,17 +120,17 @@ def _register(by: str | None, key: str) -> None:
 
     query(
         f"q50_lp_histogram_{name}", f"{shown} {_BARS}", histogram_sql(_LP, "lp", "lp_position_usd", 20, by=" ".join(group))
-    )(lambda v: l.lp_distribution(_lp(v), None, "histogram", by))
+    )(lambda v: l.lp_distribution(_prepared(v), None, "histogram", by))
     query(
         f"q50_lp_density_{name}",
         f"{shown} point:int x:8 density:8",
         density_sql(_LP, "lp", "lp_position_usd", key if by else "'all'").replace(
             "SELECT * FROM dn", f"SELECT *, g AS {key} FROM dn"
         ),
-    )(lambda v: l.lp_distribution(_lp(v), None, "density", by))
+    )(lambda v: l.lp_distribution(_prepared(v), None, "density", by))
     query(
         f"q50_lp_ecdf_{name}", f"{shown} lp_position_usd:2 ecdf:9", ecdf_sql(_LP, "lp", "lp_position_usd", " ".join(group))
-    )(lambda v: l.lp_distribution(_lp(v), None, "ecdf", by))
+    )(lambda v: l.lp_distribution(_prepared(v), None, "ecdf", by))
 
 
 _register(None, "pool_name_short")
@@ -141,7 +147,7 @@ _register("chain", "chain")
     ),
 )
 def histogram_default_pools(v):
-    lp = _lp(v)
+    lp = _prepared(v)
     return l.lp_distribution(lp, l.default_pools(lp, 2), "histogram", "pool")
 
 

@@ -14,27 +14,45 @@ from tidewell.functions.nulls import safe_div
 
 
 def first_deposits(events: DataFrame) -> DataFrame:
-    """First deposit per wallet and vault, the number of events at that instant, and its step.
+    """First deposit per wallet and vault, and its step in the wallet's order of vaults.
 
-    ``step`` orders a wallet's vaults; vaults first used at the same instant share a step. The
-    window sees at most one row per vault of a wallet.
+    Vaults first used at the same instant share a step. The minimum is combined before the
+    shuffle, so a wallet with very many deposits is no burden, and the window sees at most one
+    row per vault of a wallet.
     """
-    deposits = events.where(F.col("type") == "deposit")
-    instants = deposits.groupBy("address", "vault", "block_timestamp").agg(F.count(F.lit(1)).alias("n"))
-    firsts = instants.groupBy("address", "vault").agg(
-        F.min("block_timestamp").alias("first_deposit"), F.min_by("n", "block_timestamp").alias("n_first")
+    firsts = (
+        events.where(F.col("type") == "deposit")
+        .groupBy("address", "vault")
+        .agg(F.min("block_timestamp").alias("first_deposit"))
     )
     order = Window.partitionBy("address").orderBy("first_deposit")
     return firsts.withColumn("step", F.dense_rank().over(order))
 
 
 def crossover_nodes(events: DataFrame) -> DataFrame:
-    """Vaults with their depositors and the deposits that were a wallet's very first."""
-    nodes = first_deposits(events).groupBy("vault").agg(
-        F.count(F.lit(1)).alias("depositors"),
-        F.sum(F.when(F.col("step") == 1, F.col("n_first")).otherwise(0)).alias("first_depositors"),
+    """Vaults with their depositors and the deposits that were a wallet's very first.
+
+    Several deposits at a wallet's first instant all count as first, so deposits are counted per
+    instant before they are reduced to the earliest one.
+    """
+    instants = (
+        events.where(F.col("type") == "deposit")
+        .groupBy("address", "vault", "block_timestamp")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    firsts = instants.groupBy("address", "vault").agg(
+        F.min("block_timestamp").alias("first_deposit"), F.min_by("n", "block_timestamp").alias("n")
+    )
+    very_first = F.min("first_deposit").over(Window.partitionBy("address"))
+    nodes = (
+        firsts.withColumn("very_first", F.col("first_deposit") == very_first)
+        .groupBy("vault")
+        .agg(
+            F.count(F.lit(1)).alias("depositors"),
+            F.sum(F.when(F.col("very_first"), F.col("n")).otherwise(0)).alias("first_depositors"),
+        )
     )
-    # One row per vault, so numbering them in one place is cheap.
+    # One row per vault of the product, so numbering them in one task is cheap.
     return nodes.select(
         F.row_number().over(Window.orderBy("vault")).cast("long").alias("id"),
         "vault", "depositors", "first_depositors",

@@ -33,7 +33,8 @@ def focus_groups(df: DataFrame, col: str, values: Sequence[str], labels: Sequenc
 def unmatched_values(df: DataFrame, col: str, values: Sequence[str]) -> DataFrame:
     """Requested values that do not occur in the data."""
     asked = df.sparkSession.createDataFrame([(v,) for v in values], "value string").distinct()
-    return asked.join(df.select(F.col(col).alias("value")), "value", "left_anti")
+    present = df.where(F.col(col).isin(list(values))).select(F.col(col).alias("value")).distinct()
+    return asked.join(present, "value", "left_anti")
 
 
 def ambiguous_ids(df: DataFrame, id_col: str, col: str) -> DataFrame:

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.functions.names import pool_short_name, short_name_chain
 from tidewell.functions.nulls import safe_div, sum_strict
 from tidewell.operators import distribution
+from tidewell.operators.ranking import number_rows
 from tidewell.operators.reshape import left_join_null_safe, top_with_ties
 
 
@@ -73,16 +74,14 @@ def league_table(lp: DataFrame, by: str = "pool") -> DataFrame:
     """Providers and value per pool or chain, ranked by value.
 
     Per pool a missing valuation makes the total missing and unranked; per chain it is skipped.
-    The rank is taken over the finished table of one row per pool or chain.
     """
     keys, total = {
         "pool": (["pool_name_short", "chain"], sum_strict("lp_position_usd")),
         "chain": (["chain"], F.coalesce(F.sum("lp_position_usd"), F.lit(0.0))),
     }[by]
     table = lp.groupBy(*keys).agg(F.count(F.lit(1)).alias("liquidity_providers"), total.alias("tvl"))
-    order = Window.orderBy(F.desc_nulls_last("tvl"), *keys)
-    rank = F.when(F.col("tvl").isNotNull(), F.row_number().over(order).cast("long"))
-    return table.withColumn("rank", rank)
+    ranked = number_rows(table, F.desc_nulls_last("tvl"), *keys)
+    return ranked.withColumn("rank", F.when(F.col("tvl").isNotNull(), F.col("rank")))
 
 
 def _distribution(df: DataFrame, x: str, kind: str, bins: int, by: Sequence[str]) -> DataFrame:

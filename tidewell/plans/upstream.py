@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions.calendar import day, starting
+from tidewell.operators.ranking import number_rows
 
 
 def _real_swaps(swaps: DataFrame, since: str | date | None) -> DataFrame:
@@ -22,16 +23,16 @@ def wallet_swap_stats(swaps: DataFrame, since: str | date | None = None) -> Data
 
 
 def asset_popularity(swaps: DataFrame, since: str | date | None = None, by_dex: bool = False) -> DataFrame:
-    """Swaps to each asset and its rank, overall or per exchange; equal counts rank by asset id.
-
-    The rank runs over the counted table, one row per asset.
-    """
+    """Swaps to each asset and its rank, overall or per exchange; equal counts rank by asset id."""
     keys = ["swap_program"] if by_dex else []
     counts = _real_swaps(swaps, since).groupBy(
         *keys, "swap_to_asset_id", F.col("swap_to_name").alias("asset_name")
     ).agg(F.count(F.lit(1)).alias("swaps"))
-    order = Window.partitionBy(*keys).orderBy(F.desc("swaps"), "swap_to_asset_id")
-    return counts.withColumn("rank", F.row_number().over(order).cast("long"))
+    order = [F.desc("swaps"), F.asc("swap_to_asset_id")]
+    if not by_dex:
+        return number_rows(counts, *order)
+    # One row per asset an exchange lists; a filter on the rank prunes before the shuffle.
+    return counts.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))
 
 
 def identify_whales(accounts: DataFrame, labels: DataFrame, min_balance: float = 200_000) -> DataFrame:
