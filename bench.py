@@ -20,12 +20,9 @@ from tidewell.session import get_session  # noqa: E402
 
 HEADLINE = (
     "q05_covered_call_portfolio",
-    "q06_portfolio_summary",
     "q11_normalize_and_drawdown",
     "q15_downside_risk_table",
     "q16_capm_table",
-    "q18_tail_dependence_table",
-    "q20_daily_valued_flows",
     "q21_weekly_net_flows",
     "q24_weekly_new_users",
     "q28_directed_crossover",
@@ -35,13 +32,11 @@ HEADLINE = (
     "q37_canonical_pool_swaps",
     "q40_origination_share_volume",
     "q41_tvl_metrics",
-    "q44_tvl_by_chain_token",
     "q46_value_lp_positions",
     "q49_league_table_pool",
     "q50_lp_density_pool",
     "q50_lp_ecdf_pool",
     "q50_lp_histogram_pool",
-    "q53_participation",
     "q55_asset_flow_summary",
     "q56_weekly_dense_counts_from",
     "u1_wallet_swap_stats",
@@ -58,7 +53,7 @@ def run(spark, sf_dir: str, name: str) -> float:
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    runs = int(os.environ.get("BENCH_RUNS", "3"))
+    runs = int(os.environ.get("BENCH_RUNS", "2"))
     chosen = os.environ.get("BENCH_QUERIES", "")
     names = list(QUERIES) if chosen == "all" else [n for n in chosen.split(",") if n] or list(HEADLINE)
     spark = get_session(

@@ -1,0 +1,22 @@
+import datetime as dt
+
+from tests.conftest import rows
+from tidewell.streaming.refresh import weekly_amounts, write_weekly
+
+SCHEMA = "block_timestamp timestamp_ntz, type string, vault string, amount double, address string"
+
+
+def test_stream_gives_the_batch_rows(spark, tmp_path):
+    day = dt.datetime(2022, 1, 7)
+    data = [(day + dt.timedelta(days=t), "withdrawal" if t % 3 == 0 else "deposit", "AB"[t % 2], float(t), "u") for t in range(30)]
+    src = str(tmp_path / "events")
+    df = spark.createDataFrame(data, SCHEMA)
+    df.write.parquet(src)
+    stream = spark.readStream.schema(df.schema).parquet(src)
+    out = str(tmp_path / "out")
+    write_weekly(weekly_amounts(stream), out, str(tmp_path / "cp")).awaitTermination(120)
+    got = rows(spark.read.parquet(out))
+    batch = rows(weekly_amounts(spark.read.parquet(src)))
+    # The last weeks are still open.
+    closed = [r for r in batch if r[0] <= dt.date(2022, 1, 21)]
+    assert got == closed and len(closed) == 6

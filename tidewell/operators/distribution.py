@@ -210,9 +210,9 @@ def density(
         F.when(rule > 0, rule), F.when(F.col("__sd") > 0, F.col("__sd")),
         F.when(F.col("__first") != 0, F.abs("__first")), F.lit(1.0),
     )
+    known = left_join_null_safe(moments, spread, by) if by else moments.withColumn("__iqr", spread.scalar())
     groups = (
-        left_join_null_safe(moments, spread, by)
-        .where(F.col("__n") > 1)
+        known.where(F.col("__n") > 1)
         .withColumn("__bw", 0.9 * scale * F.pow(F.col("__n").cast("double"), F.lit(-0.2)))
         .withColumn("__e", extent)
         .withColumn("__low", F.col("__e.lo") - 4 * F.col("__bw"))

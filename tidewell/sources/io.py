@@ -8,6 +8,7 @@ from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from tidewell.sources.schemas import SCHEMAS
 
@@ -30,25 +31,31 @@ def normalize_names(df: DataFrame, case: str = "snake") -> DataFrame:
     return df.toDF(*[style(c) for c in df.columns])
 
 
-def read_dataset(spark: SparkSession, name: str, path: str, fmt: str = "parquet") -> DataFrame:
+def read_dataset(
+    spark: SparkSession, name: str, path: str, fmt: str = "parquet", field_case: str = "upper"
+) -> DataFrame:
     """A landed dataset under its declared schema.
 
     ``json`` expects one object per line, which Spark can split; ``json_array`` takes the
     payload of a query endpoint (one array per file), which it cannot, so land such payloads as
-    many files or convert them to parquet once. JSON columns match without regard to case.
+    many files or convert them to parquet once. JSON fields are told apart by case: query
+    endpoints write them in upper case, ``field_case`` may say ``lower``.
     """
-    schema = SCHEMAS[name]
+    declared = StructType.fromDDL(SCHEMAS[name])
     if fmt in ("json", "json_array"):
-        return (
-            spark.read.schema(schema)
+        spelled = StructType(
+            [StructField(getattr(f.name, field_case)(), f.dataType, f.nullable) for f in declared.fields]
+        )
+        raw = (
+            spark.read.schema(spelled)
             .option("mode", "FAILFAST")
             .option("multiLine", fmt == "json_array")
             .json(path)
         )
+        return raw.toDF(*declared.names)
     if fmt == "csv":
-        return spark.read.schema(schema).option("mode", "FAILFAST").option("header", True).csv(path)
+        return spark.read.schema(declared).option("mode", "FAILFAST").option("header", True).csv(path)
     df = normalize_names(spark.read.format(fmt).load(path))
-    declared = spark.createDataFrame([], schema).schema
     return df.select(*[F.col(f.name).cast(f.dataType) for f in declared.fields])
 
 

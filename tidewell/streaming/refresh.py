@@ -15,12 +15,14 @@ def weekly_amounts(events: DataFrame, lateness: str = "2 days") -> DataFrame:
     """Net units and events per Friday week and vault, from a streaming or a static DataFrame.
 
     A week is emitted once it is ``lateness`` past its end; state is one row per open week and
-    vault. A window of seven days shifted by one starts on Fridays, as day 0 was a Thursday.
+    vault. A window of seven days shifted by one starts on Fridays, as day 0 was a Thursday. Event
+    time must be a zoned timestamp, so the session runs in UTC like the data.
     """
-    week = F.window("block_timestamp", "7 days", "7 days", "1 day")
+    week = F.window("event_time", "7 days", "7 days", "1 day")
     signed = F.when(F.col("type") == "withdrawal", -F.col("amount")).otherwise(F.col("amount"))
     return (
-        events.withWatermark("block_timestamp", lateness)
+        events.withColumn("event_time", F.col("block_timestamp").cast("timestamp"))
+        .withWatermark("event_time", lateness)
         .groupBy(week.alias("week"), "vault")
         .agg(F.count(F.lit(1)).alias("events"), F.sum(signed).alias("net_deposits"))
         .select(F.to_date("week.start").alias("week"), "vault", "events", "net_deposits")
