@@ -6,6 +6,7 @@ the map side. Ranks come from ``running_counts``, which never sorts the data in
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -24,13 +25,18 @@ def value_counts(df: DataFrame, x: str, by: Sequence[str] = ()) -> DataFrame:
     return counts.where(F.col("n") > 0)
 
 
-def _slice(cuts: str, x: Column, levels: int, df: DataFrame) -> DataFrame:
-    """Add ``__slice``, the number of cuts below ``x``: a binary search, one column per level."""
-    df = df.withColumn("__slice", F.lit(0))
-    for half in (2**k for k in reversed(range(levels))):
-        beyond = F.get(cuts, F.col("__slice") + (half - 1)) < x
-        df = df.withColumn("__slice", F.col("__slice") + F.when(beyond, half).otherwise(0))
-    return df
+def _slice(df: DataFrame, cuts: Column, x: Column, levels: int) -> DataFrame:
+    """Add ``__slice``, the number of cuts below ``x``: a binary search in ``levels`` steps.
+
+    Each step is a column that refers to the one before it in the same ``select``.
+    """
+    steps = [F.lit(0).alias("__s0")]
+    for i, half in enumerate(2**k for k in reversed(range(levels))):
+        so_far = F.col(f"__s{i}")
+        beyond = F.get("__cuts", so_far + (half - 1)) < x
+        steps.append((so_far + F.when(beyond, half).otherwise(0)).alias(f"__s{i + 1}"))
+    found = df.select(*df.columns, cuts.alias("__cuts"), *steps)
+    return found.select(*df.columns, F.col(f"__s{levels}").alias("__slice"))
 
 
 def running_counts(counts: DataFrame, x: str, by: Sequence[str] = (), levels: int = 8) -> DataFrame:
@@ -46,7 +52,7 @@ def running_counts(counts: DataFrame, x: str, by: Sequence[str] = (), levels: in
     cuts = counts.agg(
         F.percentile_approx(number, [i / slices for i in range(1, slices)], 10 * slices)
     ).scalar()
-    sliced = _slice("__cuts", number, levels, counts.withColumn("__cuts", cuts)).drop("__cuts")
+    sliced = _slice(counts, cuts, number, levels)
     within = Window.partitionBy(*by, "__slice").orderBy(x)
     below = Window.partitionBy(*by).orderBy("__slice")
     # At most one row per group and slice.
@@ -192,79 +198,70 @@ def density(
     by = list(by)
     # Read by half a dozen passes below, so the values are written down once.
     data = settle(value_counts(_on_scale(df, x, log10), "__x", by))
-    extent = data.agg(F.struct(F.min("__x").alias("lo"), F.max("__x").alias("hi"))).scalar()
-    n, shifted = F.col("n"), F.col("__x") - F.col("__e.lo")
+    lo, hi = data.agg(F.min("__x"), F.max("__x")).first()
+    if lo is None:
+        nothing = [F.lit(0).alias("point"), F.lit(0.0).alias("x"), F.lit(0.0).alias("density")]
+        return data.limit(0).select(*by, *nothing)
+    n, shifted = F.col("n"), F.col("__x") - lo
     squares = F.sum(n * shifted * shifted) - F.sum(n * shifted) * F.sum(n * shifted) / F.sum("n")
-    moments = data.withColumn("__e", extent).groupBy(*by).agg(
+    moments = data.groupBy(*by).agg(
         F.sum("n").alias("__n"),
         F.sqrt(F.greatest(safe_div(squares, F.sum("n") - 1), F.lit(0.0))).alias("__sd"),
         F.min("__x").alias("__first"),
     )
-    steps = running_counts(data, "__x", by)
-    spread = _pick_quantiles(steps, "__x", [0.25, 0.75], by).groupBy(*by).agg(
-        (F.max("quantile") - F.min("quantile")).alias("__iqr")
-    )
+    quartiles = _pick_quantiles(running_counts(data, "__x", by), "__x", [0.25, 0.75], by)
+    spread = quartiles.groupBy(*by).agg((F.max("quantile") - F.min("quantile")).alias("__iqr"))
+    known = left_join_null_safe(moments, spread, by) if by else moments.withColumn("__iqr", spread.scalar())
     rule = F.least("__sd", F.col("__iqr") / 1.34)
     # Same fall-backs as the usual rule of thumb when the spread is zero.
     scale = F.coalesce(
         F.when(rule > 0, rule), F.when(F.col("__sd") > 0, F.col("__sd")),
         F.when(F.col("__first") != 0, F.abs("__first")), F.lit(1.0),
     )
-    known = left_join_null_safe(moments, spread, by) if by else moments.withColumn("__iqr", spread.scalar())
-    groups = (
-        known.where(F.col("__n") > 1)
-        .withColumn("__bw", 0.9 * scale * F.pow(F.col("__n").cast("double"), F.lit(-0.2)))
-        .withColumn("__e", extent)
-        .withColumn("__low", F.col("__e.lo") - 4 * F.col("__bw"))
-        .withColumn("__step", (F.col("__e.hi") + 4 * F.col("__bw") - F.col("__low")) / (points - 1))
-        .select(*by, "__n", "__bw", "__e", "__low", "__step")
-    )
-    place = (F.col("__x") - F.col("__low")) / F.col("__step")
-    placed = (
-        _attach(data, groups, by)
-        .withColumn("__cell", F.floor(place))
-        .withColumn("__part", place - F.col("__cell"))
-        .groupBy(*by, "__cell")
-        .agg(F.sum(n * (1 - F.col("__part"))).alias("__m0"), F.sum(n * F.col("__part")).alias("__m1"))
+    groups = known.where(F.col("__n") > 1).select(
+        *by, "__n", (0.9 * scale * F.pow(F.col("__n").cast("double"), F.lit(-0.2))).alias("__bw")
     )
+    low = lo - 4 * F.col("__bw")
+    step = (hi + 4 * F.col("__bw") - low) / (points - 1)
+    place = (F.col("__x") - low) / step
+    cell = F.floor(place)
+    part = place - cell
+    # A value lies between two cells and gives each the share it is close to.
     halves = F.explode(
         F.array(
-            F.struct(F.col("__cell").alias("cell"), F.col("__m0").alias("mass")),
-            F.struct((F.col("__cell") + 1).alias("cell"), F.col("__m1").alias("mass")),
+            F.struct(cell.alias("cell"), (n * (1 - part)).alias("mass")),
+            F.struct((cell + 1).alias("cell"), (n * part).alias("mass")),
         )
     )
     mass = (
-        placed.select(*by, halves.alias("h"))
-        .groupBy(*by, F.col("h.cell").alias("__cell"))
+        _attach(data, groups, by)
+        .select(*by, "__n", "__bw", halves.alias("h"))
+        .groupBy(*by, "__n", "__bw", F.col("h.cell").alias("__cell"))
         .agg(F.sum("h.mass").alias("__mass"))
     )
-    at = F.col("__e.lo") + F.col("point") * (F.col("__e.hi") - F.col("__e.lo")) / (points - 1)
-    offset = (F.col("__at") - F.col("__low")) / F.col("__step")
+    offset = (F.col("x") - low) / step
     near = F.floor(offset)
+    weight = offset - near
 
-    def bell(cell: Column) -> Column:
-        z = (cell - F.col("__cell")) * F.col("__step") / F.col("__bw")
+    def bell(at: Column) -> Column:
+        z = (at - F.col("__cell")) * step / F.col("__bw")
         return F.exp(-0.5 * z * z)
 
-    weight = offset - near
     kernel = F.col("__mass") * ((1 - weight) * bell(near) + weight * bell(near + 1))
+    area = F.col("__n") * F.col("__bw") * math.sqrt(2 * math.pi)
     return (
-        _attach(mass, groups, by)
-        .withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
-        .withColumn("__at", at)
-        .groupBy(*by, "point", F.col("__at").alias("x"))
-        .agg((F.sum(kernel) / F.first(F.col("__n") * F.col("__bw") * (2 * 3.141592653589793) ** 0.5)).alias("density"))
+        mass.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+        .withColumn("x", lo + F.col("point") * (hi - lo) / (points - 1))
+        .groupBy(*by, "point", "x")
+        .agg(F.sum(kernel / area).alias("density"))
     )
 
 
 def _attach(df: DataFrame, groups: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Per-group constants next to each row; a single struct literal when there are no groups."""
+    """Size and bandwidth of a row's group beside it; rows of groups without a bandwidth go."""
     if by:
         return left_join_null_safe(df, groups, by).where(F.col("__bw").isNotNull())
-    one = groups.select(F.struct(*groups.columns)).scalar()
-    return (
-        df.withColumn("__g", one)
-        .select("*", *[F.col(f"__g.{c}").alias(c) for c in groups.columns])
-        .drop("__g")
-        .where(F.col("__bw").isNotNull())
-    )
+    one = groups.first()
+    if one is None:
+        return df.limit(0).withColumns({"__n": F.lit(0).cast("long"), "__bw": F.lit(0.0)})
+    return df.withColumns({"__n": F.lit(one["__n"]), "__bw": F.lit(one["__bw"])})

@@ -173,15 +173,14 @@ def premium_sensitivity(
 ) -> DataFrame:
     """Long form: one line per premium and one for holding."""
     runs = premium_portfolios(starting(prices, "timestamp", since), mult, premiums)
-    covered = runs.select(
-        "coin_id", "timestamp",
-        F.concat(F.lit("covered_call_"), F.format_number(F.col("premium") * 100, 2), F.lit("pct")).alias("portfolio"),
-        F.col("covered_call_portfolio").alias("value"),
-    )
-    hold = runs.where(F.col("premium") == float(premiums[0])).select(
-        "coin_id", "timestamp", F.lit("hold").alias("portfolio"), F.col("hold_portfolio").alias("value")
+    label = F.concat(F.lit("covered_call_"), F.format_number(F.col("premium") * 100, 2), F.lit("pct"))
+    covered = F.struct(label.alias("portfolio"), F.col("covered_call_portfolio").alias("value"))
+    hold = F.struct(F.lit("hold").alias("portfolio"), F.col("hold_portfolio").alias("value"))
+    # Holding is the same beside every premium: one of them brings it along.
+    lines = F.when(F.col("premium") == float(premiums[0]), F.array(covered, hold)).otherwise(F.array(covered))
+    return runs.select("coin_id", "timestamp", F.explode(lines).alias("line")).select(
+        "coin_id", "timestamp", "line.portfolio", "line.value"
     )
-    return covered.unionByName(hold)
 
 
 def rolling_return(
