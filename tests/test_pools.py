@@ -79,7 +79,9 @@ def test_synthetics_merge(swaps):
 
 
 def test_pools_start_together(swaps):
-    got = [r[:2] + r[3:] for r in rows(pools.since_inception(swaps, ["BTC.BTC", "ETH.ETH"]))]
+    found = pools.since_inception(swaps, ["BTC.BTC", "ETH.ETH"])
+    assert {(r["pool_name"], r["date_reference"].day) for r in found.collect()} == {("BTC.BTC", 1), ("ETH.ETH", 6)}
+    got = rows(found.select("day", "pool_name", "from_amount_usd", "swaps"))
     assert got == [(0, "BTC.BTC", 100.0, 4), (0, "ETH.ETH", 5.0, 1), (3, "ETH.ETH", 6.0, 1)]
     assert pools.since_inception(swaps, ["ETH.ETH"], 2).count() == 1
 

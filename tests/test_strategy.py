@@ -74,6 +74,7 @@ def test_breaches_and_level_days(prices):
     assert rows(s.strike_breaches(df, 1.15)) == [("luna", 3, 1)]
     assert rows(s.level_days(df, 130.5)) == [("luna", 15, 7, 8)]
     assert rows(s.level_days(df, 130.5, "2022-01-14")) == [("luna", 7, 7, 0)]
+    assert rows(s.level_days(prices(a=[1.0, None]), 0.5)) == [("a", 2, None, None)]
     assert s.price_window(df, "2022-01-14").count() == 7
 
 

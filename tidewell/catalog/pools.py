@@ -23,11 +23,12 @@ def canonical_pool_swaps(v):
 
 @query(
     "q38_since_inception",
-    "day:int pool_name fees_usd:4 from_amount_usd:4 swaps:int",
+    "date:day date_reference:day day:int pool_name fees_usd:4 from_amount_usd:4 swaps:int",
     f"""{views("pool_swaps_daily")},
-i AS (SELECT *, date - min(date) OVER (PARTITION BY pool_name) AS day FROM pool_swaps_daily)
+i AS (SELECT *, min(date) OVER (PARTITION BY pool_name) AS date_reference FROM pool_swaps_daily)
 --
-SELECT day, pool_name, {_SUMS} FROM i WHERE day <= 3 GROUP BY 1, 2""",
+SELECT date, date_reference, date - date_reference AS day, pool_name, {_SUMS} FROM i
+WHERE date - date_reference <= 3 GROUP BY 1, 2, 3, 4""",
 )
 def since_inception(v):
     return p.since_inception(_canonical(v))

@@ -1,33 +1,46 @@
-"""Row numbers over a whole table."""
+"""Row numbers over a whole table or large groups."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewell.operators.reshape import left_join_null_safe
 from tidewell.sources.stage import ensure_checkpoint_dir, settle
 
 
-def number_rows(df: DataFrame, *order: Column | str, name: str = "rank") -> DataFrame:
-    """Add 1, 2, ... in the given order, which must be total.
+def number_rows(df: DataFrame, *order: Column, by: Sequence[str] = (), name: str = "rank") -> DataFrame:
+    """Add 1, 2, ... in the given order, which must be total, over the table or within ``by``.
 
-    A window without partitions sorts the table in one task. Instead the table is range-sorted
-    and written down; a row's number is its place in its partition plus the sizes of the
-    partitions before. The written partitions are the same whenever they are read. Only a
-    session without a folder to write to falls back on the single window.
+    A window sorts each group, or the whole table, in one task. Instead the table is range-sorted
+    by group and order and written down. A row's number is its place in its partition plus the
+    sizes of the partitions before, less the number its group starts after. The written
+    partitions are the same whenever they are read. Only a session without a folder to write to
+    falls back on the window.
     """
     if ensure_checkpoint_dir(df.sparkSession) is None:
-        return df.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long"))
-    rows = settle(df.orderBy(*order)).withColumns(
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long"))
+    rows = settle(df.orderBy(*by, *order)).withColumns(
         {"__part": F.spark_partition_id(), "__id": F.monotonically_increasing_id()}
     )
     # The id counts up from the partition's number in its upper bits.
     place = F.col("__id") - F.shiftleft(F.col("__part").cast("long"), 33)
+    # One row per partition.
     sizes = rows.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
     before = F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")
     offsets = sizes.select("__part", before.alias("__before"))
-    return (
+    numbered = (
         rows.join(offsets, "__part")
         .withColumn(name, F.col("__before") + place + 1)
         .drop("__part", "__id", "__before")
     )
+    if not by:
+        return numbered
+    starts = numbered.groupBy(*by).agg((F.min(name) - 1).alias("__start"))
+    return (
+        left_join_null_safe(numbered, starts, by)
+        .withColumn(name, F.col(name) - F.col("__start"))
+        .drop("__start")
+    )

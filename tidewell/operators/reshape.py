@@ -68,7 +68,7 @@ def carry_to_next(df: DataFrame, key: str, day: str) -> DataFrame:
     known from its successor alone, and the work is in proportion to the rows that come out.
     """
     place = F.array_position("__days", F.col(day))
-    successor = F.lead("__place").over(Window.partitionBy(key).orderBy("__place"))
+    successor = F.lead("__place").over(Window.partitionBy(key).orderBy(day))
     until = F.coalesce(F.col("__next"), F.array_size("__days") + 1)
     return (
         df.withColumn("__days", observed_periods(df, day))

@@ -5,9 +5,11 @@ from __future__ import annotations
 import warnings
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.operators.ranking import number_rows
+
 
 def focus_groups(df: DataFrame, col: str, values: Sequence[str], labels: Sequence[str]) -> DataFrame:
     """Each distinct value of ``col`` with a label.
@@ -22,10 +24,10 @@ def focus_groups(df: DataFrame, col: str, values: Sequence[str], labels: Sequenc
     )
     rest_labels = list(labels[len(values):]) or [None]
     others = df.select(F.col(col).alias("value")).distinct().join(F.broadcast(named), "value", "left_anti")
-    # One row per distinct category of a chart legend.
-    position = (F.row_number().over(Window.orderBy("value")) - 1) % len(rest_labels) + 1
-    rest = others.withColumn(
-        "label", F.element_at(F.array(*[F.lit(x).cast("string") for x in rest_labels]), position.cast("int"))
+    position = (F.col("__number") - 1) % len(rest_labels) + 1
+    cycle = F.array(*[F.lit(x).cast("string") for x in rest_labels])
+    rest = number_rows(others, F.asc("value"), name="__number").select(
+        "value", F.element_at(cycle, position.cast("int")).alias("label")
     )
     return named.unionByName(rest)
 

@@ -32,12 +32,13 @@ def canonical_pool_swaps(raw: DataFrame) -> DataFrame:
 def since_inception(pool_daily: DataFrame, pools: Sequence[str] | None = None, max_day: int = 3) -> DataFrame:
     """Pools laid over each other by their own first day, for the first ``max_day`` days."""
     chosen = pool_daily if pools is None else pool_daily.where(F.col("pool_name").isin(list(pools)))
-    start = chosen.groupBy("pool_name").agg(F.min(day("date")).alias("__start"))
+    start = chosen.groupBy("pool_name").agg(F.min(day("date")).alias("date_reference"))
     return (
         chosen.join(start, "pool_name")
-        .withColumn("day", F.datediff(day("date"), F.col("__start")))
+        .withColumn("date", day("date"))
+        .withColumn("day", F.datediff("date", "date_reference"))
         .where(F.col("day") <= max_day)
-        .groupBy("day", "pool_name")
+        .groupBy("date", "date_reference", "day", "pool_name")
         .agg(*_sums())
     )
 

@@ -33,8 +33,8 @@ def level_days(prices: DataFrame, level: float, since: str | date | None = None)
         .groupBy("coin_id")
         .agg(
             F.count(F.lit(1)).alias("days"),
-            F.sum(if_else(above, F.lit(1), F.lit(0))).alias("days_above"),
-            F.sum(if_else(above, F.lit(0), F.lit(1))).alias("days_below"),
+            sum_strict(if_else(above, F.lit(1), F.lit(0))).alias("days_above"),
+            sum_strict(if_else(above, F.lit(0), F.lit(1))).alias("days_below"),
         )
     )
 
@@ -90,7 +90,7 @@ def strike_breaches(prices: DataFrame, mult: float = 1.15) -> DataFrame:
     below = if_else(F.col("breakeven") < 0, F.lit(1), F.lit(0))
     return weekly.groupBy("coin_id").agg(
         F.count(F.lit(1)).alias("weeks"),
-        F.when(F.count(below) == F.count(F.lit(1)), F.sum(below)).alias("breaches"),
+        sum_strict(below).alias("breaches"),
     )
 
 

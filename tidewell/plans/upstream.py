@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.functions.calendar import day, starting
@@ -28,11 +28,7 @@ def asset_popularity(swaps: DataFrame, since: str | date | None = None, by_dex:
     counts = _real_swaps(swaps, since).groupBy(
         *keys, "swap_to_asset_id", F.col("swap_to_name").alias("asset_name")
     ).agg(F.count(F.lit(1)).alias("swaps"))
-    order = [F.desc("swaps"), F.asc("swap_to_asset_id")]
-    if not by_dex:
-        return number_rows(counts, *order)
-    # One row per asset an exchange lists; a filter on the rank prunes before the shuffle.
-    return counts.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))
+    return number_rows(counts, F.desc("swaps"), F.asc("swap_to_asset_id"), by=keys)
 
 
 def identify_whales(accounts: DataFrame, labels: DataFrame, min_balance: float = 200_000) -> DataFrame:
