@@ -94,25 +94,29 @@ def returns_vs_benchmark(prices: DataFrame, index: DataFrame | None = None) -> D
     return ra.join(rb, "timestamp", "left")
 
 
-def max_drawdown(returns: DataFrame) -> DataFrame:
-    """Largest fall of the compounded return series, as a positive share; wealth starts at 1."""
+def _with_drawdown(returns: DataFrame) -> DataFrame:
+    """Known returns with the fall of the compounded series from its peak; wealth starts at 1."""
     running = _series().rowsBetween(Window.unboundedPreceding, Window.currentRow)
     known = returns.where(F.col("ra").isNotNull())
     wealth = known.withColumn("wealth", F.product(1 + F.col("ra")).over(running))
     peak = F.greatest(F.max("wealth").over(running), F.lit(1.0))
-    return wealth.withColumn("__dd", 1 - safe_div(F.col("wealth"), peak)).groupBy("coin_id").agg(
-        F.max("__dd").alias("maximum_drawdown")
-    )
+    return wealth.withColumn("fall", 1 - safe_div(F.col("wealth"), peak))
+
+
+def max_drawdown(returns: DataFrame) -> DataFrame:
+    """Largest fall of the compounded return series, as a positive share."""
+    return _with_drawdown(returns).groupBy("coin_id").agg(F.max("fall").alias("maximum_drawdown"))
 
 
 def downside_risk_table(returns: DataFrame, p: float = 0.95) -> DataFrame:
+    """All four measures in one aggregation per coin."""
     ra = F.col("ra")
-    table = returns.where(ra.isNotNull()).groupBy("coin_id").agg(
+    return _with_drawdown(returns).groupBy("coin_id").agg(
         stats.downside_deviation(ra).alias("downside_deviation"),
         stats.historical_var(ra, p).alias("historical_var"),
         stats.modified_var(ra).alias("modified_var"),
+        F.max("fall").alias("maximum_drawdown"),
     )
-    return table.join(max_drawdown(returns), "coin_id")
 
 
 def capm_table(returns: DataFrame) -> DataFrame:
