@@ -3,17 +3,28 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stored(frame: DataFrame) -> DataFrame:
-    """``frame`` written once to the folder that spark.checkpoint.dir names, and read from there.
-
-    Where that setting is missing (tests, one machine) a folder of this process takes its place.
-    """
-    context = frame.sparkSession.sparkContext
+def folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; where that is not set (tests), one of this process."""
+    context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def stored(frame: DataFrame) -> DataFrame:
+    """``frame`` computed once, its lineage cut. For small results: Spark removes the files by itself."""
+    folder(frame.sparkSession)
     return frame.checkpoint()
+
+
+def stored_table(frame: DataFrame) -> DataFrame:
+    """``frame`` written once as columns. For large results; the files stay until the folder is cleared."""
+    spark = frame.sparkSession
+    path = f"{folder(spark)}/table-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)
