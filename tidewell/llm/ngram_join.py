@@ -287,10 +287,10 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple[D
 
 
 def near_copies(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """doc_id, text_name, n_shingles and component_id of every row of ``docs`` (doc_id, text)."""
+    """doc_id, text_name, component (its name), n_shingles and component_id of every row of ``docs`` (doc_id, text)."""
     rows, labels = join(docs, width, percent)
     labelled = rows.join(labels, "class", "left").withColumn("component", F.coalesce("component", "class"))
     least = labelled.filter("n > 0").groupBy("component").agg(F.min("doc_id").alias("least"))
     return labelled.join(least, "component", "left").select(
-        "doc_id", "text_name", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id")
+        "doc_id", "text_name", "component", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id")
     )
