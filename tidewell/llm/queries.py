@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import byte_bpe, chat, neighbours, ngram_join, packing, quality, substrings, token_counts
+from tidewell.llm import byte_bpe, chat, licenses, neighbours, ngram_join, packing, quality, substrings, token_counts
 from tidewell.llm.stored import stored
 
 
@@ -74,6 +74,10 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_report(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -83,6 +87,41 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_nearest_neighbours": op7_nearest_neighbours,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_token_counts": op9_token_counts,
+    "op10_license_scans": op10_license_scans,
 }
 
-ORACLES: dict[str, str] = {}
+def sql_list(values: list[str]) -> str:
+    return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
+
+
+#: The exact containment in every window, without MinHash retrieval.
+LICENSE_SQL = f"""
+WITH known(template, size, width, shingle) AS (
+    VALUES {", ".join(f"('{t}', {n}, {w}, '{s}')" for t, n, w, s in licenses.template_shingles(licenses.TEMPLATES))}
+),
+totals AS (SELECT template, count(*) AS wanted FROM known GROUP BY template),
+docs AS (
+    SELECT doc_id, row_number() OVER () AS row,
+           list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '') AS words
+    FROM documents
+),
+places AS (SELECT doc_id, row, words, unnest(range(len(words))) AS i FROM docs),
+shingles AS (
+    SELECT doc_id, row, i, w.width, array_to_string(words[i + 1 : i + w.width], ' ') AS shingle
+    FROM places, (SELECT DISTINCT width FROM known) AS w
+    WHERE i + w.width <= len(words) AND words[i + 1] IN (SELECT DISTINCT split_part(shingle, ' ', 1) FROM known)
+),
+hits AS (SELECT s.*, k.template, k.size FROM shingles AS s JOIN known AS k ON s.width = k.width AND s.shingle = k.shingle),
+windows AS (
+    SELECT doc_id, row, template, shingle, (i // size - back) * size AS first_word
+    FROM hits, (VALUES (0), (1)) AS b(back)
+    WHERE i // size >= back AND i + width <= (i // size - back) * size + 2 * size
+),
+held AS (SELECT doc_id, row, template, first_word, count(DISTINCT shingle) AS n FROM windows GROUP BY ALL)
+SELECT doc_id, template, max(n / wanted) AS share, CAST(min(first_word) AS INTEGER) AS first_word
+FROM held JOIN totals USING (template)
+WHERE 100 * n >= {licenses.PERCENT} * wanted
+GROUP BY doc_id, row, template
+"""
+
+ORACLES: dict[str, str] = {"op10_license_scans": LICENSE_SQL}
