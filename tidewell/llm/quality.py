@@ -6,19 +6,18 @@ repeated lines. A text passes if it meets the base rule (enough words, few repea
 windows) and no measure exceeds its share of the text's characters.
 
 Result: one row for each input row, in one pass without a shuffle. A NULL text is an empty one: no
-words, so the base rule fails. Repeated rows are judged alike; other columns are not looked at.
+words, so the base rule fails. Repeated rows are judged alike; other columns are left as they are.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidewell.llm.words import STEPS, groups, mix, places, spans, window_names
+from tidewell.llm.words import STEPS, groups, mix, spans, window_names
 
 #: Largest share of a text's word characters inside repeated n-grams, by n.
 GRAM_SHARES = {5: 0.25, 7: 0.22, 10: 0.20}
@@ -28,11 +27,9 @@ MIN_WORDS, REPEAT_PERCENT, BASE_GRAM = 10, 20, 5
 #: Fixed value: the symbols that count as noise.
 SYMBOLS = "#*$%&|<>"
 
-SCHEMA = (
-    "doc_id long, n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, dup_line_chars long, "
-    + "n_repeat_words long, "
-    + ", ".join(f"gram_chars_{n} long" for n in GRAM_SHARES)
-)
+MEASURES = (
+    "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "dup_line_chars", "n_repeat_words", *(f"gram_chars_{n}" for n in GRAM_SHARES)
+)
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in SYMBOLS]] = True
 
@@ -67,7 +64,7 @@ def repeated_lines(text: bytes) -> tuple[int, int, int]:
 
 
 def measure(texts: list[bytes]) -> list[np.ndarray]:
-    """The measures of SCHEMA after doc_id, one array for each column."""
+    """MEASURES, one array for each column."""
     data = np.frombuffer(b"\n".join(texts), np.uint8)
     names, start, end = spans(data.tobytes())
     size = np.array([len(t) + 1 for t in texts])
@@ -91,31 +88,37 @@ def measure(texts: list[bytes]) -> list[np.ndarray]:
     ]
 
 
-def measures(docs: DataFrame) -> DataFrame:
-    """The measures of every row of ``docs`` (doc_id, text)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t.encode() for t in batch.column(1).to_pylist()]
-            for a, b in groups(texts):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *(pa.array(x, pa.int64()) for x in measure(texts[a:b]))], names=[f.split()[0] for f in SCHEMA.split(", ")])
-
-    return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, SCHEMA)
+@F.arrow_udf(T.StructType([T.StructField(name, T.LongType()) for name in MEASURES]))
+def measured(texts: pa.Array) -> pa.Array:
+    """The measures of each text as a struct."""
+    given = [t.as_buffer().to_pybytes() for t in texts]
+    parts = [measure(given[a:b]) for a, b in groups(given)]
+    columns = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * len(MEASURES)
+    return pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in columns], names=MEASURES)
 
 
-def judged(found: DataFrame) -> DataFrame:
-    """Adds base_failed and kept to measures()."""
-    base_failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
+def verdict(prefix: str = "") -> tuple[Column, Column]:
+    """Whether the base rule fails and whether the text is kept, from the measures in columns with this prefix."""
+    of = lambda name: F.col(prefix + name)
+    base_failed = (of("n_words") < MIN_WORDS) | (100 * of("n_repeat_words") > REPEAT_PERCENT * of("n_words"))
     clean = (
-        (F.col("dup_line_chars") <= LINE_CHARS * F.col("word_chars"))
-        & (F.col("n_dup_lines") <= LINE_SHARE * F.col("n_lines"))
-        & (F.col("n_symbols") <= SYMBOL_SHARE * F.col("n_words"))
+        (of("dup_line_chars") <= LINE_CHARS * of("word_chars"))
+        & (of("n_dup_lines") <= LINE_SHARE * of("n_lines"))
+        & (of("n_symbols") <= SYMBOL_SHARE * of("n_words"))
     )
     for n, share in GRAM_SHARES.items():
-        clean &= F.col(f"gram_chars_{n}") <= share * F.col("word_chars")
-    return found.withColumn("base_failed", base_failed).withColumn("kept", ~F.col("base_failed") & clean)
+        clean &= of(f"gram_chars_{n}") <= share * of("word_chars")
+    return base_failed, ~base_failed & clean
 
 
 def quality(docs: DataFrame) -> DataFrame:
-    """Measures and verdict of every row of ``docs`` (doc_id, text)."""
-    return judged(measures(docs))
+    """doc_id, measures and verdict of every row of ``docs`` (doc_id, text)."""
+    found = docs.select("doc_id", measured(F.coalesce("text", F.lit(""))).alias("m")).select("doc_id", "m.*")
+    base_failed, kept = verdict()
+    return found.select("*", base_failed.alias("base_failed"), kept.alias("kept"))
+
+
+def filtered(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are kept, with all their columns."""
+    _, kept = verdict("measures__.")
+    return docs.withColumn("measures__", measured(F.coalesce("text", F.lit("")))).filter(kept).drop("measures__")
