@@ -112,4 +112,6 @@ def test_asset_and_coin_spellings(spark):
 def test_display_formats(spark):
     df = spark.createDataFrame([(0.12345, -1234.5, 7)], "a double, b double, c int")
     assert df.select(names.percent(F.col("a"), 2), names.dollar(F.col("b"), 1)).first()[:] == ("12.35%", "-$1,234.5")
-    assert names.format_numeric(df).first()[:] == ("0.12", "-1,234.50", 7)
+    assert names.format_numeric(df).first()[:] == ("0.12", "-1234", 7)
+    df = spark.createDataFrame([(0.001234, 0.0999, 9.99, 0.0, None)], "a double, b double, c double, d double, e double")
+    assert names.format_numeric(df).first()[:] == ("0.0012", "0.10", "10", "0.0", None)

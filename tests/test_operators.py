@@ -82,7 +82,7 @@ def test_numbers_over_a_table(spark):
     random.seed(5)
     data = [(random.randint(0, 20), i) for i in range(500)]
     df = spark.createDataFrame(data, "v int, i int").repartition(7)
-    got = number_rows(df, F.desc("v"), F.asc("i"))
+    got = number_rows(df, "-v", "i")
     want = sorted(data, key=lambda t: (-t[0], t[1]))
     assert [(x["v"], x["i"]) for x in sorted(got.collect(), key=lambda x: x["rank"])] == want
     assert sorted(x["rank"] for x in got.collect()) == list(range(1, 501))
@@ -92,7 +92,7 @@ def test_numbers_within_groups(spark):
     random.seed(6)
     data = [(random.choice(["a", "b", None]), random.randint(0, 5), i) for i in range(300)]
     df = spark.createDataFrame(data, "k string, v int, i int").repartition(5)
-    got = number_rows(df, F.desc("v"), F.asc("i"), by=["k"]).collect()
+    got = number_rows(df, "-v", "i", by=["k"]).collect()
     for k in ("a", "b", None):
         want = sorted(((v, i) for kk, v, i in data if kk == k), key=lambda t: (-t[0], t[1]))
         assert [(x["v"], x["i"]) for x in sorted((x for x in got if x["k"] == k), key=lambda x: x["rank"])] == want

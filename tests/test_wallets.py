@@ -34,7 +34,7 @@ def test_popularity(swaps):
     assert rows(ranked, "rank") == [("2", "USDC", 3, 1), ("3", "GARD", 1, 2)]
     assert [r["asset_name"] for r in popularity.top_assets(ranked, 1).collect()] == ["USDC"]
     by_dex = upstream.asset_popularity(swaps, by_dex=True)
-    wide = popularity.top_assets_by_dex(by_dex, wide=True)
+    wide = popularity.top_assets_by_dex(by_dex, wide=True, dexes=["x", "y"])
     assert wide.columns == ["rank", "x", "y"]
     assert rows(wide, "rank") == [(1, "USDC", "USDC"), (2, None, "GARD")]
     assert popularity.top_assets_by_dex(by_dex, 1).count() == 2

@@ -7,10 +7,11 @@ from tidewell.catalog.base import query
 from tidewell.catalog.charts import density_sql, histogram_sql
 from tidewell.catalog.sql import friday, sunday_up, views
 from tidewell.functions import calendar as cal
-from tidewell.functions import nulls
+from tidewell.functions import names, nulls
 from tidewell.operators import distribution as d
 from tidewell.operators import reshape as r
 from tidewell.operators.ranking import number_rows
+from tidewell.sources.io import normalize_names, read_dataset, read_prices
 
 
 def _orders_per_day(v):
@@ -152,20 +153,23 @@ def set_difference(v):
 @query(
     "w06_strict_running_values",
     "day:day priority total:2 highest:2 before:8",
-    f"""{_PER_DAY}, q AS (SELECT *, largest / 1e5 AS x FROM pd)
+    f"""{_PER_DAY}, q AS (SELECT day, priority, CASE WHEN month(day) <> 6 OR day(day) <> 13 THEN largest END AS largest FROM pd)
 --
-SELECT day, priority, sum(largest) OVER w AS total, max(largest) OVER w AS highest,
-       coalesce(sum(ln(x)) OVER (PARTITION BY priority ORDER BY day ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), 0) AS before
-FROM q WINDOW w AS (PARTITION BY priority ORDER BY day ROWS UNBOUNDED PRECEDING)""",
+SELECT day, priority, CASE WHEN count(largest) OVER w = count(*) OVER w THEN sum(largest) OVER w END AS total,
+       CASE WHEN count(largest) OVER w = count(*) OVER w THEN max(largest) OVER w END AS highest,
+       coalesce(CASE WHEN count(largest) OVER b = count(*) OVER b THEN product(1 + largest / 1e9) OVER b END, 1) AS before
+FROM q WINDOW w AS (PARTITION BY priority ORDER BY day ROWS UNBOUNDED PRECEDING),
+       b AS (PARTITION BY priority ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
 )
 def running_values(v):
+    """A missing value makes all later running values missing."""
     w = Window.partitionBy("priority").orderBy("day")
-    x = F.ln(F.col("largest") / 1e5)
-    return _orders_per_day(v).select(
+    known = (F.month("day") != 6) | (F.dayofmonth("day") != 13)
+    return _orders_per_day(v).withColumn("largest", F.when(known, F.col("largest"))).select(
         "day", "priority",
         nulls.running_sum_strict(F.col("largest"), w).alias("total"),
         nulls.running_max_strict(F.col("largest"), w).alias("highest"),
-        F.coalesce(F.sum(x).over(w.rowsBetween(-5, -1)), F.lit(0.0)).alias("before"),
+        nulls.lagged_product_strict(1 + F.col("largest") / 1e9, w).alias("before"),
     )
 
 
@@ -177,7 +181,7 @@ def running_values(v):
 SELECT c_custkey, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS rank FROM customer""",
 )
 def number_customers(v):
-    return number_rows(v.table("customer").select("c_custkey", "c_acctbal"), F.desc("c_acctbal"), F.asc("c_custkey"))
+    return number_rows(v.table("customer").select("c_custkey", "c_acctbal"), "-c_acctbal", "c_custkey")
 
 
 @query(
@@ -193,15 +197,59 @@ def weeks_of_events(v):
     )
 
 
+_PRICES = {"coin_id": "o_orderpriority", "timestamp": "o_orderdate", "vs_currency": "o_orderstatus", "price": "o_totalprice"}
+
+
+@query(
+    "s01_read_dataset",
+    "block_timestamp:time type vault amount:4 address",
+    """
+--
+SELECT ts AS block_timestamp, event_type AS type, props AS vault, value AS amount, CAST(user_id AS VARCHAR) AS address FROM events""",
+)
+def landed_dataset(v):
+    """A landed table under its declared schema."""
+    columns = {"block_timestamp": "ts", "type": "event_type", "vault": "props", "amount": "value", "address": "user_id"}
+    return read_dataset(v.spark, "vault_events", f"{v.sf_dir}/events.parquet", columns=columns)
+
+
 @query(
     "s02_price_source",
-    "coin_id timestamp:day price:8",
-    f"""{views("price_history")}
+    "coin_id timestamp:day vs_currency price:8 market_cap",
+    """
 --
-SELECT coin_id, timestamp, price FROM price_history WHERE coin_id IN ('terra-luna', 'bitcoin')
-AND timestamp >= DATE '2001-08-01' - 365""",
+SELECT o_orderpriority AS coin_id, o_orderdate AS timestamp, o_orderstatus AS vs_currency, o_totalprice AS price,
+       CAST(NULL AS DOUBLE) AS market_cap FROM orders
+WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_orderstatus = 'O'
+AND o_orderdate >= DATE '2001-08-01' - 365 AND o_orderdate < DATE '2001-08-02'""",
 )
 def price_source(v):
-    """Chosen coins and look-back over the whole history."""
-    prices = v.price_history().where(F.col("coin_id").isin("terra-luna", "bitcoin"))
-    return cal.since(prices, "timestamp", "2001-08-01", 365)
+    """Chosen coins and look-back, pushed to the scan."""
+    return read_prices(
+        v.spark, f"{v.sf_dir}/orders.parquet", ["1-URGENT", "2-HIGH"], 365, "2001-08-01", vs_currency="O", columns=_PRICES
+    )
+
+
+@query(
+    "s05_normalize_names",
+    "CCustkey:int CAcctbal:2",
+    """
+--
+SELECT c_custkey AS "CCustkey", c_acctbal AS "CAcctbal" FROM customer""",
+)
+def renamed(v):
+    return normalize_names(v.spark.read.parquet(f"{v.sf_dir}/customer.parquet"), "upper_camel")
+
+
+@query(
+    "p16_significant_digits",
+    "c_custkey:int shown",
+    """
+--
+SELECT c_custkey, CASE WHEN abs(x) >= 1e5 THEN printf('%.0f', x) ELSE printf('%.' || greatest(5 - floor(log10(greatest(abs(x), 1e-9)))::INT, 0) || 'f', x) END AS shown
+FROM (SELECT c_custkey, floor(c_acctbal) + 0.5 * (c_custkey % 2) AS x FROM customer) WHERE abs(x) >= 1""",
+)
+def significant_digits(v):
+    x = F.floor("c_acctbal") + 0.5 * F.pmod("c_custkey", F.lit(2))
+    shown = v.table("customer").select("c_custkey", x.alias("x")).where(F.abs("x") >= 1)
+    return shown.select("c_custkey", names.significant(F.col("x"), 6).alias("shown"))

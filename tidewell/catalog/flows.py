@@ -1,5 +1,5 @@
 from tidewell.catalog.base import query
-from tidewell.catalog.sql import friday, strict_sum, views
+from tidewell.catalog.sql import friday, n_distinct, strict_sum, views
 from tidewell.plans import crossover as x
 from tidewell.plans import flows as f
 
@@ -37,12 +37,12 @@ def attribute_price_day(v):
 
 
 _EVENT_DAYS = f"""{views("vault_events", "vault_rates")},
-ev AS (SELECT CAST(block_timestamp AS DATE) AS date, type, vault, count(*) AS events, sum(amount) AS amount
+ev AS (SELECT CAST(block_timestamp AS DATE) AS date, type, vault, count(*) AS events, {strict_sum('amount')} AS amount
        FROM vault_events GROUP BY 1, 2, 3)"""
 
 _DAILY = f"""{_EVENT_DAYS},
 pr AS (SELECT ev.*, last_value(price IGNORE NULLS) OVER (PARTITION BY type, vault ORDER BY ev.date
-       ROWS UNBOUNDED PRECEDING) AS price FROM ev LEFT JOIN vault_rates r ON ev.vault = r.token AND ev.date = r.date),
+       ROWS UNBOUNDED PRECEDING) AS price FROM ev LEFT JOIN vault_rates r ON ev.vault IS NOT DISTINCT FROM r.token AND ev.date = r.date),
 daily AS (SELECT date, type, vault, events, amount, amount * price AS amount_usd FROM pr)"""
 
 
@@ -97,7 +97,7 @@ def weekly_net_flows(v):
 --
 SELECT week, vault, 'value' AS type, deposits_usd_to_date AS usd FROM weekly
 UNION ALL SELECT w.week, w.vault, 'benchmark', CASE WHEN w.week >= DATE '{WEEK}' THEN b.deposits_usd_to_date END
-FROM weekly w LEFT JOIN (SELECT vault, deposits_usd_to_date FROM weekly WHERE week = DATE '{WEEK}') b ON w.vault = b.vault""",
+FROM weekly w LEFT JOIN (SELECT vault, deposits_usd_to_date FROM weekly WHERE week = DATE '{WEEK}') b ON w.vault IS NOT DISTINCT FROM b.vault""",
 )
 def cumulative_vs_benchmark(v):
     return f.cumulative_vs_benchmark(_weekly(v), WEEK)
@@ -118,7 +118,7 @@ _USERS = f"""{views("vault_events")},
 dep AS (SELECT *, {friday("block_timestamp")} AS week FROM vault_events WHERE type = 'deposit'),
 act AS (SELECT DISTINCT vault, week FROM dep),
 cum AS (SELECT act.vault, act.week, count(DISTINCT dep.address) AS distinct_users FROM act JOIN dep
-        ON dep.vault = act.vault AND dep.week <= act.week GROUP BY 1, 2),
+        ON dep.vault IS NOT DISTINCT FROM act.vault AND dep.week <= act.week GROUP BY 1, 2),
 users AS (SELECT *, distinct_users - lag(distinct_users, 1, 0) OVER (PARTITION BY vault ORDER BY week) AS new_users FROM cum)"""
 
 
@@ -149,7 +149,7 @@ def new_users_since(v):
     "q26_vaults_per_wallet",
     "vaults:int n:int percentage:9",
     f"""{views("vault_events")},
-c AS (SELECT address, count(DISTINCT vault) AS vaults FROM vault_events GROUP BY 1)
+c AS (SELECT address, {n_distinct('vault')} AS vaults FROM vault_events GROUP BY 1)
 --
 SELECT vaults, count(*) AS n, count(*) / sum(count(*)) OVER () AS percentage FROM c GROUP BY 1""",
 )
@@ -161,16 +161,16 @@ _NODES = f"""{views("vault_events")},
 dep AS (SELECT *, min(block_timestamp) OVER (PARTITION BY address) AS first FROM vault_events WHERE type = 'deposit'),
 nd AS (SELECT vault, count(DISTINCT address) AS depositors, count(*) FILTER (block_timestamp = first) AS first_depositors
        FROM dep GROUP BY 1),
-nodes AS (SELECT row_number() OVER (ORDER BY vault) AS id, * FROM nd)"""
+nodes AS (SELECT row_number() OVER (ORDER BY vault NULLS FIRST) AS id, * FROM nd)"""
 
 
 def _edges_sql(base: str) -> str:
     return f"""{_NODES},
 fd AS (SELECT address, vault, min(block_timestamp) AS t FROM dep GROUP BY 1, 2),
 wt AS (SELECT a.vault AS from_vault, b.vault AS to_vault, count(*) AS weight FROM fd a JOIN fd b
-       ON a.address = b.address AND a.vault <> b.vault AND a.t < b.t GROUP BY 1, 2),
+       ON a.address = b.address AND a.vault IS DISTINCT FROM b.vault AND a.t < b.t GROUP BY 1, 2),
 edges AS (SELECT n.id AS "from", m.id AS "to", weight, weight / n.{base} AS percentage_weight, from_vault, to_vault
-          FROM wt JOIN nodes n ON n.vault = from_vault JOIN nodes m ON m.vault = to_vault)"""
+          FROM wt JOIN nodes n ON n.vault IS NOT DISTINCT FROM from_vault JOIN nodes m ON m.vault IS NOT DISTINCT FROM to_vault)"""
 
 
 def _edges(v, base="depositors"):

@@ -3,7 +3,6 @@ from tidewell.catalog.charts import density_sql, ecdf_sql, histogram_sql
 from tidewell.catalog.sql import views
 from tidewell.plans import lp as l
 from tidewell.plans import upstream as u
-from tidewell.sources.stage import settle
 from tidewell.sources.views import Views
 
 
@@ -16,8 +15,8 @@ def _lp(v: Views):
 
 
 def _prepared(v: Views):
-    """Valued positions written down once; the distribution behind a chart reads them repeatedly."""
-    return settle(_lp(v))
+    """What the distribution behind a chart needs of the valued positions."""
+    return _lp(v).select("pool_name_short", "chain", "lp_position_usd")
 
 
 _LP = views("lp")

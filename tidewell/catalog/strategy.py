@@ -116,7 +116,7 @@ SELECT coin_id, weeks, hold_return, covered_call_return, weeks_behind,
        pow((1 + hold_return) / (1 + covered_call_return), 1.0 / weeks) - 1 AS breakeven_yield FROM t""",
 )
 def portfolio_summary(v):
-    return s.portfolio_summary(s.covered_call_portfolio(v.price_history()))
+    return s.portfolio_summary(s.covered_call_portfolio(v.price_history()), tolerance=1e-12)
 
 
 @query(

@@ -1,6 +1,6 @@
 from tidewell.catalog.base import query
 from tidewell.catalog.charts import histogram_sql
-from tidewell.catalog.sql import sunday_up, views
+from tidewell.catalog.sql import n_distinct, sunday_up, views
 from tidewell.plans import focus
 from tidewell.plans import upstream as u
 from tidewell.plans import whales as w
@@ -74,7 +74,7 @@ t AS (SELECT swap_to_name AS asa, count(DISTINCT swapper) AS wt, count(*) AS swa
     "asa whales:int swaps_from:int swaps_to:int swaps:int",
     f"""{_SIDES}
 --
-SELECT asa, wf + wt AS whales, swaps_from, swaps_to, swaps_from + swaps_to AS swaps FROM f LEFT JOIN t USING (asa)""",
+SELECT f.asa, wf + wt AS whales, swaps_from, swaps_to, swaps_from + swaps_to AS swaps FROM f LEFT JOIN t ON f.asa IS NOT DISTINCT FROM t.asa""",
 )
 def asset_flow_summary(v):
     return w.asset_flow_summary(_swaps(v))
@@ -85,7 +85,7 @@ def asset_flow_summary(v):
     "asa whales:int swaps_from:int swaps_to:int swaps:int",
     f"""{_SIDES}
 --
-SELECT asa, wf + wt AS whales, swaps_from, swaps_to, swaps_from + swaps_to AS swaps FROM f FULL JOIN t USING (asa)""",
+SELECT coalesce(f.asa, t.asa) AS asa, wf + wt AS whales, swaps_from, swaps_to, swaps_from + swaps_to AS swaps FROM f FULL JOIN t ON coalesce(f.asa, '') = coalesce(t.asa, '')""",
 )
 def asset_flow_summary_full(v):
     return w.asset_flow_summary(_swaps(v), "full")
@@ -98,7 +98,7 @@ wk AS (SELECT *, {sunday_up("block_timestamp")} AS week FROM whale_swaps),
 c AS (SELECT week, {asset}, count(DISTINCT swapper) AS whales, count(*) AS swaps FROM wk GROUP BY 1, 2),
 g AS (SELECT * FROM (SELECT DISTINCT week FROM wk), (SELECT DISTINCT {asset} FROM wk))
 --
-SELECT g.week, g.{asset}, whales, coalesce(swaps, 0) AS swaps FROM g LEFT JOIN c ON g.week = c.week AND g.{asset} = c.{asset}"""
+SELECT g.week, g.{asset}, whales, coalesce(swaps, 0) AS swaps FROM g LEFT JOIN c ON g.week = c.week AND g.{asset} IS NOT DISTINCT FROM c.{asset}"""
 
 
 @query("q56_weekly_dense_counts_from", "week:day swap_from_name whales:int swaps:1", _dense_sql("from"))
@@ -116,8 +116,8 @@ def weekly_to(v):
     "value label",
     f"""{views("swaps")},
 named AS (SELECT * FROM (VALUES ('ASA3', 'red'), ('ASA1', 'blue'), ('ASA99', 'green')) AS t(value, label)),
-rest AS (SELECT value, row_number() OVER (ORDER BY value) AS k FROM (SELECT DISTINCT swap_to_name AS value FROM swaps)
-         WHERE value NOT IN (SELECT value FROM named))
+rest AS (SELECT value, row_number() OVER (ORDER BY value NULLS FIRST) AS k FROM (SELECT DISTINCT swap_to_name AS value FROM swaps)
+         WHERE value IS NULL OR value NOT IN (SELECT value FROM named))
 --
 SELECT * FROM named UNION ALL SELECT value, CASE (k - 1) % 2 WHEN 0 THEN 'grey' ELSE 'black' END FROM rest""",
 )
@@ -132,7 +132,7 @@ def focus_groups(v):
     "value",
     f"""{views("swaps")}
 --
-SELECT * FROM (VALUES ('ASA3'), ('ASA99')) AS t(value) WHERE value NOT IN (SELECT swap_to_name FROM swaps)""",
+SELECT * FROM (VALUES ('ASA3'), ('ASA99')) AS t(value) WHERE value NOT IN (SELECT swap_to_name FROM swaps WHERE swap_to_name IS NOT NULL)""",
 )
 def unmatched_values(v):
     return focus.unmatched_values(v.swaps(), "swap_to_name", ["ASA3", "ASA99"])
@@ -143,7 +143,7 @@ def unmatched_values(v):
     "swapper n_values:int",
     f"""{views("swaps")}
 --
-SELECT swapper, count(DISTINCT swap_to_name) AS n_values FROM swaps GROUP BY 1 HAVING count(DISTINCT swap_to_name) > 1""",
+SELECT swapper, {n_distinct('swap_to_name')} AS n_values FROM swaps GROUP BY 1 HAVING {n_distinct('swap_to_name')} > 1""",
 )
 def ambiguous_ids(v):
     return focus.ambiguous_ids(v.swaps(), "swapper", "swap_to_name")

@@ -62,10 +62,21 @@ def dollar(c: Column, digits: int = 0) -> Column:
     return F.concat(F.when(c < 0, "-$").otherwise("$"), F.format_number(F.abs(c), digits))
 
 
+def significant(c: Column, digits: int = 2) -> Column:
+    """A number as text with ``digits`` significant digits; whole digits are never cut off."""
+    c = c.cast("double")
+    # as 1.2e-03, which knows the place of the first digit after rounding
+    written = F.format_string(f"%.{max(digits - 1, 0)}e", c)
+    lead = F.split_part(written, F.lit("e"), F.lit(-1)).cast("int")
+    decimals = F.least(F.greatest(F.lit(digits - 1) - lead, F.lit(0)), F.lit(300))
+    shown = F.call_function("format_number", c, decimals)
+    return F.when(c.isNotNull(), F.replace(shown, F.lit(","), F.lit("")))
+
+
 def format_numeric(df: DataFrame, digits: int = 2) -> DataFrame:
-    """Every fractional column as text with ``digits`` decimals. Meant as the last step."""
+    """Every fractional column as text with ``digits`` significant digits. Meant as the last step."""
     shown = {
-        f.name: F.format_number(f.name, digits)
+        f.name: significant(F.col(f.name), digits)
         for f in df.schema.fields
         if isinstance(f.dataType, (T.DoubleType, T.FloatType, T.DecimalType))
     }

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from tidewell.functions.nulls import safe_div
 from tidewell.operators.reshape import left_join_null_safe
-from tidewell.sources.stage import settle
 
 
 def value_counts(df: DataFrame, x: str, by: Sequence[str] = ()) -> DataFrame:
@@ -39,6 +38,13 @@ def _slice(df: DataFrame, cuts: Column, x: Column, levels: int) -> DataFrame:
     return found.select(*df.columns, F.col(f"__s{levels}").alias("__slice"))
 
 
+def slice_of(df: DataFrame, x: str, levels: int, name: str) -> DataFrame:
+    """Add the slice of the number line, cut at approximate quantiles, that the number ``x`` falls into."""
+    slices = 2**levels
+    cuts = df.agg(F.percentile_approx(x, [i / slices for i in range(1, slices)], 10 * slices)).scalar()
+    return _slice(df, cuts, F.col(x), levels).withColumnRenamed("__slice", name)  # ``df`` has no __slice of its own
+
+
 def running_counts(counts: DataFrame, x: str, by: Sequence[str] = (), levels: int = 8) -> DataFrame:
     """Add ``n_through`` (rows at or below the value) and ``n_total`` to value counts.
 
@@ -78,24 +84,36 @@ def running_counts(counts: DataFrame, x: str, by: Sequence[str] = (), levels: in
     )
 
 
-def ecdf(df: DataFrame, x: str, by: Sequence[str] = ()) -> DataFrame:
-    """Steps of the empirical distribution function, one row per distinct value."""
-    steps = running_counts(value_counts(df, x, by), x, by)
+def ecdf(df: DataFrame, x: str, by: Sequence[str] = (), levels: int = 8) -> DataFrame:
+    """Steps of the empirical distribution function, one row per distinct value.
+
+    ``levels``: the work is cut into 2 ** levels slices; more for a larger cluster.
+    """
+    steps = running_counts(value_counts(df, x, by), x, by, levels)
     return steps.select(*by, x, (F.col("n_through") / F.col("n_total")).alias("ecdf"))
 
 
-def inverse_cdf(df: DataFrame, x: str) -> DataFrame:
+def inverse_cdf(df: DataFrame, x: str, levels: int = 8, part: int = 100_000) -> DataFrame:
     """Every row's value with its cumulative share; missing values have no rank and are left out.
 
-    The distribution is worked out per distinct value and joined back; a value shared by a large
-    part of the rows is then a skewed join key, which adaptive execution splits.
+    Only the two columns come out, so the rows are made from the counts: a value is repeated as often
+    as it occurs. A value shared by a large part of the rows is dealt out in parts of ``part`` rows.
     """
-    steps = ecdf(df, x).withColumnRenamed("ecdf", "cume_dist")
-    return df.select(x).where(F.col(x).isNotNull()).join(steps, x).select("cume_dist", x)
+    steps = running_counts(value_counts(df, x), x, levels=levels)
+    parts = steps.select(
+        (F.col("n_through") / F.col("n_total")).alias("cume_dist"),
+        x,
+        F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(part).cast("long"))).alias("__from"),
+        "n",
+    )
+    size = F.least(F.lit(part).cast("long"), F.col("n") - F.col("__from"))
+    return parts.withColumn("__size", size).repartition("cume_dist", "__from").select(
+        "cume_dist", x, F.explode(F.sequence(F.lit(1).cast("long"), "__size")).alias("__row")
+    ).drop("__row")
 
 
 def quantiles(
-    df: DataFrame, x: str, probs: Sequence[float], by: Sequence[str] = (), interpolate: bool = True
+    df: DataFrame, x: str, probs: Sequence[float], by: Sequence[str] = (), interpolate: bool = True, levels: int = 8
 ) -> DataFrame:
     """Exact quantiles, one row per group and probability.
 
@@ -103,7 +121,7 @@ def quantiles(
     whose cumulative share reaches ``p``. Exact percentiles hold a group's distinct values in one
     buffer; this picks the two order statistics out of the running counts instead.
     """
-    return _pick_quantiles(running_counts(value_counts(df, x, by), x, by), x, probs, by, interpolate)
+    return _pick_quantiles(running_counts(value_counts(df, x, by), x, by, levels), x, probs, by, interpolate)
 
 
 def _pick_quantiles(
@@ -145,6 +163,8 @@ def histogram(
 ) -> DataFrame:
     """Counts and relative frequencies in equal bins, the first one centred on the minimum.
 
+    A single bin spans the minimum to the maximum.
+
     Bins are closed on the right and shared by all groups; empty ones are listed. The frequency
     is relative to all rows of the chart.
     """
@@ -153,9 +173,9 @@ def histogram(
         F.struct(F.min("__x").alias("lo"), F.max("__x").alias("hi"), F.count(F.lit(1)).alias("total"))
     ).scalar()
     width = _bin_width(bins)
-    first_edge = F.col("__e.lo") - width / 2
+    first_edge = F.when(F.lit(bins == 1) & (F.col("__e.lo") < F.col("__e.hi")), F.col("__e.lo")).otherwise(F.col("__e.lo") - width / 2)
     single = F.col("__e.hi") == F.col("__e.lo")
-    index = F.when(single, 0).otherwise(F.greatest(F.ceil(safe_div(F.col("__x") - first_edge, width)) - 1, F.lit(0)))
+    index = F.when(single | F.lit(bins == 1), 0).otherwise(F.greatest(F.ceil(safe_div(F.col("__x") - first_edge, width)) - 1, F.lit(0)))
     counted = data.withColumn("__e", extent).groupBy(*by, index.cast("int").alias("bin")).agg(
         F.count(F.lit(1)).alias("n")
     )
@@ -193,15 +213,14 @@ def density(
     ``points`` cells that reaches four bandwidths past the range, each value split linearly over
     its two neighbours; the density is read off that grid by linear interpolation. After the
     split a group has at most ``points`` rows, whatever its size, and the evaluation is
-    ``points`` x ``points`` products per group.
+    ``points`` x ``points`` products (262,144 by default) per group. The plan is lazy: range and
+    bandwidths are subqueries, and the passes share the exchange of the value counts.
     """
     by = list(by)
-    # Read by half a dozen passes below, so the values are written down once.
-    data = settle(value_counts(_on_scale(df, x, log10), "__x", by))
-    lo, hi = data.agg(F.min("__x"), F.max("__x")).first()
-    if lo is None:
-        nothing = [F.lit(0).alias("point"), F.lit(0.0).alias("x"), F.lit(0.0).alias("density")]
-        return data.limit(0).select(*by, *nothing)
+    counts = value_counts(_on_scale(df, x, log10), "__x", by)
+    extent = counts.agg(F.struct(F.min("__x").alias("lo"), F.max("__x").alias("hi"))).scalar()
+    data = counts.withColumn("__e", extent)
+    lo, hi = F.col("__e.lo"), F.col("__e.hi")
     n, shifted = F.col("n"), F.col("__x") - lo
     squares = F.sum(n * shifted * shifted) - F.sum(n * shifted) * F.sum(n * shifted) / F.sum("n")
     moments = data.groupBy(*by).agg(
@@ -209,7 +228,7 @@ def density(
         F.sqrt(F.greatest(safe_div(squares, F.sum("n") - 1), F.lit(0.0))).alias("__sd"),
         F.min("__x").alias("__first"),
     )
-    quartiles = _pick_quantiles(running_counts(data, "__x", by), "__x", [0.25, 0.75], by)
+    quartiles = _pick_quantiles(running_counts(counts, "__x", by), "__x", [0.25, 0.75], by)
     spread = quartiles.groupBy(*by).agg((F.max("quantile") - F.min("quantile")).alias("__iqr"))
     known = left_join_null_safe(moments, spread, by) if by else moments.withColumn("__iqr", spread.scalar())
     rule = F.least("__sd", F.col("__iqr") / 1.34)
@@ -235,8 +254,8 @@ def density(
     )
     mass = (
         _attach(data, groups, by)
-        .select(*by, "__n", "__bw", halves.alias("h"))
-        .groupBy(*by, "__n", "__bw", F.col("h.cell").alias("__cell"))
+        .select(*by, "__n", "__bw", "__e", halves.alias("h"))
+        .groupBy(*by, "__n", "__bw", "__e", F.col("h.cell").alias("__cell"))
         .agg(F.sum("h.mass").alias("__mass"))
     )
     offset = (F.col("x") - low) / step
@@ -261,7 +280,5 @@ def _attach(df: DataFrame, groups: DataFrame, by: Sequence[str]) -> DataFrame:
     """Size and bandwidth of a row's group beside it; rows of groups without a bandwidth go."""
     if by:
         return left_join_null_safe(df, groups, by).where(F.col("__bw").isNotNull())
-    one = groups.first()
-    if one is None:
-        return df.limit(0).withColumns({"__n": F.lit(0).cast("long"), "__bw": F.lit(0.0)})
-    return df.withColumns({"__n": F.lit(one["__n"]), "__bw": F.lit(one["__bw"])})
+    one = groups.select(F.struct("__n", "__bw")).scalar()
+    return df.withColumn("__g", one).where(F.col("__g").isNotNull()).select(*df.columns, "__g.__n", "__g.__bw")

@@ -6,41 +6,57 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tidewell.operators.distribution import slice_of
 from tidewell.operators.reshape import left_join_null_safe
-from tidewell.sources.stage import ensure_checkpoint_dir, settle
 
 
-def number_rows(df: DataFrame, *order: Column, by: Sequence[str] = (), name: str = "rank") -> DataFrame:
+def _ordering(key: str) -> Column:
+    return F.desc_nulls_last(key[1:]) if key.startswith("-") else F.asc_nulls_first(key)
+
+
+def _place(df: DataFrame, key: str) -> Column:
+    """A number that never falls along the order of ``key``; it decides on balance, not on the result."""
+    name = key.removeprefix("-")
+    kind, c = df.schema[name].dataType, F.col(name)
+    if isinstance(kind, T.StringType):
+        number = F.conv(F.rpad(F.hex(F.substring(F.encode(c, "UTF-8"), 1, 6)), 12, "0"), 16, 10).cast("double")
+    elif isinstance(kind, (T.NumericType, T.BooleanType)):
+        number = c.cast("double")
+    elif isinstance(kind, T.DateType):
+        number = F.unix_date(c).cast("double")
+    else:
+        number = F.unix_micros(c.cast("timestamp")).cast("double")
+    # NULL comes first going up and last going down
+    return F.coalesce(-number, F.lit(float("inf"))) if key.startswith("-") else F.coalesce(number, F.lit(float("-inf")))
+
+
+def number_rows(df: DataFrame, *order: str, by: Sequence[str] = (), name: str = "rank", levels: int = 8) -> DataFrame:
     """Add 1, 2, ... in the given order, which must be total, over the table or within ``by``.
 
-    A window sorts each group, or the whole table, in one task. Instead the table is range-sorted
-    by group and order and written down. A row's number is its place in its partition plus the
-    sizes of the partitions before, less the number its group starts after. The written
-    partitions are the same whenever they are read. Only a session without a folder to write to
-    falls back on the window.
+    ``order`` lists columns, "-" before one for descending. A plain window sorts each group, or the
+    whole table, in one task. Here the rows are counted by the first column, and by slices of the second
+    where many rows share a value. Running sums of these counts, taken within slices of the number line
+    and lifted by the totals of the slices before, tell at which number each small set of rows
+    starts; only within such a set are rows sorted. Approximate quantiles cut the slices (2 ** levels
+    of them); they decide on balance alone. The plan is lazy and the same on every cluster.
     """
-    if ensure_checkpoint_dir(df.sparkSession) is None:
-        return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long"))
-    rows = settle(df.orderBy(*by, *order)).withColumns(
-        {"__part": F.spark_partition_id(), "__id": F.monotonically_increasing_id()}
-    )
-    # The id counts up from the partition's number in its upper bits.
-    place = F.col("__id") - F.shiftleft(F.col("__part").cast("long"), 33)
-    # One row per partition.
-    sizes = rows.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
-    before = F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")
-    offsets = sizes.select("__part", before.alias("__before"))
-    numbered = (
-        rows.join(offsets, "__part")
-        .withColumn(name, F.col("__before") + place + 1)
-        .drop("__part", "__id", "__before")
-    )
-    if not by:
-        return numbered
-    starts = numbered.groupBy(*by).agg((F.min(name) - 1).alias("__start"))
-    return (
-        left_join_null_safe(numbered, starts, by)
-        .withColumn(name, F.col(name) - F.col("__start"))
-        .drop("__start")
-    )
+    head, rest = order[0], order[1:]
+    first = head.removeprefix("-")
+    rows = df.withColumn("__part", F.lit(0))
+    if rest:
+        rows = slice_of(df.withColumn("__place", _place(df, rest[0])), "__place", levels, "__part").drop("__place")
+    rows = slice_of(rows.withColumn("__place", _place(df, head)), "__place", levels, "__slice").drop("__place")
+    sets = [*by, first, "__part"]
+    counts = rows.groupBy("__slice", *sets).agg(F.count(F.lit(1)).alias("__n"))
+    along = Window.partitionBy(*by, "__slice").orderBy(_ordering(head), "__part")
+    within = counts.withColumn("__before", F.sum("__n").over(along.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n"))
+    # at most one row for each group and slice
+    slices = counts.groupBy(*by, "__slice").agg(F.sum("__n").alias("__of_slice"))
+    lower = Window.partitionBy(*by).orderBy("__slice").rowsBetween(Window.unboundedPreceding, 0)
+    slices = slices.withColumn("__below", F.sum("__of_slice").over(lower) - F.col("__of_slice")).drop("__of_slice")
+    starts = left_join_null_safe(within, slices, [*by, "__slice"]).select(*sets, (F.col("__before") + F.col("__below")).alias("__start"))
+    inside = F.row_number().over(Window.partitionBy(*sets).orderBy(*map(_ordering, order)))
+    numbered = left_join_null_safe(rows.drop("__slice").withColumn("__inside", inside), starts, sets)
+    return numbered.withColumn(name, (F.col("__start") + F.col("__inside")).cast("long")).drop("__part", "__inside", "__start")

@@ -31,27 +31,27 @@ def left_join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str])
     return left.join(renamed, cond, "left").drop(*[f"__r_{k}" for k in keys])
 
 
-def observed_periods(df: DataFrame, period: str) -> Column:
-    """All distinct days or weeks of ``df`` in order, as one array.
+def calendar_of(df: DataFrame, period: str) -> DataFrame:
+    """The distinct days or weeks of ``df``, each with its ordinal from 1 on.
 
-    Calendar periods are few (a century of days is 36,525), whatever the number of rows.
+    Calendar periods are few (a century of days is 36,525), whatever the number of rows, so they are
+    numbered in one task.
     """
-    return df.agg(F.sort_array(F.collect_set(period))).scalar()
+    days = df.where(F.col(period).isNotNull()).select(F.col(period).alias("__day")).distinct()
+    return days.withColumn("__at", F.row_number().over(Window.orderBy("__day")))
 
 
 def complete_grid(df: DataFrame, period: str, key: str, cols: Sequence[str] = ()) -> DataFrame:
     """Every observed ``period`` next to every observed ``key``, with ``cols`` where there is a row.
 
-    ``df`` has at most one row per pair. A key's rows become one map from period to values, and
-    the calendar is exploded over it: no grid is joined.
+    A missing period or key is one of its kind, and a repeated pair gives a row for each. The distinct
+    periods (calendar length) are exploded over the distinct keys; the rows join that grid on both.
     """
-    values = F.struct(*cols) if cols else F.lit(True)
-    per_key = df.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct(period, values))).alias("__known"))
-    grid = per_key.withColumn("__periods", observed_periods(df, period)).select(
-        key, F.explode("__periods").alias(period), "__known"
-    )
-    found = F.try_element_at("__known", F.col(period))
-    return grid.select(period, key, *[found[c].alias(c) for c in cols])
+    known = F.sort_array(F.collect_set(period))
+    missing = F.when(F.count_if(F.col(period).isNull()) > 0, F.array(F.lit(None).cast(df.schema[period].dataType)))
+    periods = df.agg(F.concat(known, F.coalesce(missing, F.array().cast(f"array<{df.schema[period].dataType.simpleString()}>")))).scalar()
+    grid = df.select(key).distinct().withColumn(period, F.explode(periods))
+    return left_join_null_safe(grid, df.select(period, key, *cols), [period, key]).select(period, key, *cols)
 
 
 def ffill(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: Sequence[str]) -> DataFrame:
@@ -65,19 +65,18 @@ def carry_to_next(df: DataFrame, key: str, day: str) -> DataFrame:
 
     The outcome equals joining a full day x key grid, filling down and dropping the days before
     a key's first row, but neither the grid nor the dropped part is ever built: a row's span is
-    known from its successor alone, and the work is in proportion to the rows that come out.
+    known from its successor alone, and the work is in proportion to the rows that come out. Of
+    several rows of a key and day all stay on that day and one is carried on; a row without a day
+    stays as it is. Days are ordinals in between, looked up in a table of one row per day.
     """
-    place = F.array_position("__days", F.col(day))
-    successor = F.lead("__place").over(Window.partitionBy(key).orderBy(day))
-    until = F.coalesce(F.col("__next"), F.array_size("__days") + 1)
-    return (
-        df.withColumn("__days", observed_periods(df, day))
-        .withColumn("__place", place)
-        .withColumn("__next", successor)
-        .withColumn("__day", F.explode(F.slice("__days", F.col("__place").cast("int"), (until - F.col("__place")).cast("int"))))
-        .withColumn(day, F.col("__day"))
-        .drop("__days", "__place", "__next", "__day")
-    )
+    calendar = calendar_of(df, day)
+    placed = df.join(calendar.withColumnRenamed("__day", "__own"), F.col(day) == F.col("__own"), "left").drop("__own")
+    successor = F.lead("__at").over(Window.partitionBy(key).orderBy(F.asc_nulls_last("__at")))
+    last = calendar.agg(F.max("__at")).scalar()
+    until = F.greatest(F.coalesce(successor, last + 1) - 1, F.col("__at"))
+    spans = F.when(F.col("__at").isNull(), F.array(F.lit(None).cast("int"))).otherwise(F.sequence("__at", "__until"))
+    repeated = placed.withColumn("__until", until).withColumn("__at", F.explode(spans)).drop("__until")
+    return repeated.join(calendar, "__at", "left").withColumn(day, F.col("__day")).drop("__at", "__day")
 
 
 def rank_matrix(df: DataFrame, rank: str, col: str, value: str, values: Sequence[str]) -> DataFrame:
@@ -99,9 +98,14 @@ def share_of(df: DataFrame, measure: str, by: Sequence[str] = (), name: str = "s
     return joined.withColumn(name, safe_div(F.col(measure), F.col("__total"))).drop("__total")
 
 
+def n_distinct(c: str) -> Column:
+    """Number of distinct values, a missing one being a value too."""
+    return F.countDistinct(c) + F.max(F.col(c).isNull().cast("int"))
+
+
 def count_distribution(df: DataFrame, entity: str, counted: str, name: str) -> DataFrame:
     """How many entities have 1, 2, ... distinct ``counted`` values."""
-    per_entity = df.groupBy(entity).agg(F.countDistinct(counted).alias(name))
+    per_entity = df.groupBy(entity).agg(n_distinct(counted).alias(name))
     return per_entity.groupBy(name).agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions.nulls import safe_div
+from tidewell.operators.reshape import left_join_null_safe
 
 
 def first_deposits(events: DataFrame) -> DataFrame:
@@ -82,7 +83,7 @@ def directed_crossover(events: DataFrame, nodes: DataFrame, normalize_by: str =
         F.col("vault").alias("from_vault"), F.col("id").alias("from"), F.col(normalize_by).alias("__base")
     )
     target = nodes.select(F.col("vault").alias("to_vault"), F.col("id").alias("to"))
-    return weights.join(origin, "from_vault", "left").join(target, "to_vault", "left").select(
+    return left_join_null_safe(left_join_null_safe(weights, origin, ["from_vault"]), target, ["to_vault"]).select(
         "from", "to", "weight",
         safe_div(F.col("weight"), F.col("__base")).alias("percentage_weight"),
         "from_vault", "to_vault",

@@ -22,11 +22,8 @@ def attribute_price_day(rates: DataFrame, tokens: DataFrame, as_of: str | date)
     """
     closed = F.col("timestamp") <= F.lit(as_of).cast("timestamp_ntz")
     shifted = F.when(closed, F.col("timestamp") - F.expr("INTERVAL 1 SECOND")).otherwise(F.col("timestamp"))
-    return (
-        rates.withColumn("timestamp", shifted)
-        .withColumn("date", day("timestamp"))
-        .join(tokens, "coin_id", "left")
-    )
+    dated = rates.withColumn("timestamp", shifted).withColumn("date", day("timestamp"))
+    return left_join_null_safe(dated, tokens, ["coin_id"])
 
 
 def daily_valued_flows(events: DataFrame, rates: DataFrame, mode: str = "event_days") -> DataFrame:
@@ -41,6 +38,7 @@ def daily_valued_flows(events: DataFrame, rates: DataFrame, mode: str = "event_d
     )
     quotes = rates.select(F.col("token").alias("vault"), "date", "coin_id", "price")
     if mode == "asof":
+        quotes = quotes.where(F.col("price").isNotNull())
         last = daily.agg(F.max("date")).scalar()
         following = F.lead("date").over(Window.partitionBy("vault").orderBy("date"))
         until = F.coalesce(F.date_sub(following, 1), F.greatest(last, F.col("date")))

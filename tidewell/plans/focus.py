@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.operators.ranking import number_rows
+from tidewell.operators.reshape import left_join_null_safe, n_distinct
 
 
 def focus_groups(df: DataFrame, col: str, values: Sequence[str], labels: Sequence[str]) -> DataFrame:
@@ -23,10 +24,10 @@ def focus_groups(df: DataFrame, col: str, values: Sequence[str], labels: Sequenc
         [(v, labels[i] if i < len(labels) else None) for i, v in enumerate(values)], "value string, label string"
     )
     rest_labels = list(labels[len(values):]) or [None]
-    others = df.select(F.col(col).alias("value")).distinct().join(F.broadcast(named), "value", "left_anti")
+    others = df.select(F.col(col).alias("value")).distinct().join(named, "value", "left_anti")
     position = (F.col("__number") - 1) % len(rest_labels) + 1
     cycle = F.array(*[F.lit(x).cast("string") for x in rest_labels])
-    rest = number_rows(others, F.asc("value"), name="__number").select(
+    rest = number_rows(others, "value", name="__number").select(
         "value", F.element_at(cycle, position.cast("int")).alias("label")
     )
     return named.unionByName(rest)
@@ -41,5 +42,12 @@ def unmatched_values(df: DataFrame, col: str, values: Sequence[str]) -> DataFram
 
 def ambiguous_ids(df: DataFrame, id_col: str, col: str) -> DataFrame:
     """Ids that go with more than one value, with the number of values."""
-    per_id = df.groupBy(id_col).agg(F.countDistinct(col).alias("n_values"))
+    per_id = df.groupBy(id_col).agg(n_distinct(col).alias("n_values"))
     return per_id.where(F.col("n_values") > 1)
+
+
+def mapping_by_id(df: DataFrame, id_col: str, col: str, groups: DataFrame) -> DataFrame:
+    """Each id with its value and the value's label in ``groups`` (value, label); an id with several
+    values has a row for each, which ``ambiguous_ids`` lists."""
+    ids = df.select(F.col(id_col), F.col(col).alias("value")).distinct()
+    return left_join_null_safe(ids, groups.select("value", "label"), ["value"])

@@ -80,7 +80,7 @@ def league_table(lp: DataFrame, by: str = "pool") -> DataFrame:
         "chain": (["chain"], F.coalesce(F.sum("lp_position_usd"), F.lit(0.0))),
     }[by]
     table = lp.groupBy(*keys).agg(F.count(F.lit(1)).alias("liquidity_providers"), total.alias("tvl"))
-    ranked = number_rows(table, F.desc_nulls_last("tvl"), *[F.asc(k) for k in keys])
+    ranked = number_rows(table, "-tvl", *keys)
     return ranked.withColumn("rank", F.when(F.col("tvl").isNotNull(), F.col("rank")))
 
 

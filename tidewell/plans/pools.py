@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions.calendar import day, starting
 from tidewell.functions.names import canonical_asset
-from tidewell.functions.nulls import sum_strict
-from tidewell.operators.reshape import share_of
+from tidewell.functions.nulls import safe_div, sum_strict
+from tidewell.operators.reshape import left_join_null_safe
 
 MEASURES = ("fees_usd", "from_amount_usd", "swaps")
 
@@ -34,7 +34,7 @@ def since_inception(pool_daily: DataFrame, pools: Sequence[str] | None = None, m
     chosen = pool_daily if pools is None else pool_daily.where(F.col("pool_name").isin(list(pools)))
     start = chosen.groupBy("pool_name").agg(F.min(day("date")).alias("date_reference"))
     return (
-        chosen.join(start, "pool_name")
+        left_join_null_safe(chosen, start, ["pool_name"])
         .withColumn("date", day("date"))
         .withColumn("day", F.datediff("date", "date_reference"))
         .where(F.col("day") <= max_day)
@@ -52,5 +52,8 @@ def origination_share(
 ) -> DataFrame:
     """Each origin asset's part of a pool's day, by volume or by number of swaps; ``None`` does every pool."""
     chosen = pool_daily if pool is None else pool_daily.where(F.col("pool_name") == pool)
-    shares = share_of(chosen, measure, ["date", "pool_name"])
+    # a pool's day has a handful of origin assets
+    total = F.sum(measure).over(Window.partitionBy("date", "pool_name"))
+    known = F.count(measure).over(Window.partitionBy("date", "pool_name")) == F.count(F.lit(1)).over(Window.partitionBy("date", "pool_name"))
+    shares = chosen.withColumn("share", safe_div(F.col(measure), F.when(known, total)))
     return shares.select("date", "pool_name", "from_asset", measure, "share")

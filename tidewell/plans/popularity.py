@@ -20,12 +20,11 @@ def top_assets_by_dex(
 ) -> DataFrame:
     """The first ``n`` ranks of every exchange in one job, or as a rank x exchange table of names.
 
-    The wide form needs the exchanges as column names. Pass them to save the extra job that
-    looks them up; they are a handful of program names.
+    The wide form needs the exchanges as column names; they are a handful of program names.
     """
     top = popularity.where(F.col("rank") <= n)
     if not wide:
         return top.withColumn("sort_key", -F.col("swaps"))
     if dexes is None:
-        dexes = [r[0] for r in top.select("swap_program").distinct().orderBy("swap_program").collect()]
+        raise ValueError("the wide form needs the exchanges, which become its columns")
     return rank_matrix(top, "rank", "swap_program", "asset_name", dexes)

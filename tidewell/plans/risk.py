@@ -11,6 +11,7 @@ from tidewell.functions.calendar import day, month_floor, starting
 from tidewell.functions.names import coin_alias
 from tidewell.functions.nulls import running_max_strict, safe_div, sum_strict
 from tidewell.operators import stats
+from tidewell.operators.reshape import left_join_null_safe
 
 
 def _series() -> WindowSpec:
@@ -18,10 +19,15 @@ def _series() -> WindowSpec:
 
 
 def clean_prices(prices: DataFrame, start: str | date | None = None, end: str | date | None = None) -> DataFrame:
-    """Daily timestamps, report spelling of the coins, and the study window."""
-    daily = prices.withColumn("timestamp", day("timestamp").cast("timestamp_ntz")).withColumn(
-        "coin_id", coin_alias(F.col("coin_id"))
-    )
+    """One close per day, report spelling of the coins, and the study window.
+
+    Of several quotes of a coin and day the last one counts.
+    """
+    others = [c for c in prices.columns if c not in ("coin_id", "timestamp")]
+    closes = prices.groupBy(
+        coin_alias(F.col("coin_id")).alias("coin_id"), day("timestamp").cast("timestamp_ntz").alias("__day")
+    ).agg(F.max_by(F.struct(*others), "timestamp").alias("__last"))
+    daily = closes.select("coin_id", F.col("__day").alias("timestamp"), "__last.*").select(*prices.columns)
     return starting(daily, "timestamp", start, end)
 
 
@@ -91,7 +97,7 @@ def returns_vs_benchmark(prices: DataFrame, index: DataFrame | None = None) -> D
     cols = ["coin_id", "timestamp", "price"]
     ra = _daily_returns(prices.select(cols).unionByName(index.select(cols)), "ra")
     rb = _daily_returns(index.select(cols), "rb").drop("coin_id")
-    return ra.join(rb, "timestamp", "left")
+    return left_join_null_safe(ra, rb, ["timestamp"])
 
 
 def _with_drawdown(returns: DataFrame) -> DataFrame:

@@ -8,17 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from datetime import date
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidewell.functions.calendar import FRIDAY, starting, week_floor
 from tidewell.functions.nulls import if_else, lagged_product_strict, least_strict, safe_div, sum_strict
-from tidewell.operators.reshape import to_long
-
-
-# Two returns closer than this are equal.
-SAME = 1e-12
+from tidewell.operators.reshape import left_join_null_safe, to_long
 
 
 def _series() -> WindowSpec:
@@ -119,7 +116,7 @@ def premium_portfolios(
     )
     order = Window.partitionBy("coin_id", "premium").orderBy("week")
     levels = weekly.withColumn("level", lagged_product_strict(F.col("multiplier"), order)).drop("multiplier")
-    return daily.join(levels, ["coin_id", "premium", "week"], "left").select(
+    return left_join_null_safe(daily, levels, ["coin_id", "premium", "week"]).select(
         "coin_id", "timestamp", "week", "premium", "covered_call_returns",
         (100 * F.col("level") * (1 + F.col("covered_call_returns"))).alias("covered_call_portfolio"),
         "hold_portfolio",
@@ -133,8 +130,12 @@ def covered_call_portfolio(
     return premium_portfolios(starting(prices, "timestamp", since), mult, [premium]).drop("premium")
 
 
-def portfolio_summary(portfolio: DataFrame) -> DataFrame:
-    """Total returns, the weeks the calls cost more than they earned, and the premium that would break even."""
+def portfolio_summary(portfolio: DataFrame, tolerance: float = 0.0) -> DataFrame:
+    """Total returns, the weeks the calls cost more than they earned, and the premium that would break even.
+
+    Without a premium both returns of a week below the cap are one number reached by different
+    roundings; a ``tolerance`` above these roundings keeps such weeks from being counted.
+    """
     weekly = portfolio.groupBy("coin_id", "week").agg(
         F.max_by("hold_portfolio", "timestamp").alias("hold"),
         F.max_by("covered_call_portfolio", "timestamp").alias("covered"),
@@ -144,8 +145,7 @@ def portfolio_summary(portfolio: DataFrame) -> DataFrame:
         "hold_gross": safe_div(F.col("hold"), F.lag("hold", 1, 100.0).over(order)),
         "covered_gross": safe_div(F.col("covered"), F.lag("covered", 1, 100.0).over(order)),
     }
-    # Below the cap both returns are the same number reached by different roundings.
-    behind = F.col("hold_gross") - F.col("covered_gross") > SAME
+    behind = F.col("hold_gross") - F.col("covered_gross") > tolerance
     totals = (
         weekly.withColumns(gross)
         .withColumn("behind", if_else(behind, F.lit(1), F.lit(0)))
@@ -167,13 +167,23 @@ def portfolio_summary(portfolio: DataFrame) -> DataFrame:
     )
 
 
+def percent_label(share: float) -> str:
+    """A share in percent, exactly as written, with at least two decimals."""
+    exact = (Decimal(repr(share)) * 100).normalize()
+    return f"{exact:f}" if -exact.as_tuple().exponent > 2 else f"{exact:.2f}"
+
+
 def premium_sensitivity(
     prices: DataFrame, premiums: Sequence[float] = (0.005, 0.02), mult: float = 1.15,
     since: str | date | None = None,
 ) -> DataFrame:
     """Long form: one line per premium and one for holding."""
+    premiums = list(dict.fromkeys(map(float, premiums)))
     runs = premium_portfolios(starting(prices, "timestamp", since), mult, premiums)
-    label = F.concat(F.lit("covered_call_"), F.format_number(F.col("premium") * 100, 2), F.lit("pct"))
+    # every premium has a label of its own: its shortest exact decimal, in percent with at least two digits
+    names = {p: percent_label(p) for p in premiums}
+    label = F.element_at(F.create_map(*(F.lit(x) for pair in names.items() for x in pair)), F.col("premium"))
+    label = F.concat(F.lit("covered_call_"), label, F.lit("pct"))
     covered = F.struct(label.alias("portfolio"), F.col("covered_call_portfolio").alias("value"))
     hold = F.struct(F.lit("hold").alias("portfolio"), F.col("hold_portfolio").alias("value"))
     # Holding is the same beside every premium: one of them brings it along.

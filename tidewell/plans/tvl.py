@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions.names import pool_chain, pool_token
 from tidewell.functions.nulls import running_sum_strict, sum_strict
-from tidewell.operators.reshape import carry_to_next, ffill, to_long
+from tidewell.operators.reshape import carry_to_next, ffill, left_join_null_safe, to_long
 
 METRICS = ("dollar_value_locked", "dollar_value_gained", "tvl", "normalized_tvl")
 
@@ -68,5 +68,5 @@ def tvl_by_chain_token(metrics: DataFrame, chain: str | None = None) -> DataFram
 def reconcile_tvl(metrics: DataFrame, platform: DataFrame) -> DataFrame:
     """Own total beside the platform's, long form; days the platform skipped are NULL."""
     own = metrics.groupBy("day").agg(sum_strict("tvl").alias("tvl"))
-    both = own.join(platform.select("day", "total_value_pooled_usd"), "day", "left")
+    both = left_join_null_safe(own, platform.select("day", "total_value_pooled_usd"), ["day"])
     return to_long(both, ["day"], ["tvl", "total_value_pooled_usd"], "variable", "value")

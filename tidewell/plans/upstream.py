@@ -28,7 +28,7 @@ def asset_popularity(swaps: DataFrame, since: str | date | None = None, by_dex:
     counts = _real_swaps(swaps, since).groupBy(
         *keys, "swap_to_asset_id", F.col("swap_to_name").alias("asset_name")
     ).agg(F.count(F.lit(1)).alias("swaps"))
-    return number_rows(counts, F.desc("swaps"), F.asc("swap_to_asset_id"), by=keys)
+    return number_rows(counts, "-swaps", "swap_to_asset_id", by=keys)
 
 
 def identify_whales(accounts: DataFrame, labels: DataFrame, min_balance: float = 200_000) -> DataFrame:
@@ -85,7 +85,8 @@ def extract_vault_events(raw: DataFrame, vault_accounts: DataFrame, program_id:
 
 
 def _net_stake(actions: DataFrame, *by: str) -> DataFrame:
-    signed = F.when(F.col("action") == "withdraw", -F.col("stake_units")).otherwise(F.col("stake_units"))
+    """Deposits less withdrawals; other actions move no stake."""
+    signed = F.when(F.col("action") == "deposit", F.col("stake_units")).when(F.col("action") == "withdraw", -F.col("stake_units")).otherwise(0.0)
     return actions.groupBy(*by).agg(F.sum(signed).alias("stake"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidewell.functions.calendar import week_ceiling
 from tidewell.functions.nulls import safe_div
 from tidewell.operators import distribution
-from tidewell.operators.reshape import complete_grid, left_join_null_safe
+from tidewell.operators.reshape import complete_grid, left_join_null_safe, n_distinct
 
 
 def balance_summary(whales: DataFrame) -> DataFrame:
@@ -47,7 +47,7 @@ def swaps_per_whale(swaps: DataFrame, bins: int = 40) -> DataFrame:
 
 def _side(swaps: DataFrame, side: str) -> DataFrame:
     return swaps.groupBy(F.col(f"swap_{side}_name").alias("asa")).agg(
-        F.countDistinct("swapper").alias(f"whales_{side}"), F.count(F.lit(1)).alias(f"swaps_{side}")
+        n_distinct("swapper").alias(f"whales_{side}"), F.count(F.lit(1)).alias(f"swaps_{side}")
     )
 
 
@@ -76,7 +76,7 @@ def weekly_dense_counts(swaps: DataFrame, side: str) -> DataFrame:
     asset = f"swap_{side}_name"
     weekly = swaps.withColumn("week", week_ceiling("block_timestamp"))
     counts = weekly.groupBy("week", asset).agg(
-        F.countDistinct("swapper").alias("whales"), F.count(F.lit(1)).cast("double").alias("swaps")
+        n_distinct("swapper").alias("whales"), F.count(F.lit(1)).cast("double").alias("swaps")
     )
     dense = complete_grid(counts, "week", asset, ["whales", "swaps"])
     return dense.select("week", asset, "whales", F.coalesce("swaps", F.lit(0.0)).alias("swaps"))

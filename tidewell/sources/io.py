@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,10 +32,18 @@ def normalize_names(df: DataFrame, case: str = "snake") -> DataFrame:
 
 
 def read_dataset(
-    spark: SparkSession, name: str, path: str, fmt: str = "parquet", field_case: str = "upper"
+    spark: SparkSession,
+    name: str,
+    path: str,
+    fmt: str = "parquet",
+    field_case: str = "upper",
+    columns: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """A landed dataset under its declared schema.
 
+    Columnar files may name fields otherwise: ``columns`` maps declared names to the (normalized)
+    names in the files, and declared fields that are neither there nor mapped are NULL.
+
     ``json`` expects one object per line, which Spark can split; ``json_array`` takes the
     payload of a query endpoint (one array per file), which it cannot, so land such payloads as
     many files or convert them to parquet once. JSON fields are told apart by case: query
@@ -56,7 +64,12 @@ def read_dataset(
     if fmt == "csv":
         return spark.read.schema(declared).option("mode", "FAILFAST").option("header", True).csv(path)
     df = normalize_names(spark.read.format(fmt).load(path))
-    return df.select(*[F.col(f.name).cast(f.dataType) for f in declared.fields])
+    if columns is None:
+        return df.select(*[F.col(f.name).cast(f.dataType) for f in declared.fields])
+    found = {f.name: columns.get(f.name, f.name) for f in declared.fields}
+    return df.select(
+        *[(F.col(found[f.name]) if found[f.name] in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in declared.fields]
+    )
 
 
 def read_prices(
@@ -67,6 +80,7 @@ def read_prices(
     as_of: date | str,
     vs_currency: str = "usd",
     fmt: str = "parquet",
+    columns: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """Long price rows of the chosen coins for the ``days`` days up to ``as_of``.
 
@@ -76,7 +90,7 @@ def read_prices(
     as_of = date.fromisoformat(as_of) if isinstance(as_of, str) else as_of
     coins = [coin_ids] if isinstance(coin_ids, str) else list(coin_ids)
     first = as_of - timedelta(days=days)
-    return read_dataset(spark, "price_history", path, fmt).where(
+    return read_dataset(spark, "price_history", path, fmt, columns=columns).where(
         F.col("coin_id").isin(coins)
         & (F.col("vs_currency") == vs_currency)
         & (F.col("timestamp") >= F.lit(first).cast("timestamp_ntz"))

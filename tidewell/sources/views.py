@@ -28,7 +28,7 @@ TABLES = {
     "labels": "doc_id bigint, quality int, toxic int",
 }
 
-VAULTS = ["SOL", "mSOL", "BTC", "ETH", "LUNA"]
+VAULTS = [token for _, token in TOKEN_ROWS]
 
 
 def _cents(c: str) -> Column:
@@ -77,24 +77,25 @@ class Views:
         return dim(self.spark, TOKEN_ROWS, "coin_id string, token string")
 
     def vault_events(self) -> DataFrame:
+        """Events of vaults; a few lack the vault or the amount."""
         slot = F.pmod(F.col("event_id"), 1 + F.pmod(F.col("user_id"), F.lit(5)))
+        vault = F.element_at(F.array(*[F.lit(v) for v in VAULTS]), (slot + 1).cast("int"))
         return self.table("events").select(
             F.col("ts").alias("block_timestamp"),
             F.when(F.col("event_type") == "error", "withdrawal").otherwise("deposit").alias("type"),
-            F.element_at(F.array(*[F.lit(v) for v in VAULTS]), (slot + 1).cast("int")).alias("vault"),
-            F.col("value").alias("amount"),
+            F.when(F.pmod("event_id", F.lit(97)) != 5, vault).alias("vault"),
+            F.when(F.pmod("event_id", F.lit(4999)) != 17, F.col("value")).alias("amount"),
             F.col("user_id").cast("string").alias("address"),
         )
 
     def vault_quotes(self) -> DataFrame:
-        """Daily quotes stamped at the midnight that ends the day; none on Saturdays and Sundays."""
+        """Daily quotes stamped at the midnight that ends the day; without a price on Saturdays and Sundays."""
         coins = F.array(*[F.lit(c) for c, _ in TOKEN_ROWS])
         coin = F.element_at(coins, (F.pmod(F.col("event_id"), F.lit(5)) + 1).cast("int"))
         return (
             self.table("events")
-            .where(F.weekday(F.to_date("ts")) < 5)
             .groupBy(coin.alias("coin_id"), F.date_add(day("ts"), 1).cast("timestamp_ntz").alias("timestamp"))
-            .agg(F.max("value").alias("price"))
+            .agg(F.max(F.when(F.weekday(F.to_date("ts")) < 5, F.col("value"))).alias("price"))
         )
 
     # pools ----------------------------------------------------------------------------------
@@ -127,13 +128,9 @@ class Views:
         return days.withColumn("tvl", tvl)
 
     def platform_tvl(self) -> DataFrame:
-        """The platform's own daily total; it publishes nothing on Sundays."""
-        return (
-            self.pool_daily()
-            .where(F.weekday("day") != 6)
-            .groupBy("day")
-            .agg((F.sum("tvl") + 1000).alias("total_value_pooled_usd"))
-        )
+        """The platform's own daily total; missing on Sundays."""
+        total = F.when(F.weekday("day") != 6, F.sum("tvl") + 1000)
+        return self.pool_daily().groupBy("day").agg(total.alias("total_value_pooled_usd"))
 
     def pool_swaps_raw(self) -> DataFrame:
         """Daily swap totals with synthetic (``/``) and native (``.``) spellings of the same asset."""
@@ -173,14 +170,16 @@ class Views:
             .otherwise("pactfi")
         )
         asset_from, asset_to = F.pmod("l_partkey", F.lit(12)), F.pmod("l_suppkey", F.lit(15))
+        # a few swaps lack the name of an asset
+        named_from, named_to = F.pmod("l_orderkey", F.lit(101)) != 7, F.pmod("l_orderkey", F.lit(103)) != 9
         return lines.select(
             F.col("l_shipdate").alias("block_timestamp"),
             F.col("o_custkey").cast("string").alias("swapper"),
             program.alias("swap_program"),
             asset_from.cast("string").alias("swap_from_asset_id"),
-            F.concat(F.lit("ASA"), asset_from.cast("string")).alias("swap_from_name"),
+            F.when(named_from, F.concat(F.lit("ASA"), asset_from.cast("string"))).alias("swap_from_name"),
             asset_to.cast("string").alias("swap_to_asset_id"),
-            F.concat(F.lit("ASA"), asset_to.cast("string")).alias("swap_to_name"),
+            F.when(named_to, F.concat(F.lit("ASA"), asset_to.cast("string"))).alias("swap_to_name"),
             F.when(F.col("l_discount") == 0, F.lit(0.0)).otherwise(F.col("l_quantity")).alias("swap_from_amount"),
         )
 
@@ -196,7 +195,8 @@ class Views:
         return self.table("labels").select(F.col("doc_id").cast("string").alias("address"))
 
     def transfers(self) -> DataFrame:
-        to = F.pmod(F.col("o_custkey") * 7 + 3, F.lit(1500))
+        customers = self.table("customer").agg(F.count(F.lit(1))).scalar()
+        to = F.pmod(F.col("o_custkey") * 7 + 3, customers)
         return self.table("orders").select(
             F.col("o_orderkey").cast("string").alias("tx_id"),
             F.col("o_custkey").cast("string").alias("from_address"),
