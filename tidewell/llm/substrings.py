@@ -29,6 +29,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,7 +39,11 @@ WIDTH = 20
 #: Rounds of pairing, and the most words a symbol may have.
 ROUNDS, LONGEST = 3, 12
 NONE = np.uint64((1 << 64) - 1)
-FOUND = "name long, more int, doc_id long, copy int, at int, run int"
+#: `at` is a place in a text, with the number of the text among those of its id above COPY.
+FOUND = "name long, more int, id long, at long, run int"
+COPY = 1 << 32
+#: Stands for a NULL doc_id in keys and order, and so is read as NULL.
+NO_ID = -(1 << 63)
 
 
 @lru_cache(maxsize=8)
@@ -145,11 +150,14 @@ def anchors(names: np.ndarray, counts: np.ndarray, width: int, rounds: int = ROU
 
 
 def identified(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, copy, again): ``copy`` numbers the texts of one doc_id, ``again`` marks a row seen before."""
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    by_id = Window.partitionBy("doc_id").orderBy("text")
+    """(id, text, copy, again): ``copy`` numbers the texts of one id, ``again`` marks a row seen before.
+
+    All that follows needs these columns and no other, so that Spark shuffles the texts once.
+    """
+    text = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    by_id = Window.partitionBy("id").orderBy("text")
     return text.select(
-        "*", F.dense_rank().over(by_id).cast("int").alias("copy"), F.lag("text").over(by_id).eqNullSafe(F.col("text")).alias("again")
+        "*", F.dense_rank().over(by_id).cast("long").alias("copy"), F.lag("text").over(by_id).eqNullSafe(F.col("text")).alias("again")
     )
 
 
@@ -166,32 +174,32 @@ def first_of_equals(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, twice
 
 
-def chunks(batches: Iterator[pa.RecordBatch], order: bool = False) -> Iterator[pa.RecordBatch]:
-    """Batches of whole texts, by doc_id and copy if ``order``."""
-    for batch in batches:
-        if order and batch.num_rows:
-            batch = batch.take(pa.compute.sort_indices(batch, sort_keys=[("doc_id", "ascending"), ("copy", "ascending")], null_placement="at_start"))
-        yield batch
-
-
 def encoded(batch: pa.RecordBatch) -> list[bytes]:
     """The texts as UTF-8."""
     return [t.as_buffer().to_pybytes() for t in batch.column("text")]
 
 
 def emitted(batch: pa.RecordBatch, rows: np.ndarray, name: np.ndarray, more: np.ndarray, at: np.ndarray, run: np.ndarray) -> pa.RecordBatch:
-    take = pa.array(rows, pa.int64())
+    ids, copies = (batch.column(c).to_numpy()[rows] for c in ("id", "copy"))
     return pa.RecordBatch.from_arrays(
-        [pa.array(name.view(np.int64)), pa.array(more, pa.int32()), batch.column("doc_id").take(take), batch.column("copy").take(take), pa.array(at, pa.int32()), pa.array(run, pa.int32())],
-        names=["name", "more", "doc_id", "copy", "at", "run"],
+        [pa.array(name.view(np.int64)), pa.array(more, pa.int32()), pa.array(ids), pa.array(copies * COPY + at), pa.array(run, pa.int32())],
+        names=["name", "more", "id", "at", "run"],
     )
 
 
+def of_copy(lists: pa.Array, copies: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """From lists of `at`, the entries of each row's own text: their rows, places and positions in the flat list."""
+    rows = np.repeat(np.arange(len(copies)), np.diff(lists.offsets.to_numpy()))
+    flat = lists.values.to_numpy()[lists.offsets[0].as_py() : lists.offsets[-1].as_py()]
+    mine = np.flatnonzero(flat // COPY == copies[rows])
+    return rows[mine], flat[mine] % COPY, mine
+
+
 def symbols(docs: DataFrame, width: int) -> DataFrame:
     """The symbols of all texts. run 0: to be compared by name; 1: known to be shared; 2: known, others need not see it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
+        for batch in batches:
             texts = encoded(batch)
             names, rows, at = [], [], []
             for a, b in groups(texts):
@@ -209,25 +217,25 @@ def symbols(docs: DataFrame, width: int) -> DataFrame:
             name[~first] = mix(name[~first] + np.flatnonzero(~first).astype(np.uint64) * np.uint64(STEPS[1]))
             yield emitted(batch, row, name, np.zeros(len(name)), place, np.where(first, twice.astype(np.int64), 2))
 
-    return docs.mapInArrow(run, FOUND)
+    return docs.select("id", "copy", "text").mapInArrow(run, FOUND)
 
 
 def shared_symbols(found: DataFrame) -> DataFrame:
-    """For each text, the numbers of its symbols that occur elsewhere too."""
-    by_name = Window.partitionBy("name").orderBy("doc_id", "copy", "at")
+    """For each id, the numbers of the symbols of its texts that occur elsewhere too."""
+    by_name = Window.partitionBy("name").orderBy("id", "at")
     seen = found.withColumn("before", F.lag(F.lit(1)).over(by_name)).withColumn("after", F.lead(F.lit(1)).over(by_name))
     shared = seen.filter((F.col("run") > 0) | F.col("before").isNotNull() | F.col("after").isNotNull())
-    return shared.groupBy("doc_id", "copy").agg(F.collect_list("at").alias("shared"))
+    return shared.groupBy("id").agg(F.collect_list("at").alias("shared"))
 
 
 def windows(texts: DataFrame, width: int) -> DataFrame:
     """Windows whose symbol is shared. run 0: to be compared by name; else so many windows known to be repeats."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, order=True):
+        for batch in batches:
+            batch = batch.take(pa.compute.sort_indices(batch, sort_keys=[("id", "ascending"), ("copy", "ascending")]))
             texts = encoded(batch)
-            lists = batch.column("shared")
-            flat, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+            owners, numbers, _ = of_copy(batch.column("shared"), batch.column("copy").to_numpy())
             names, mores, rows, at = [], [], [], []
             for a, b in groups(texts):
                 words, counts = name_texts(texts[a:b])
@@ -235,8 +243,8 @@ def windows(texts: DataFrame, width: int) -> DataFrame:
                 size = np.bincount(text, minlength=b - a)
                 base = np.cumsum(size) - size
                 shared = np.zeros(len(name) + 1, bool)  # the last for windows that do not start
-                mine = flat[ends[a] : ends[b]]
-                shared[base[np.repeat(np.arange(b - a), np.diff(ends[a : b + 1]))] + mine] = True
+                mine = slice(*np.searchsorted(owners, [a, b]))
+                shared[base[owners[mine] - a] + numbers[mine]] = True
                 place = np.flatnonzero(shared[stands])
                 owner, within = places(counts)
                 names.append(window_names(words, width, STEPS[0])[place])
@@ -257,49 +265,66 @@ def windows(texts: DataFrame, width: int) -> DataFrame:
             name[heads] = mix(name[heads] + heads.astype(np.uint64) * np.uint64(STEPS[1]))
             yield emitted(batch, row[keep], name[keep], more[keep], place[keep], np.concatenate([np.zeros(int(first.sum()), np.int64), runs]))
 
-    return texts.mapInArrow(run, FOUND)
+    return texts.select("id", "copy", "text", "shared").mapInArrow(run, FOUND)
 
 
 def repeats(found: DataFrame) -> DataFrame:
-    """For each text, the first words and numbers of its windows that also start earlier."""
-    earlier = F.row_number().over(Window.partitionBy("name", "more").orderBy(F.col("doc_id").asc_nulls_first(), "copy", "at"))
+    """For each id, the first words and numbers of the windows of its texts that also start earlier."""
+    earlier = F.row_number().over(Window.partitionBy("name", "more").orderBy("id", "at"))
     later = found.withColumn("earlier", earlier).filter((F.col("run") > 0) | (F.col("earlier") > 1))
-    return later.groupBy("doc_id", "copy").agg(F.collect_list(F.struct("at", F.greatest("run", F.lit(1)).alias("run"))).alias("repeats"))
+    run = F.greatest("run", F.lit(1)).alias("run")
+    return later.groupBy("id").agg(F.collect_list(F.struct("at", run)).alias("repeats"))
 
 
 def without_repeats(texts: DataFrame, width: int) -> DataFrame:
     """Words and removed words of each text, and the words that stay, joined by one space."""
+    lists = (F.coalesce(F.col(f"repeats.{c}"), F.array().cast(kind)).alias(c) for c, kind in (("at", "array<long>"), ("run", "array<int>")))
+    doc_id = F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id")
+    given = texts.select(doc_id, F.xxhash64("text").alias("text_name"), "copy", "text", *lists)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
+        for batch in batches:
             total, removed, kept = [], [], []
-            for text, found in zip(encoded(batch), batch.column("repeats"), strict=True):
+            rows, place, mine = of_copy(batch.column("at"), batch.column("copy").to_numpy())
+            stop = place + batch.column("run").flatten().to_numpy()[mine] - 1 + width
+            for i, text in enumerate(encoded(batch)):
                 words = text.split()
                 total.append(len(words))
-                if found.is_valid and len(found.values):
-                    at, runs = (found.values.field(i).to_numpy() for i in (0, 1))
+                of_text = slice(*np.searchsorted(rows, [i, i + 1]))
+                if of_text.start < of_text.stop:
                     edge = np.zeros(len(words) + 1, np.int64)
-                    np.add.at(edge, at, 1)
-                    np.add.at(edge, at + runs - 1 + width, -1)
-                    stays = np.flatnonzero(np.cumsum(edge[:-1]) == 0)
-                    words = [words[i] for i in stays.tolist()]
+                    np.add.at(edge, place[of_text], 1)
+                    np.add.at(edge, stop[of_text], -1)
+                    words = [words[k] for k in np.flatnonzero(np.cumsum(edge[:-1]) == 0).tolist()]
                 removed.append(total[-1] - len(words))
                 kept.append(b" ".join(words).decode())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("copy"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "copy", "n_words", "n_removed", "kept"])
-
-    return texts.mapInArrow(run, "doc_id long, copy int, n_words long, n_removed long, kept string")
-
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("text_name"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())],
+                names=["doc_id", "text_name", "n_words", "n_removed", "kept"],
+            )
 
-def on_text(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
-    """A join on doc_id and copy in which NULL equals NULL."""
-    b = right.withColumnsRenamed({"doc_id": "doc_id_", "copy": "copy_"})
-    return left.join(b, F.col("doc_id").eqNullSafe(F.col("doc_id_")) & (F.col("copy") == F.col("copy_")), how).drop("doc_id_", "copy_")
+    return given.mapInArrow(run, "doc_id long, text_name long, n_words long, n_removed long, kept string")
 
 
 def dedup(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, copy, n_words, n_removed and kept text of every row of ``docs`` (doc_id, text)."""
+    """doc_id, text_name, n_words, n_removed and kept text of every row of ``docs`` (doc_id, text).
+
+    All joins are on the id by which the texts were shuffled, so the texts move once.
+    """
     texts = identified(docs)
     once = texts.filter(~F.col("again"))
     shared = shared_symbols(symbols(once, width))
-    found = repeats(windows(on_text(once, shared, "inner"), width))
-    return without_repeats(on_text(texts, found, "left"), width)
+    found = repeats(windows(once.join(shared, "id"), width))
+    return without_repeats(texts.join(found, "id", "left"), width)
+
+
+def cleaned(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """``docs`` with the kept words as text, and n_chars, if there, to match. No row goes."""
+    found = dedup(docs, width).select(F.col("doc_id").alias("id__"), F.col("text_name").alias("name__"), "kept")
+    number = F.row_number()  # rows of one doc_id and text are alike in ``found``
+    found = found.withColumn("number__", number.over(Window.partitionBy("id__", "name__").orderBy("id__")))
+    others = docs.select(*(c for c in docs.columns if c != "text"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("name_"))
+    others = others.withColumn("number_", number.over(Window.partitionBy("doc_id", "name_").orderBy("name_")))
+    on = (others["name_"] == found["name__"]) & others["doc_id"].eqNullSafe(found["id__"]) & (others["number_"] == found["number__"])
+    columns = {"text": F.col("kept").alias("text"), "n_chars": F.length("kept").cast("long").alias("n_chars")}
+    return others.join(found, on).select(*(columns.get(c, F.col(c)) for c in docs.columns))
