@@ -320,11 +320,11 @@ def dedup(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
 def cleaned(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """``docs`` with the kept words as text, and n_chars, if there, to match. No row goes."""
-    found = dedup(docs, width).select(F.col("doc_id").alias("id__"), F.col("text_name").alias("name__"), "kept")
+    found = dedup(docs, width).select(F.col("doc_id").alias("id__"), F.col("text_name").alias("name__"), F.col("kept").alias("kept__"))
     number = F.row_number()  # rows of one doc_id and text are alike in ``found``
     found = found.withColumn("number__", number.over(Window.partitionBy("id__", "name__").orderBy("id__")))
-    others = docs.select(*(c for c in docs.columns if c != "text"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("name_"))
-    others = others.withColumn("number_", number.over(Window.partitionBy("doc_id", "name_").orderBy("name_")))
-    on = (others["name_"] == found["name__"]) & others["doc_id"].eqNullSafe(found["id__"]) & (others["number_"] == found["number__"])
-    columns = {"text": F.col("kept").alias("text"), "n_chars": F.length("kept").cast("long").alias("n_chars")}
+    others = docs.select(*(c for c in docs.columns if c != "text"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("own_name__"))
+    others = others.withColumn("own_number__", number.over(Window.partitionBy("doc_id", "own_name__").orderBy("own_name__")))
+    on = (others["own_name__"] == found["name__"]) & others["doc_id"].eqNullSafe(found["id__"]) & (others["own_number__"] == found["number__"])
+    columns = {"text": F.col("kept__").alias("text"), "n_chars": F.length("kept__").cast("long").alias("n_chars")}
     return others.join(found, on).select(*(columns.get(c, F.col(c)) for c in docs.columns))
