@@ -65,7 +65,7 @@ def merged(blocks: Column) -> Column:
 
 
 def format_chats(turns: DataFrame, trained: tuple[str, ...] = ("assistant",)) -> DataFrame:
-    """conv_id, formatted and loss_spans (array of start and length) of every conversation of ``turns``."""
+    """conv_id, formatted and loss_spans (start and length in code points, and both in bytes) of every conversation."""
     rows = turns.select(
         "conv_id",
         F.floor(F.col("turn") / SLICE).alias("slice"),
@@ -86,8 +86,9 @@ def format_chats(turns: DataFrame, trained: tuple[str, ...] = ("assistant",)) ->
         lambda b: F.struct(
             F.concat(head(b), F.array_join(b["texts"], END), F.lit(END)).alias("string"),
             F.length(head(b)).alias("start"),
+            F.octet_length(head(b)).alias("first_byte"),
             b["role"].isin(*trained).alias("loss"),
-            F.transform(b["texts"], lambda t: F.length(t)).alias("sizes"),
+            F.transform(b["texts"], lambda t: F.struct(F.length(t).alias("length"), F.octet_length(t).alias("bytes"))).alias("sizes"),
         ),
     )
     whole = whole.withColumn("parts", parts)
@@ -98,21 +99,26 @@ def format_chats(turns: DataFrame, trained: tuple[str, ...] = ("assistant",)) ->
     )
 
 
+SPANS = "array<struct<start: int, length: int, first_byte: int, bytes: int>>"
+
+
 def spans(parts: Column) -> Column:
-    """Start and length of every trained text: offsets within blocks, then of blocks within the conversation."""
+    """Place and size of every trained text: within its block first, then of the block in the conversation."""
     step = F.lit(len(END))
     within = F.transform(
         parts,
         lambda p: F.struct(
             F.length(p["string"]).alias("size"),
+            F.octet_length(p["string"]).alias("bytes"),
             F.when(
                 p["loss"],
                 F.aggregate(
                     p["sizes"],
-                    F.struct(p["start"].alias("at"), F.array().cast("array<struct<start: int, length: int>>").alias("found")),
+                    F.struct(p["start"].alias("at"), p["first_byte"].alias("byte"), F.array().cast(SPANS).alias("found")),
                     lambda s, n: F.struct(
-                        (s["at"] + n + step).alias("at"),
-                        F.concat(s["found"], F.array(F.struct(s["at"].alias("start"), n.alias("length")))).alias("found"),
+                        (s["at"] + n["length"] + step).alias("at"),
+                        (s["byte"] + n["bytes"] + step).alias("byte"),
+                        F.concat(s["found"], F.array(span(s["at"], n["length"], s["byte"], n["bytes"]))).alias("found"),
                     ),
                     lambda s: s["found"],
                 ),
@@ -121,45 +127,57 @@ def spans(parts: Column) -> Column:
     )
     return F.aggregate(
         within,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start: int, length: int>>").alias("found")),
+        F.struct(F.lit(0).alias("at"), F.lit(0).alias("byte"), F.array().cast(SPANS).alias("found")),
         lambda s, p: F.struct(
             (s["at"] + p["size"]).alias("at"),
+            (s["byte"] + p["bytes"]).alias("byte"),
             F.when(p["found"].isNull(), s["found"])
-            .otherwise(F.concat(s["found"], F.transform(p["found"], lambda x: F.struct((x["start"] + s["at"]).alias("start"), x["length"].alias("length")))))
+            .otherwise(
+                F.concat(
+                    s["found"],
+                    F.transform(p["found"], lambda x: span(x["start"] + s["at"], x["length"], x["first_byte"] + s["byte"], x["bytes"])),
+                )
+            )
             .alias("found"),
         ),
         lambda s: s["found"],
     )
 
 
+def span(start: Column, length: Column, first_byte: Column, size: Column) -> Column:
+    return F.struct(start.alias("start"), length.alias("length"), first_byte.alias("first_byte"), size.alias("bytes"))
+
+
 def between(text: Column, first: Column, stop: Column) -> Column:
     return F.substring(text, first, stop - first)
 
 
-def read_chats(formatted: Column) -> Column:
-    """The turns (role, text) that a formatted conversation holds."""
-    pieces = F.split(formatted, END)  # the last one is empty
-    pieces = F.slice(pieces, F.lit(1), F.size(pieces) - 1)
-    colon = lambda piece: F.instr(piece, COLON)  # noqa: E731  escaped roles have none
+def read_chats(chats: DataFrame, formatted: str = "formatted", into: str = "turns") -> DataFrame:
+    """``chats`` with the turns (role, text) that the formatted conversations hold.
+
+    The pieces between turn ends are a column of their own: inside a lambda they would be cut again for
+    every turn.
+    """
+    ends = F.split(F.col(formatted), END)  # the last piece is empty
+    cut = chats.withColumn("pieces__", F.slice(ends, F.lit(1), F.size(ends) - 1))
+    pieces = F.col("pieces__")
     starts = F.filter(F.sequence(F.lit(0), F.size(pieces) - 1), lambda i: F.startswith(F.get(pieces, i), F.lit(HEADER)))
-    stops = F.concat(F.slice(starts, F.lit(2), F.size(starts)), F.array(F.size(pieces)))
-    return F.when(
-        F.size(pieces) > 0,
-        F.flatten(
-            F.transform(
-                F.arrays_zip(starts.alias("first"), stops.alias("stop")),
-                lambda r: F.transform(
-                    F.slice(pieces, r["first"] + 1, r["stop"] - r["first"]),
-                    lambda p, i: F.struct(
-                        unescaped_role(between(F.get(pieces, r["first"]), F.lit(len(HEADER) + 1), colon(F.get(pieces, r["first"])))).alias("role"),
-                        unescaped(F.when(i == 0, between(p, colon(p) + len(COLON), F.length(p) + 1)).otherwise(p)).alias("text"),
-                    ),
-                ),
-            )
-        ),
+    cut = cut.withColumn("starts__", F.when(F.size(pieces) > 0, starts))
+    stops = F.concat(F.slice("starts__", F.lit(2), F.size("starts__")), F.array(F.size(pieces)))
+    colon = lambda piece: F.instr(piece, COLON)  # noqa: E731  escaped roles have none
+    role = lambda head: unescaped_role(between(head, F.lit(len(HEADER) + 1), colon(head)))
+    runs = F.transform(
+        F.arrays_zip(F.col("starts__").alias("first"), stops.alias("stop")),
+        lambda r: F.struct(role(F.get(pieces, r["first"])).alias("role"), F.slice(pieces, r["first"] + 1, r["stop"] - r["first"]).alias("texts")),
     )
+    cut = cut.withColumn("runs__", runs)
+    text = lambda p, i: unescaped(F.when(i == 0, between(p, colon(p) + len(COLON), F.length(p) + 1)).otherwise(p))
+    turns = F.transform("runs__", lambda r: F.transform(r["texts"], lambda p, i: F.struct(r["role"].alias("role"), text(p, i).alias("text"))))
+    return cut.withColumn(into, F.flatten(turns)).drop("pieces__", "starts__", "runs__")
 
 
-def masked(formatted: Column, loss_spans: Column) -> Column:
-    """The text under the loss mask, as it was before escaping."""
-    return F.array_join(F.transform(loss_spans, lambda s: unescaped(F.substring(formatted, s["start"] + 1, s["length"]))), "")
+def masked(chats: DataFrame, into: str = "loss") -> DataFrame:
+    """``chats`` with the text under the loss mask, as it was before escaping."""
+    raw = chats.withColumn("raw__", F.encode("formatted", "UTF-8"))  # places in bytes are found at once
+    part = lambda s: F.decode(F.substring(F.col("raw__"), s["first_byte"] + 1, s["bytes"]), "UTF-8")
+    return raw.withColumn(into, F.array_join(F.transform("loss_spans", lambda s: unescaped(part(s))), "")).drop("raw__")

@@ -21,7 +21,7 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     role = F.when(F.col("id") == 0, "user").otherwise("assistant")
     added = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit(text).alias("text"))
     chats = chat.format_chats(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(added))
-    read = chats.withColumn("turns", chat.read_chats(F.col("formatted"))).withColumn("loss", chat.masked(F.col("formatted"), F.col("loss_spans")))
+    read = chat.masked(chat.read_chats(chats))
     line = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
     return read.select(
         "conv_id",
