@@ -9,9 +9,9 @@ used, each with the tokens that many texts hold at the end:
    frequent ones (a table of bounded size; it decides how well the filters work, never the result).
 2. Texts with equal sets are one class. Classes meet in a shuffle on their prefix tokens under the
    first order, which leaves classes that share one.
-3. Per token and size range, each class is compared with one hub. Pairs must also pass the prefixes of
-   the second and third order and a parity signature (a lower bound of the difference) before their
-   whole sets are compared. Verified links give components.
+3. Per token and size range, each class is compared with one hub, a few times with another hub. A pair whose parity signatures (a
+   lower bound of the difference) are near enough gets its whole sets, and must share a prefix token
+   under the second and third order too before these are compared. Verified links give components.
 4. Every remaining pair of classes that share a prefix token, pass the position filter and are not
    in one component yet goes through the same filters and verification. So no link between different
    components is missed, and a large group of near copies costs as many pairs as it has members.
@@ -40,6 +40,8 @@ WIDTH, PERCENT = 5, 80
 FREQUENT = 1 << 18
 #: A token counts as recurring in a batch from this many texts on, and this share of its texts.
 RECURS, RECURS_SHARE = 4, 0.001
+#: Rounds of comparisons with one hub for each token and size range.
+HUBS = 4
 #: Needed ids up to this number are broadcast (16 MB); beyond, Spark joins by shuffle.
 SMALL = 1_000_000
 
@@ -122,23 +124,26 @@ def encoded(batch: pa.RecordBatch) -> list[bytes]:
 
 
 def named(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, text_name, class, n) of each row, and in rows without n the recurring tokens (class) with counts."""
+    """(doc_id, text_name, class, n, signature) of each row; in rows without n the recurring tokens (class) and counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = list(token_sets(encoded(batch), width))
             classes = [class_name(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("text_name"), pa.array(classes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.nulls(len(sets), pa.int64())],
-                names=["doc_id", "text_name", "class", "n", "texts"],
+                [batch.column("doc_id"), batch.column("text_name"), pa.array(classes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s) for s in sets], pa.binary()), pa.nulls(len(sets), pa.int64())],
+                names=["doc_id", "text_name", "class", "n", "signature", "texts"],
             )
             once = list(dict(zip(classes, sets, strict=True)).values())
             token, texts = np.unique(np.concatenate(once), return_counts=True) if once else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             often = texts >= max(RECURS, RECURS_SHARE * len(once))
-            none = pa.nulls(int(often.sum()), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, pa.array(token[often].view(np.int64)), none, pa.array(texts[often].astype(np.int64))], names=["doc_id", "text_name", "class", "n", "texts"])
+            none, empty = (pa.nulls(int(often.sum()), kind) for kind in (pa.int64(), pa.binary()))
+            yield pa.RecordBatch.from_arrays(
+                [none, none, pa.array(token[often].view(np.int64)), none, empty, pa.array(texts[often].astype(np.int64))],
+                names=["doc_id", "text_name", "class", "n", "signature", "texts"],
+            )
 
-    return docs.mapInArrow(run, "doc_id long, text_name long, class long, n long, texts long")
+    return docs.mapInArrow(run, "doc_id long, text_name long, class long, n long, signature binary, texts long")
 
 
 def prefixes(docs: DataFrame, orders: Orders, width: int, percent: int) -> DataFrame:
@@ -185,82 +190,88 @@ def can_link(a: str, b: str, percent: int) -> Column:
     return (100 * n_a >= percent * n_b) & (100 * n_b >= percent * n_a) & ((100 + percent) * rest >= percent * (n_a + n_b))
 
 
-def hub_pairs(met: DataFrame, percent: int) -> DataFrame:
-    """Each class with the smallest one of its size range under each token."""
-    ranged = met.withColumn("range", F.floor(F.log(F.col("n")) / F.log(F.lit(100 / percent))))
-    hub = F.first(F.struct("class", "n", "i")).over(Window.partitionBy("token", "range").orderBy("class"))
-    rows = ranged.select(F.struct("class", "n", "i").alias("x"), hub.alias("hub"))
-    return rows.filter((F.col("x.class") != F.col("hub.class")) & can_link("x", "hub", percent)).select(F.col("hub.class").alias("a"), F.col("x.class").alias("b")).distinct()
+def labelled(met: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """The rows of meeting() whose token joins several components, with the component as label."""
+    if labels is None:
+        return met.withColumn("label", F.col("class"))
+    rows = met.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("component", "class"))
+    by_token = Window.partitionBy("token")
+    mixed = rows.withColumn("least", F.min("label").over(by_token)).withColumn("most", F.max("label").over(by_token))
+    return mixed.filter("least < most").select(*met.columns, "label")
+
 
+def hub_pairs(rows: DataFrame, percent: int, step: int) -> DataFrame:
+    """Each class with the hub of its size range under each token; another hub in each step."""
+    ranged = rows.withColumn("range", F.floor(F.log(F.col("n")) / F.log(F.lit(100 / percent))))
+    order = Window.partitionBy("token", "range").orderBy(F.xxhash64("class", F.lit(step)), "class")
+    one = F.struct("class", "n", "i", "label")
+    both = ranged.select(one.alias("x"), F.first(one).over(order).alias("hub"))
+    met = both.filter((F.col("x.label") != F.col("hub.label")) & can_link("x", "hub", percent))
+    return met.select(F.least("x.class", "hub.class").alias("a"), F.greatest("x.class", "hub.class").alias("b")).distinct()
 
-def open_pairs(met: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+
+def open_pairs(rows: DataFrame, percent: int) -> DataFrame:
     """Classes of different components that share a prefix token and can still link."""
-    label = F.coalesce("component", "class")
-    rows = met.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", label)
-    by_token = Window.partitionBy("token")
-    mixed = rows.withColumn("least", F.min("label").over(by_token)).withColumn("most", F.max("label").over(by_token)).filter("least < most")
-    x, y = mixed.alias("x"), mixed.alias("y")
+    x, y = rows.alias("x"), rows.alias("y")
     found = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.label") < F.col("y.label")) & can_link("x", "y", percent))
     return found.select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")).distinct()
 
 
-def sets_of(docs: DataFrame, needed: DataFrame, classes: DataFrame, orders: Orders, width: int, percent: int) -> DataFrame:
-    """(class, n, tokens, prefixes, signature) of the classes in ``needed`` (class)."""
-    ids = stored(classes.join(needed, "class", "left_semi").select("text_name"))
-    if ids.count() <= SMALL:
-        ids = F.broadcast(ids)
+def with_both(pairs: DataFrame, classes: DataFrame, *columns: str) -> DataFrame:
+    """``pairs`` with these columns of both classes."""
+    for side in ("a", "b"):
+        pairs = pairs.join(classes.select(F.col("class").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in columns)), side)
+    return pairs
+
+
+def passing(pairs: DataFrame, test) -> DataFrame:
+    """The pairs (a, b) for which ``test`` holds, given a function that reads a column of a pair."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen, rows = set(), []
-            for tokens in token_sets(encoded(batch), width):
-                name = class_name(tokens)
-                if len(tokens) and name not in seen:
-                    seen.add(name)
-                    first = [np.sort(orders.prefix(tokens, prefix_size(len(tokens), percent), which).astype(np.uint32)).tobytes() for which in (1, 2)]
-                    rows.append((name, len(tokens), tokens.tobytes(), *first, signature(tokens)))
-            kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 6, kinds, strict=True)], names=["class", "n", "tokens", "second", "third", "signature"])
+            columns = {f.name: batch.column(f.name) for f in batch.schema}
+            yes = pa.array([i for i in range(batch.num_rows) if test(lambda name, i=i: columns[name][i])], pa.int64())
+            yield pa.RecordBatch.from_arrays([columns["a"].take(yes), columns["b"].take(yes)], names=["a", "b"])
 
-    found = docs.join(ids, "text_name", "left_semi").mapInArrow(run, "class long, n int, tokens binary, second binary, third binary, signature binary")
-    return stored_table(found)
+    return pairs.mapInArrow(run, "a long, b long")
 
 
-def with_both(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
-    """``pairs`` with the columns of both classes; copies of a class give it once."""
-    once = sets.groupBy("class").agg(*(F.first(c).alias(c) for c in columns))
-    for side in ("a", "b"):
-        pairs = pairs.join(once.select(F.col("class").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in columns)), side)
-    return pairs
+def whole_sets(docs: DataFrame, pairs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
+    """(class, tokens) of the classes in ``pairs``, made anew from one text of each."""
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    ids = stored(classes.join(needed, "class", "left_semi").select("text_name"))
+    if ids.count() <= SMALL:
+        ids = F.broadcast(ids)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen = {class_name(tokens): tokens for tokens in token_sets(encoded(batch), width)}
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array([t.tobytes() for t in seen.values()], pa.binary())], names=["class", "tokens"])
 
-def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs that link: filters under the other orders and by signature, then the whole sets."""
+    found = docs.join(ids, "text_name", "left_semi").select("text").mapInArrow(run, "class long, tokens binary")
+    return found.groupBy("class").agg(F.first("tokens").alias("tokens"))  # copies of a text give it again
 
-    def kept(batches: Iterator[pa.RecordBatch], test) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = {f.name: batch.column(f.name) for f in batch.schema}
-            get = lambda name, i: columns[name][i].as_buffer()
-            sizes = zip(columns["n_a"].to_pylist(), columns["n_b"].to_pylist(), strict=True)
-            yes = [i for i, (n_a, n_b) in enumerate(sizes) if test(get, i, n_a, n_b)]
-            yield pa.RecordBatch.from_arrays([columns["a"].take(pa.array(yes, pa.int64())), columns["b"].take(pa.array(yes, pa.int64()))], names=["a", "b"])
 
-    def meets(a: np.ndarray, b: np.ndarray) -> bool:
-        at = np.minimum(np.searchsorted(b, a), len(b) - 1)
-        return bool((b[at] == a).any())
+def linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, orders: Orders, width: int, percent: int) -> DataFrame:
+    """The pairs that link: by signature first, then under the other orders, then by whole sets."""
 
-    def filters(get, i: int, n_a: int, n_b: int) -> bool:
-        if (100 + percent) * least_difference(get("signature_a", i), get("signature_b", i)) > (100 - percent) * (n_a + n_b):
-            return False
-        return all(meets(np.frombuffer(get(f"{p}_a", i), np.uint32), np.frombuffer(get(f"{p}_b", i), np.uint32)) for p in ("second", "third"))
+    def near(of) -> bool:
+        sizes = of("n_a").as_py() + of("n_b").as_py()
+        return (100 + percent) * least_difference(of("signature_a").as_buffer(), of("signature_b").as_buffer()) <= (100 - percent) * sizes
 
-    def verify(get, i: int, n_a: int, n_b: int) -> bool:
-        a, b = (np.frombuffer(get(f"tokens_{s}", i), np.uint64) for s in "ab")
-        both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
-        return 100 * both >= percent * (n_a + n_b - both)
+    def common(a: np.ndarray, b: np.ndarray) -> int:
+        return len(np.intersect1d(a, b, assume_unique=True))
 
-    passed = with_both(pairs, sets, "n", "signature", "second", "third").mapInArrow(lambda it: kept(it, filters), "a long, b long")
-    return with_both(passed, sets, "n", "tokens").mapInArrow(lambda it: kept(it, verify), "a long, b long")
+    def links(of) -> bool:
+        a, b = (np.frombuffer(of(f"tokens_{side}").as_buffer(), np.uint64) for side in "ab")
+        for which in (1, 2):
+            if not common(*(orders.prefix(x, prefix_size(len(x), percent), which) for x in (a, b))):
+                return False
+        both = common(a, b)
+        return 100 * both >= percent * (len(a) + len(b) - both)
+
+    left = stored(passing(with_both(pairs, classes, "n", "signature"), near))
+    return passing(with_both(left, whole_sets(docs, left, classes, width), "tokens"), links)
 
 
 def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -270,20 +281,22 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple[D
     """
     texts = texts_of(docs)
     first = stored_table(named(texts, width))
-    rows = first.filter(F.col("n").isNotNull()).drop("texts")
+    rows = first.filter(F.col("n").isNotNull()).select("doc_id", "text_name", "class", "n")
     often = first.filter(F.col("n").isNull()).groupBy("class").agg(F.sum("texts").alias("texts")).orderBy(F.desc("texts"), "class").limit(FREQUENT).toPandas()
     orders = Orders(often["class"].to_numpy().astype(np.int64).view(np.uint64), often["texts"].to_numpy().astype(np.int64))
-    classes = rows.filter("n > 0").groupBy("class").agg(F.min("text_name").alias("text_name"))
+    classes = first.filter("n > 0").groupBy("class").agg(*(F.first(c).alias(c) for c in ("text_name", "n", "signature")))
     met = stored_table(meeting(prefixes(texts, orders, width, percent)))
 
-    links = None
-    for step in range(2):
-        pairs = stored(hub_pairs(met, percent) if links is None else open_pairs(met, components(links), percent).join(tried, ["a", "b"], "left_anti"))
-        needed = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-        found = stored(linked(pairs, sets_of(texts, needed, classes, orders, width, percent), percent))
-        tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        links = found if links is None else links.union(found)
-    return rows, components(links).select(F.col("node").alias("class"), "component")
+    labels = links = tried = None
+    for step in range(HUBS + 1):
+        rows_left = labelled(met, labels)
+        pairs = hub_pairs(rows_left, percent, step) if step < HUBS else open_pairs(rows_left, percent)
+        pairs = stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        found = stored(linked(pairs, texts, classes, orders, width, percent))
+        tried = pairs if tried is None else tried.union(pairs)
+        links = found if labels is None else found.union(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        labels = stored(components(links))
+    return rows, labels.select(F.col("node").alias("class"), "component")
 
 
 def near_copies(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -294,3 +307,19 @@ def near_copies(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     return labelled.join(least, "component", "left").select(
         "doc_id", "text_name", "component", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id")
     )
+
+
+def first_copies(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs`` without near copies of others: of each component the row with the smallest doc_id
+    (NULL last), then the smallest text name, then the smallest other columns. Rows without words all stay."""
+    found = near_copies(docs, width, percent)
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_name")).alias("least")
+    chosen = found.filter("n_shingles > 0").groupBy("component").agg(least).select("least.doc_id", "least.text_name", F.lit(True).alias("words"))
+    empty = found.filter("n_shingles = 0").select("doc_id", "text_name", F.lit(False).alias("words")).distinct()
+    kept = chosen.union(empty).withColumnsRenamed({"doc_id": "id__", "text_name": "name__", "words": "words__"})
+    named_docs = docs.withColumn("text_name__", F.xxhash64(F.coalesce("text", F.lit(""))))
+    on = (named_docs["text_name__"] == kept["name__"]) & named_docs["doc_id"].eqNullSafe(kept["id__"])
+    joined = named_docs.join(kept, on)
+    others = [c for c, kind in docs.dtypes if c not in ("doc_id", "text") and not kind.startswith(("map", "variant"))]
+    first = F.row_number().over(Window.partitionBy("text_name__", "id__").orderBy("name__", *others))
+    return joined.withColumn("first__", first).filter(~F.col("words__") | (F.col("first__") == 1)).select(*docs.columns)
