@@ -97,7 +97,7 @@ def returns_vs_benchmark(prices: DataFrame, index: DataFrame | None = None) -> D
     cols = ["coin_id", "timestamp", "price"]
     ra = _daily_returns(prices.select(cols).unionByName(index.select(cols)), "ra")
     rb = _daily_returns(index.select(cols), "rb").drop("coin_id")
-    return left_join_null_safe(ra, rb, ["timestamp"])
+    return left_join_null_safe(ra, rb, ["timestamp"]).select("timestamp", "coin_id", "ra", "rb")
 
 
 def _with_drawdown(returns: DataFrame) -> DataFrame:
