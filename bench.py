@@ -23,15 +23,18 @@ HEADLINE = (
     "q11_normalize_and_drawdown",
     "q15_downside_risk_table",
     "q16_capm_table",
+    "q18_tail_dependence_table",
     "q21_weekly_net_flows",
     "q24_weekly_new_users",
     "q28_directed_crossover",
     "q31_log_histogram_swaps_per_wallet",
     "q32_inverse_cdf_swaps",
+    "q35_top_assets",
     "q36_top_assets_by_dex",
     "q37_canonical_pool_swaps",
     "q40_origination_share_volume",
     "q41_tvl_metrics",
+    "q45_reconcile_tvl",
     "q46_value_lp_positions",
     "q49_league_table_pool",
     "q50_lp_density_pool",
@@ -39,8 +42,10 @@ HEADLINE = (
     "q50_lp_histogram_pool",
     "q55_asset_flow_summary",
     "q56_weekly_dense_counts_from",
+    "q57_focus_groups",
     "u1_wallet_swap_stats",
     "u5_ledger_balances",
+    "w13_number_rows",
 )
 
 
