@@ -15,6 +15,7 @@ from __future__ import annotations
 import heapq
 import json
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -23,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-KEPT = 800_000
+KEPT = 500_000
 #: Fixed value: how the byte-level pre-tokenizer cuts texts.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
 _ODD = re.compile(r" (?:\s|$)")
@@ -90,7 +91,7 @@ class Codec:
         found, bare = PIECES.findall(text), self.bare
         for p in found:
             if p not in bare:
-                bare[p] = np.array(self.merge(p.encode()), "<i4").tobytes()
+                bare[p] = array("i", self.merge(p.encode())).tobytes()
         return b"".join(map(bare.__getitem__, found))
 
     def _part(self, text: str) -> bytes:
