@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from tidewell.llm.components import components
 from tidewell.llm.stored import stored, stored_table
-from tidewell.llm.words import STEPS, groups, mix, name_texts, window_names
+from tidewell.llm.words import STEPS, groups, mix, name_texts, slices, window_names
 
 WIDTH, PERCENT = 5, 80
 #: Most frequent tokens that are put last; at 8 bytes each this bounds what is sent to every task.
@@ -127,7 +127,7 @@ def named(docs: DataFrame, width: int) -> DataFrame:
     """(doc_id, text_name, class, n, signature) of each row; in rows without n the recurring tokens (class) and counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sets = list(token_sets(encoded(batch), width))
             classes = [class_name(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
@@ -150,7 +150,7 @@ def prefixes(docs: DataFrame, orders: Orders, width: int, percent: int) -> DataF
     """(token, class, n, i): the prefix of every class under the first order; a class once in each batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = {}
             for tokens in token_sets(encoded(batch), width):
                 if len(tokens) and (name := class_name(tokens)) not in found:
@@ -287,15 +287,20 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple[D
     classes = first.filter("n > 0").groupBy("class").agg(*(F.first(c).alias(c) for c in ("text_name", "n", "signature")))
     met = stored_table(meeting(prefixes(texts, orders, width, percent)))
 
-    labels = links = tried = None
-    for step in range(HUBS + 1):
+    labels = tried = None
+    step = 0
+    while step <= HUBS:
         rows_left = labelled(met, labels)
         pairs = hub_pairs(rows_left, percent, step) if step < HUBS else open_pairs(rows_left, percent)
         pairs = stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         found = stored(linked(pairs, texts, classes, orders, width, percent))
         tried = pairs if tried is None else tried.union(pairs)
-        links = found if labels is None else found.union(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
-        labels = stored(components(links))
+        if labels is None or not found.isEmpty():
+            links = found if labels is None else found.union(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
+            labels = stored(components(links))
+            step += 1
+        else:  # hubs no longer join anything: on to the open pairs, or done
+            step = HUBS if step < HUBS else HUBS + 1
     return rows, labels.select(F.col("node").alias("class"), "component")
 
 

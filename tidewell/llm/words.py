@@ -7,7 +7,10 @@ name. Sequences of words are named by two independent polynomials over these nam
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
+import pyarrow as pa
 
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 BLOCK = 1 << 20
@@ -91,6 +94,14 @@ def spans(text: bytes, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.
     return np.concatenate(names), np.concatenate(starts), np.concatenate(ends)
 
 
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 2048) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ``rows`` rows; Arrow's unused memory is given back after each."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+            pa.default_memory_pool().release_unused()
+
+
 def groups(texts: list[bytes], limit: int = BLOCK // 2):
     """Runs of consecutive texts of about ``limit`` bytes, or one longer text: first and last index."""
     first = size = 0
