@@ -18,6 +18,8 @@ from __future__ import annotations
 
 import math
 import os
+import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,12 +28,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewell.llm.byte_bpe import byte_letters
+from tidewell.llm.kept import Kept
+from tidewell.llm.words import groups, slices
+
 CAPACITY = 2048
-KEPT = 600_000
+KEPT = 120_000
+#: A word of letters below U+0300 (no normalisation applies, one lower-case letter each) and the punctuation after it.
+_LETTERS = re.compile("([A-Za-zÀ-ÖØ-öø-įı-ʯ]+)([.,;:!?]*)")
 #: Rounds of multiplicative weights, how fast weights shrink, and how much they count beside the length.
 ROUNDS, RATE, NUDGE = 200, 2.0, 1e-5
-#: The share of the fractional solution that is rounded down and used; the rest leaves best fit its choice.
-SHARE = 0.5
+#: Shares of the fractional solution that are rounded down, of which the one with the fewest sequences counts;
+#: what a share leaves gives best fit its choice.
+SHARES = (0.75, 0.5, 0.25)
 #: Pieces of one length that one task numbers.
 SLICE = 50_000
 
@@ -39,7 +48,12 @@ PIECES = "doc_id long, piece int, start long, length long, ids binary"
 
 
 class Tokens:
-    """Ids of texts as little-endian 32-bit numbers, by a tokenizer whose pieces never cross white space."""
+    """Ids of texts as little-endian 32-bit numbers, by a lower-casing tokenizer that cuts at white space.
+
+    Letters and the punctuation after them are pieces of their own for this tokenizer, so words are looked up
+    as lower-case letters and punctuation; any other word is looked up whole. Ids of new entries come from
+    the library.
+    """
 
     def __init__(self, path: str, kept: int = KEPT):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -48,20 +62,37 @@ class Tokens:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.kept = kept
-        self.table: dict[bytes, bytes] = {}
+        self.letters = byte_letters()
+        self.words, self.parts = Kept(kept), Kept(2 * kept)
+
+    def many(self, letters: list[str]) -> list[bytes]:
+        """Ids of words of lower-case letters: these are one piece each, so the library's merges alone are needed."""
+        tokenize, spelled = self.tokenizer.model.tokenize, self.letters
+        raw = (w if w.isascii() else "".join(spelled[b] for b in w.encode()) for w in letters)
+        return [array("I", [t.id for t in tokenize(w)]).tobytes() for w in raw]
+
+    def learn(self, words: list[bytes]) -> None:
+        new = self.words.lacking(words)
+        if not new:
+            return
+        cut = {w: _LETTERS.fullmatch(w.decode()) for w in new}
+        lower = {w: m[1].lower() for w, m in cut.items() if m}
+        parts = self.parts.lacking(lower.values())
+        self.parts.update(zip(parts, self.many(parts), strict=True))
+        whole = [w.decode() for w, m in cut.items() if not m]
+        ends = sorted({m[2] for m in cut.values() if m and m[2]})
+        other = dict(zip(whole + ends, (np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch(whole + ends, add_special_tokens=False)), strict=True))
+        for w, m in cut.items():
+            self.words[w] = self.parts[lower[w]] + (other[m[2]] if m[2] else b"") if m else other[w.decode()]
+
+    def forget(self) -> None:
+        """Gives up what was not used lately, as the worker may run other stages next."""
+        self.words.old, self.parts.old = {}, {}
 
     def of(self, text: bytes) -> bytes:
         words = text.split()
-        if len(self.table) > self.kept:
-            self.table = {}
-        table = self.table
-        new = [w for w in dict.fromkeys(words) if w not in table]
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for w, found in zip(part, self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False), strict=True):
-                table[w] = np.array(found.ids, "<u4").tobytes()
-        return b"".join(map(table.__getitem__, words))
+        self.learn(words)
+        return b"".join(map(self.words.__getitem__, words))
 
 
 @lru_cache(maxsize=4)
@@ -73,21 +104,25 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = 0) -
     """The ids of every text of ``docs`` (doc_id, text) and the ``end`` id, cut every ``capacity`` ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokens(path).of
+        one = tokens(path)
+        encode = one.of
         last = np.array([end], "<u4").tobytes()
-        for batch in batches:
-            rows, number, ids = [], [], []
-            for i, text in enumerate(batch.column(1)):
-                found = encode(text.as_py().encode()) + last
-                for piece, at in enumerate(range(0, len(found), 4 * capacity)):
-                    rows.append(i)
-                    number.append(piece)
-                    ids.append(found[at : at + 4 * capacity])
-            n = np.array(number, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(n, pa.int32()), pa.array(n * capacity), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())],
-                names=["doc_id", "piece", "start", "length", "ids"],
-            )
+        for batch in slices(batches):
+            texts = [t.as_buffer().to_pybytes() for t in batch.column(1)]
+            for a, b in groups(texts, 1 << 21):
+                rows, number, ids = [], [], []
+                for i in range(a, b):
+                    found = encode(texts[i]) + last
+                    for piece, at in enumerate(range(0, len(found), 4 * capacity)):
+                        rows.append(i)
+                        number.append(piece)
+                        ids.append(found[at : at + 4 * capacity])
+                n = np.array(number, np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(n, pa.int32()), pa.array(n * capacity), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())],
+                    names=["doc_id", "piece", "start", "length", "ids"],
+                )
+        one.forget()
 
     return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, PIECES)
 
@@ -174,31 +209,37 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...
     return [x for group in rooms for x in group]
 
 
+def rounded(lengths: list[int], patterns: list[tuple[dict[int, int], float]], counts: dict[int, int], share: float, capacity: int) -> list[tuple[list[int], int]]:
+    """Whole numbers of patterns: ``share`` of the fractional solution rounded down, best fit for the rest."""
+    left = dict(counts)
+    out = []
+    for pattern, times in patterns:
+        k = min(math.floor(share * times), *(left[lengths[i]] // n for i, n in pattern.items()))
+        if k > 0:
+            out.append(([lengths[i] for i, n in sorted(pattern.items(), reverse=True) for _ in range(n)], k))
+            for i, n in pattern.items():
+                left[lengths[i]] -= k * n
+    return out + [(list(pattern), times) for pattern, times in best_fit(left, capacity)]
+
+
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[int, int, int, int, int]], int]:
     """Rows (length, first rank, number of ranks, first sequence, offset), and the number of sequences."""
-    left = {n: c for n, c in counts.items() if c > 0}
-    rank = dict.fromkeys(left, 0)
+    counts = {n: c for n, c in counts.items() if c > 0}
+    if not counts:
+        return [], 0
+    lengths = sorted(counts)
+    patterns = fractional(np.array(lengths, np.int64), np.array([counts[n] for n in lengths]), capacity)
+    tries = [rounded(lengths, patterns, counts, share, capacity) for share in SHARES]
+    rank = dict.fromkeys(counts, 0)
     rows: list[tuple[int, int, int, int, int]] = []
     sequences = 0
-
-    def use(pattern: list[int], times: int) -> None:
-        nonlocal sequences
+    for pattern, times in min(tries, key=lambda found: sum(k for _, k in found)):
         offset = 0
         for n in pattern:
             rows.append((n, rank[n], times, sequences, offset))
             rank[n] += times
-            left[n] -= times
             offset += n
         sequences += times
-
-    if left:
-        lengths = np.array(sorted(left), np.int64)
-        for pattern, times in fractional(lengths, np.array([left[n] for n in lengths.tolist()]), capacity):
-            k = min(math.floor(SHARE * times), *(left[int(lengths[i])] // n for i, n in pattern.items()))
-            if k > 0:
-                use([int(lengths[i]) for i, n in sorted(pattern.items(), reverse=True) for _ in range(n)], k)
-    for pattern, times in best_fit(left, capacity):
-        use(list(pattern), times)
     return rows, sequences
 
 
