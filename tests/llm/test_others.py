@@ -144,3 +144,34 @@ def test_op7_recall(spark, sf_dir):
         score[ids == q] = -np.inf
         hits += len(set(ids[np.lexsort((ids, -score))[:20]]) & set(g.vec_id))
     assert hits >= 0.9 * 20 * sum(i % 20 == 0 for i in ids.tolist())
+
+
+def recall_of(got, x, k=20):
+    """The share of the exact ``k`` best that was found, and the least number of rows of a query; vec_id is the row of ``x``."""
+    hits, least = 0, k
+    for q, g in got.groupby("query_id"):
+        score = x @ x[q]
+        score[q] = -np.inf
+        hits += len(set(np.argsort(-score)[:k].tolist()) & set(g.vec_id))
+        least = min(least, len(g))
+    return hits / (k * got.query_id.nunique()), least
+
+
+def test_unequal_norms_keep_the_recall(spark):
+    rnd = np.random.default_rng(3)
+    x = rnd.normal(size=(6000, 32)) / np.sqrt(32)
+    x *= np.exp(0.5 * rnd.normal(size=6000))[:, None]
+    x[77] *= 10
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = neighbours.nearest(vectors, F.col("vec_id") % 40 == 0, meet=20).toPandas()
+    recall, least = recall_of(got, x)
+    assert recall >= 0.85 and least == 20 and got.query_id.nunique() == 150
+
+
+def test_queries_that_meet_too_few_are_searched_whole(spark):
+    x = np.random.default_rng(4).normal(size=(1500, 32))
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = neighbours.nearest(vectors, F.col("vec_id") % 50 == 0, tables=1, probes=1, meet=0).toPandas()
+    recall, least = recall_of(got, x)
+    assert least == 20 and got.query_id.nunique() == 30
+    assert sorted(got["rank"]) == sorted(list(range(1, 21)) * 30)
