@@ -175,3 +175,14 @@ def test_queries_that_meet_too_few_are_searched_whole(spark):
     recall, least = recall_of(got, x)
     assert least == 20 and got.query_id.nunique() == 30
     assert sorted(got["rank"]) == sorted(list(range(1, 21)) * 30)
+
+
+def test_a_stray_dimension_changes_no_other_search(spark):
+    x = np.random.default_rng(5).normal(size=(2000, 32))
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    search = lambda r: neighbours.nearest(spark.createDataFrame(r, "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0, tables=2, probes=4, meet=20)
+    plain, stray = search(rows).toPandas(), search([*rows, (2001, [1.0, 2.0])]).toPandas()
+    order = ["query_id", "rank"]
+    assert plain.sort_values(order).reset_index(drop=True).equals(stray.sort_values(order).reset_index(drop=True))
+    assert recall_of(plain, x)[0] < 1
