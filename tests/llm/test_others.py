@@ -186,3 +186,17 @@ def test_a_stray_dimension_changes_no_other_search(spark):
     order = ["query_id", "rank"]
     assert plain.sort_values(order).reset_index(drop=True).equals(stray.sort_values(order).reset_index(drop=True))
     assert recall_of(plain, x)[0] < 1
+
+
+def test_shared_phrases_and_copies_keep_their_text(spark):
+    rnd = random.Random(8)
+    own = lambda n: " ".join(rnd.choice("abcdefgh") + str(rnd.randrange(10**6)) for _ in range(n))
+    menu, phrase, story = "all about the shop and its owners", "as far as we know by now", own(60)
+    texts = [f"{own(20)} {phrase} {own(20)}" if i in (3, 30) else own(40) for i in range(40)]
+    texts += [story, story, f"{own(5)} {story[: story.rindex(' ')]}"]  # equal pages, and one that holds nearly all of them
+    rows = [(i, "http://h/", f"<div>{menu}</div><p>{t}</p>") for i, t in enumerate(texts)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in main_text.main_text(pages).collect()}
+    assert [got[i] for i in range(40)] == texts[:40]
+    whole, part = [story, texts[42]], [story.split()[-1], " ".join(texts[42].split()[:5])]
+    assert got[40] == got[41] and [got[40], got[42]] in ([whole[0], part[1]], [part[0], whole[1]])
