@@ -200,3 +200,9 @@ def test_shared_phrases_and_copies_keep_their_text(spark):
     assert [got[i] for i in range(40)] == texts[:40]
     whole, part = [story, texts[42]], [story.split()[-1], " ".join(texts[42].split()[:5])]
     assert got[40] == got[41] and [got[40], got[42]] in ([whole[0], part[1]], [part[0], whole[1]])
+
+
+def test_marked_articles_are_no_main_text():
+    page = """<article class="post tag-ads category-social has-sidebar">a<article class="comment-body">c</article><section id="x"><article role=comment>d</article>b</section></article>
+<article class="related">r<article>s</article></article><article class="comments"><article>t</article></article>"""
+    assert main_text.page_blocks(page) == [(0, "a"), (2, "c"), (2, "d"), (0, "b"), (2, "r"), (2, "s"), (2, "t")]
