@@ -137,3 +137,17 @@ def test_licenses_in_odd_texts(spark):
     got = sorted((r.doc_id, r.template, r.share == 1, r.first_word) for r in licenses.scan(docs).collect())
     assert got == [(20, "mit-grant", True, 0), (21, "mit-grant", False, 0), (23, "all-rights-reserved", True, 0), (23, "all-rights-reserved", True, 0)]
     assert licenses.scan(docs.limit(0)).count() == 0 and licenses.scan(docs, {}).count() == 0
+
+
+def test_a_hot_token_is_no_window(spark):
+    rows = [(t, c, 10, t) for t in (1, 2, 3) for c in range(40) if t < 3 or c == 5]
+    found = spark.createDataFrame(rows + rows[:7], "token long, class long, n int, i int")
+    met = ngram_join.meeting(found)
+    assert Counter(tuple(r) for r in met.collect()) == Counter(r for r in rows if r[0] < 3)
+    labels = spark.createDataFrame([(c, c // 20) for c in range(40)], "node long, component long")
+    left = ngram_join.labelled(met, labels)
+    assert left.count() == 80 and ngram_join.labelled(met.filter("class < 20"), labels).count() == 0
+    pairs = ngram_join.hub_pairs(ngram_join.labelled(met, None), 80, 1)
+    assert pairs.count() == 39
+    for frame in (met, left, pairs):
+        assert "Window" not in frame._jdf.queryExecution().optimizedPlan().toString()

@@ -173,14 +173,14 @@ def prefixes(docs: DataFrame, orders: Orders, width: int, percent: int) -> DataF
 
 def meeting(found: DataFrame) -> DataFrame:
     """The rows of prefixes() whose token several classes have, each class once."""
-    by_token = Window.partitionBy("token")
-    seen = found.select(
-        "*",
-        F.min("class").over(by_token).alias("least"),
-        F.max("class").over(by_token).alias("most"),
-        F.lag("class").over(by_token.orderBy("class")).alias("before"),
-    )
-    return seen.filter((F.col("least") < F.col("most")) & (F.col("before").isNull() | (F.col("before") != F.col("class")))).select(*found.columns)
+    rows = found.distinct()
+    return rows.join(mixed_tokens(rows, "class"), "token", "left_semi")
+
+
+def mixed_tokens(rows: DataFrame, name: str) -> DataFrame:
+    """The tokens under which ``name`` has several values, combined before the shuffle."""
+    ends = rows.groupBy("token").agg(F.min(name).alias("least"), F.max(name).alias("most"))
+    return ends.filter("least < most").select("token")
 
 
 def can_link(a: str, b: str, percent: int) -> Column:
@@ -195,17 +195,15 @@ def labelled(met: DataFrame, labels: DataFrame | None) -> DataFrame:
     if labels is None:
         return met.withColumn("label", F.col("class"))
     rows = met.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("component", "class"))
-    by_token = Window.partitionBy("token")
-    mixed = rows.withColumn("least", F.min("label").over(by_token)).withColumn("most", F.max("label").over(by_token))
-    return mixed.filter("least < most").select(*met.columns, "label")
+    return rows.join(mixed_tokens(rows, "label"), "token", "left_semi").select(*met.columns, "label")
 
 
 def hub_pairs(rows: DataFrame, percent: int, step: int) -> DataFrame:
     """Each class with the hub of its size range under each token; another hub in each step."""
     ranged = rows.withColumn("range", F.floor(F.log(F.col("n")) / F.log(F.lit(100 / percent))))
-    order = Window.partitionBy("token", "range").orderBy(F.xxhash64("class", F.lit(step)), "class")
     one = F.struct("class", "n", "i", "label")
-    both = ranged.select(one.alias("x"), F.first(one).over(order).alias("hub"))
+    hubs = ranged.groupBy("token", "range").agg(F.min_by(one, F.struct(F.xxhash64("class", F.lit(step)), "class")).alias("hub"))
+    both = ranged.join(hubs, ["token", "range"]).select(one.alias("x"), "hub")
     met = both.filter((F.col("x.label") != F.col("hub.label")) & can_link("x", "hub", percent))
     return met.select(F.least("x.class", "hub.class").alias("a"), F.greatest("x.class", "hub.class").alias("b")).distinct()
 
