@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import byte_bpe, chat, licenses, main_text, neighbours, ngram_join, packing, quality, substrings, token_counts
+from tidewell.llm import alignment, byte_bpe, chat, licenses, main_text, neighbours, ngram_join, packing, quality, substrings, token_counts
 from tidewell.llm.stored import stored
 
 
@@ -82,6 +82,11 @@ def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.alignment_report(table(spark, sf_dir, "documents"), *paths)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -93,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_license_scans": op10_license_scans,
+    "op11_tokenizer_alignment": op11_tokenizer_alignment,
 }
 
 def sql_list(values: list[str]) -> str:
