@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import alignment, byte_bpe, chat, licenses, main_text, neighbours, ngram_join, packing, quality, substrings, token_counts
+from tidewell.llm import alignment, byte_bpe, chat, licenses, main_text, merkle, neighbours, ngram_join, packing, quality, substrings, token_counts
 from tidewell.llm.stored import stored
 
 
@@ -87,6 +87,10 @@ def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.alignment_report(table(spark, sf_dir, "documents"), *paths)
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -99,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_counts": op9_token_counts,
     "op10_license_scans": op10_license_scans,
     "op11_tokenizer_alignment": op11_tokenizer_alignment,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 def sql_list(values: list[str]) -> str:
@@ -135,4 +140,64 @@ WHERE 100 * n >= {licenses.PERCENT} * wanted
 GROUP BY doc_id, row, template
 """
 
-ORACLES: dict[str, str] = {"op10_license_scans": LICENSE_SQL}
+def leaf_sql(text: str) -> str:
+    fields = ["doc_id", "source", "lang", "n_chars", text]
+    each = [f"CASE WHEN {f} IS NULL THEN '-' ELSE strlen(CAST({f} AS VARCHAR)) || ':' || {f} END" for f in fields]
+    return f"sha256({' || '.join(each)})"
+
+
+def walk_sql(nodes: str, group: str) -> str:
+    """One step up a tree: the siblings joined to the proof, the node folded with them."""
+    return f"""
+    SELECT w.row, w.rank, w.level + 1, w.place // 3,
+           w.proof || coalesce(string_agg(x.digest, '' ORDER BY x.place) FILTER (x.place <> w.place), ''),
+           sha256(string_agg(CASE WHEN x.place = w.place THEN w.folded ELSE x.digest END, '' ORDER BY x.place))
+    FROM walk_{nodes} AS w JOIN {nodes} AS x ON {group} AND x.level = w.level AND x.place // 3 = w.place // 3
+    WHERE x.n > 1
+    GROUP BY w.row, w.rank, w.level, w.place, w.proof, w.folded"""
+
+
+#: The CRC-32 of the decimal doc_id, bit by bit (fixed values: the polynomial and the mask of 32 bits).
+CRC_SQL = """xor(4294967295, list_reduce(
+    list_prepend(4294967295::UBIGINT, [ord(c)::UBIGINT for c in string_split(doc_id::VARCHAR, '')]),
+    lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), range(8)::UBIGINT[]),
+        lambda x, _: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384::UBIGINT) ELSE x // 2 END)))"""
+
+#: The two trees level by level, and every row's way up.
+MERKLE_SQL = f"""
+WITH RECURSIVE leaves AS (
+    SELECT doc_id, source, {leaf_sql("text")} AS leaf,
+           CASE WHEN {CRC_SQL} % 2 = 0 THEN {leaf_sql("replace(text, chr(10), '')")} END AS changed
+    FROM documents
+),
+placed AS (
+    SELECT *, row_number() OVER () AS row, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS rank,
+           row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, count(*) OVER (PARTITION BY source) AS n
+    FROM leaves
+),
+below AS (
+    SELECT rank, 0 AS level, place, leaf AS digest, n FROM placed
+    UNION ALL
+    SELECT rank, level + 1, place // 3, sha256(string_agg(digest, '' ORDER BY place)), (n + 2) // 3
+    FROM below WHERE n > 1 GROUP BY rank, level, place // 3, n
+),
+subroots AS (SELECT rank, digest AS subroot FROM below WHERE n = 1),
+above AS (
+    SELECT 0 AS level, rank AS place, subroot AS digest, (SELECT count(*) FROM subroots) AS n FROM subroots
+    UNION ALL
+    SELECT level + 1, place // 3, sha256(string_agg(digest, '' ORDER BY place)), (n + 2) // 3 FROM above WHERE n > 1 GROUP BY level, place // 3, n
+),
+walk_below AS (
+    SELECT row, rank, 0 AS level, place, '' AS proof, coalesce(changed, leaf) AS folded FROM placed
+    UNION ALL{walk_sql("below", "x.rank = w.rank")}
+),
+walk_above AS (
+    SELECT row, rank, 0 AS level, rank AS place, proof, folded FROM walk_below
+    WHERE (rank, level) IN (SELECT (rank, level) FROM below WHERE n = 1)
+    UNION ALL{walk_sql("above", "true")}
+)
+SELECT doc_id, leaf, subroot, digest AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = digest AS verified
+FROM placed JOIN walk_above AS w USING (row) JOIN above AS a ON a.n = 1 AND a.level = w.level JOIN subroots ON subroots.rank = placed.rank
+"""
+
+ORACLES: dict[str, str] = {"op10_license_scans": LICENSE_SQL, "op13_merkle_manifest": MERKLE_SQL}
