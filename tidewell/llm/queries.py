@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import alignment, byte_bpe, chat, licenses, main_text, merkle, neighbours, ngram_join, packing, quality, substrings, token_counts
+from tidewell.llm import alignment, byte_bpe, chat, decontamination, licenses, main_text, merkle, neighbours, ngram_join, packing, quality, substrings, token_counts
 from tidewell.llm.stored import stored
 
 
@@ -87,6 +87,10 @@ def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.alignment_report(table(spark, sf_dir, "documents"), *paths)
 
 
+def op12_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.report(decontamination.contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"))
 
@@ -103,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_counts": op9_token_counts,
     "op10_license_scans": op10_license_scans,
     "op11_tokenizer_alignment": op11_tokenizer_alignment,
+    "op12_benchmark_decontamination": op12_benchmark_decontamination,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
@@ -140,6 +145,35 @@ WHERE 100 * n >= {licenses.PERCENT} * wanted
 GROUP BY doc_id, row, template
 """
 
+def plain_words_sql(table: str) -> str:
+    """Words of letters, digits and characters beyond ASCII, A-Z as a-z."""
+    return f"""
+    SELECT row_number() OVER () AS row, *, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+    FROM {table}"""
+
+
+#: Every window of every size looked up in every document.
+DECONTAMINATION_SQL = f"""
+WITH docs AS ({plain_words_sql("documents")}), items AS ({plain_words_sql("benchmark")}),
+windows AS (
+    SELECT DISTINCT coalesce(CAST(item_id AS VARCHAR), '') AS item, least(len(words), {decontamination.WIDTH}) AS size,
+           array_to_string(words[i + 1 : i + {decontamination.WIDTH}], ' ') AS phrase
+    FROM (SELECT *, unnest(range(greatest(len(words) - {decontamination.WIDTH}, 0) + 1)) AS i FROM items WHERE len(words) > 0)
+),
+places AS (
+    SELECT row, i, size, array_to_string(words[i + 1 : i + size], ' ') AS phrase
+    FROM (SELECT *, unnest(range(len(words))) AS i FROM docs), (SELECT DISTINCT size FROM windows)
+    WHERE i + size <= len(words) AND words[i + 1] IN (SELECT split_part(phrase, ' ', 1) FROM windows)
+),
+found AS (SELECT row, i, p.size, item FROM places AS p JOIN windows AS w ON p.size = w.size AND p.phrase = w.phrase),
+hits AS (SELECT row, count(DISTINCT place) AS n_hit FROM (SELECT row, unnest(range(i, i + size)) AS place FROM (SELECT DISTINCT row, i, size FROM found)) GROUP BY row),
+held AS (SELECT row, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT row, item FROM found) GROUP BY row)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hits USING (row) LEFT JOIN held USING (row)
+"""
+
+
 def leaf_sql(text: str) -> str:
     fields = ["doc_id", "source", "lang", "n_chars", text]
     each = [f"CASE WHEN {f} IS NULL THEN '-' ELSE strlen(CAST({f} AS VARCHAR)) || ':' || {f} END" for f in fields]
@@ -200,4 +234,4 @@ SELECT doc_id, leaf, subroot, digest AS root, sha256(proof) AS proof_sha256, fol
 FROM placed JOIN walk_above AS w USING (row) JOIN above AS a ON a.n = 1 AND a.level = w.level JOIN subroots ON subroots.rank = placed.rank
 """
 
-ORACLES: dict[str, str] = {"op10_license_scans": LICENSE_SQL, "op13_merkle_manifest": MERKLE_SQL}
+ORACLES: dict[str, str] = {"op10_license_scans": LICENSE_SQL, "op12_benchmark_decontamination": DECONTAMINATION_SQL, "op13_merkle_manifest": MERKLE_SQL}
