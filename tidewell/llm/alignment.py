@@ -24,7 +24,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import pairwise
+from itertools import chain, compress, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -32,20 +32,32 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.byte_bpe import PIECES, codec
+from tidewell.llm.byte_bpe import Codec, codec
 from tidewell.llm.kept import Kept
 from tidewell.llm.stored import stored_table
 from tidewell.llm.words import slices
 
 MARK = "▁"
 #: Pieces kept in each of two generations of the table.
-KEPT = 120_000
+KEPT = 100_000
 #: New pieces aligned at once, and texts of about this many bytes taken together.
-AT_ONCE, BYTES = 8192, 1 << 22
+AT_ONCE, BYTES = 8192, 1 << 21
 _CUT = re.compile(r"(?<! ) (?=\S)")
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 
 
+def byte_encoder(one: Codec):
+    """A function from a text to its ids, special strings being plain text, for a vocabulary whose ids follow the ranks of its merges."""
+    import public_tokenizers
+    import tiktoken
+
+    made = [new for _, _, new in one.merged]
+    if sorted(one.single) != list(range(256)) or made != list(range(256, 256 + len(made))):
+        raise ValueError("ids do not follow the ranks of the merges")
+    ranks = {one.strings[i]: i for i in range(256 + len(made))}
+    return tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+
 def suffix_pairs(a: list[bytes], b: list[bytes]) -> np.ndarray:
     """Numbers a_id * len(b) + b_id, ascending, of all pairs of strings of which one is a suffix of the other."""
     found = set()
@@ -110,9 +122,13 @@ class Codes:
         if any(MARK in p.lstrip(MARK) for p in pieces):
             raise ValueError("a vocabulary string spans two words")
         byte = [_BYTE.fullmatch(p) if self.model.is_byte(i) else None for i, p in enumerate(pieces)]
+        self.strings_a = self.a.strings
         self.strings_b = [bytes([int(m[1], 16)]) if m else p.replace(MARK, " ").encode() for m, p in zip(byte, pieces, strict=True)]
-        self.size_a, self.size_b = (np.array([len(s) for s in strings], np.int64) for strings in (self.a.strings, self.strings_b))
-        self.pairs = suffix_pairs(self.a.strings, self.strings_b)
+        self.size_a, self.size_b = (np.array([len(s) for s in strings], np.int64) for strings in (self.strings_a, self.strings_b))
+        self.encode_a = byte_encoder(self.a)
+        self.pairs = suffix_pairs(self.strings_a, self.strings_b)
+        #: How an id is written, by what follows it: for A another id of A or the first of B, for B another id of B, the next group or nothing.
+        self.written = np.array([f"{i}{c}" for n, marks in ((len(self.strings_a), ",|"), (len(self.strings_b), (",", ";", ""))) for c in marks for i in range(n)], object)
         #: piece: (tokens of A, tokens of B, groups, links as little-endian 32-bit numbers), or None where bytes differ.
         self.table: Kept = Kept(kept)
 
@@ -124,33 +140,38 @@ class Codes:
     def learn(self, pieces: list[str]) -> None:
         """Encodes and aligns new pieces."""
         raw = [(" " + p).encode() for p in pieces]
-        ids_b = self.model.encode(pieces, num_threads=1)
-        strings_a, strings_b, merge = self.a.strings, self.strings_b, self.a.merge
-        good, ids_a, right = [], [], []
-        for i, (piece, whole) in enumerate(zip(pieces, raw, strict=True)):
-            ids = [x for p in PIECES.findall(" " + piece) for x in merge(p.encode())]
-            if b"".join([strings_a[x] for x in ids]) == whole == b"".join([strings_b[x] for x in ids_b[i]]):
-                good.append(piece)
-                ids_a.append(ids)
-                right.append(ids_b[i])
-            else:
-                self.table[piece] = None
-        if not good:
+        ids_a, ids_b = list(map(self.encode_a, [" " + p for p in pieces])), self.model.encode(pieces, num_threads=1)
+        same = [self.same(*one) for one in zip(raw, ids_a, ids_b, strict=True)]
+        self.table.update((p, None) for p, yes in zip(pieces, same, strict=True) if not yes)
+        pieces, ids_a, ids_b = (list(compress(x, same)) for x in (pieces, ids_a, ids_b))
+        if not pieces:
             return
-        flat_a, flat_b = (np.fromiter((x for ids in side for x in ids), np.int64) for side in (ids_a, right))
-        ends_a, ends_b = np.cumsum(self.size_a[flat_a]), np.cumsum(self.size_b[flat_b])
-        last_a, last_b = terminals(ends_a, ends_b)
-        group = np.flatnonzero(last_b == np.arange(len(last_b)))  # the tokens of B that end a group
-        stop_a, stop_b = np.searchsorted(last_a, group, "right"), group + 1
-        links = np.searchsorted(self.pairs, flat_a[stop_a - 1] * len(self.strings_b) + flat_b[group]).astype("<i4")
-        text_a, text_b = list(map(str, flat_a.tolist())), list(map(str, flat_b.tolist()))
-        cuts_a, cuts_b = [0, *stop_a.tolist()], [0, *stop_b.tolist()]
-        parts = [
-            ",".join(text_a[s:e]) + "|" + ",".join(text_b[t:f]) for (s, e), (t, f) in zip(pairwise(cuts_a), pairwise(cuts_b), strict=True)
-        ]
-        done = np.searchsorted(stop_b, np.cumsum([len(ids) for ids in right]), "right").tolist()
-        for piece, left, ids, (s, e) in zip(good, ids_a, right, pairwise([0, *done]), strict=True):
-            self.table[piece] = (len(left), len(ids), ";".join(parts[s:e]), links[s:e].tobytes())
+        count_a, count_b = list(map(len, ids_a)), list(map(len, ids_b))
+        flat_a, flat_b = (np.fromiter(chain.from_iterable(ids), np.int64) for ids in (ids_a, ids_b))
+        last_a, last_b = terminals(np.cumsum(self.size_a[flat_a]), np.cumsum(self.size_b[flat_b]))
+        stop_b = np.flatnonzero(last_b == np.arange(len(last_b)))  # the tokens of B that end a group
+        stop_a = np.searchsorted(last_a, stop_b, "right") - 1
+        links = np.searchsorted(self.pairs, flat_a[stop_a] * len(self.strings_b) + flat_b[stop_b]).astype("<i4")
+        end_b = np.cumsum(count_b)
+        # written group by group, A before B
+        mark_a, mark_b = np.zeros(len(flat_a), np.int64), np.zeros(len(flat_b), np.int64)
+        mark_a[stop_a], mark_b[stop_b], mark_b[end_b - 1] = 1, 1, 2
+        n_a, n_b = len(self.strings_a), len(self.strings_b)
+        group_a, group_b = np.searchsorted(stop_a, np.arange(len(flat_a))), np.searchsorted(stop_b, np.arange(len(flat_b)))
+        written = np.empty(len(flat_a) + len(flat_b), np.int64)
+        written[np.arange(len(flat_a)) + np.concatenate([[0], stop_b + 1])[group_a]] = mark_a * n_a + flat_a
+        written[np.arange(len(flat_b)) + stop_a[group_b] + 1] = 2 * n_a + mark_b * n_b + flat_b
+        parts = self.written[written].tolist()
+        done = np.searchsorted(stop_b, end_b).tolist()
+        at = group = 0
+        for piece, a, b, to in zip(pieces, count_a, count_b, done, strict=True):
+            self.table[piece] = (a, b, "".join(parts[at : at + a + b]), links[group:to].tobytes())
+            at, group = at + a + b, to
+
+    def same(self, raw: bytes, ids_a: list[int], ids_b: list[int]) -> bool:
+        """Whether both sides give the bytes of a piece."""
+        a, b = self.strings_a, self.strings_b
+        return b"".join([a[i] for i in ids_a]) == raw == b"".join([b[i] for i in ids_b])
 
     def align(self, texts: list[str]) -> list[tuple[int, int, str, bytes]]:
         """Tokens of A and of B, groups and links of each text."""
