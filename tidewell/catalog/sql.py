@@ -131,7 +131,7 @@ _VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "liquidity_actions": (
         ("pools",),
-        """SELECT CAST(o_custkey AS VARCHAR) AS address, pool_name,
+        """SELECT CASE WHEN l_orderkey % 1009 <> 11 THEN CAST(o_custkey AS VARCHAR) END AS address, pool_name,
            CASE WHEN l_returnflag = 'R' THEN 'withdraw' ELSE 'deposit' END AS action, l_quantity AS stake_units
            FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN pools ON l_suppkey = s_suppkey""",
     ),
@@ -143,14 +143,14 @@ _VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "balances": (
         ("liquidity_actions",),
-        """SELECT address, coalesce(w, 0) AS rune_wallet_balance, coalesce(l, 0) AS rune_lp_balance,
+        """SELECT coalesce(a.address, b.address) AS address, coalesce(w, 0) AS rune_wallet_balance, coalesce(l, 0) AS rune_lp_balance,
            coalesce(w, 0) + coalesce(l, 0) AS rune_total_balance FROM
            (SELECT address, sum(amount) AS w FROM (
               SELECT CAST(o_custkey AS VARCHAR) AS address, -o_totalprice AS amount FROM orders
-              UNION ALL SELECT CAST((o_custkey * 7 + 3) % (SELECT count(*) FROM customer) AS VARCHAR), o_totalprice FROM orders) GROUP BY 1)
+              UNION ALL SELECT CASE WHEN o_orderkey % 211 <> 5 THEN CAST((o_custkey * 7 + 3) % (SELECT count(*) FROM customer) AS VARCHAR) END, o_totalprice FROM orders) GROUP BY 1) a
            FULL JOIN
            (SELECT address, sum(CASE WHEN action = 'withdraw' THEN -stake_units ELSE stake_units END) AS l
-            FROM liquidity_actions GROUP BY 1) USING (address)""",
+            FROM liquidity_actions GROUP BY 1) b ON a.address IS NOT DISTINCT FROM b.address""",
     ),
     "pool_sizes": (
         ("pool_daily",),

@@ -127,7 +127,7 @@ def exact_quantiles(v):
 SELECT *, -swaps AS sort_key FROM asset_popularity WHERE rank <= 10""",
 )
 def top_assets(v):
-    return pop.top_assets(u.asset_popularity(v.swaps()))
+    return pop.top_assets(u.asset_popularity(v.swaps(), n=10))
 
 
 @query(
@@ -138,7 +138,7 @@ def top_assets(v):
 SELECT *, -swaps AS sort_key FROM asset_popularity_by_dex WHERE rank <= 10""",
 )
 def top_assets_by_dex(v):
-    return pop.top_assets_by_dex(u.asset_popularity(v.swaps(), by_dex=True))
+    return pop.top_assets_by_dex(u.asset_popularity(v.swaps(), by_dex=True, n=10))
 
 
 @query(
@@ -152,5 +152,5 @@ SELECT rank, max(asset_name) FILTER (swap_program = 'algofi') AS algofi,
 FROM asset_popularity_by_dex WHERE rank <= 10 GROUP BY rank""",
 )
 def top_assets_by_dex_wide(v):
-    ranked = u.asset_popularity(v.swaps(), by_dex=True)
+    ranked = u.asset_popularity(v.swaps(), by_dex=True, n=10)
     return pop.top_assets_by_dex(ranked, wide=True, dexes=["algofi", "pactfi", "tinyman"])

@@ -127,6 +127,18 @@ def focus_groups(v):
     )
 
 
+@query(
+    "q57_mapping_by_id",
+    "swap_to_asset_id value label",
+    f"""{views("swaps")}
+--
+SELECT DISTINCT swap_to_asset_id, swap_to_name AS value, CASE swap_to_name WHEN 'ASA3' THEN 'red' WHEN 'ASA1' THEN 'blue' END AS label FROM swaps""",
+)
+def mapping_by_id(v):
+    named = v.spark.createDataFrame([("ASA3", "red"), ("ASA1", "blue")], "value string, label string")
+    return focus.mapping_by_id(v.swaps(), "swap_to_asset_id", "swap_to_name", named)
+
+
 @query(
     "q57_unmatched_values",
     "value",

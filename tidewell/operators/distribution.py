@@ -8,12 +8,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions.nulls import safe_div
-from tidewell.operators.reshape import left_join_null_safe
+from tidewell.operators.reshape import join_null_safe, left_join_null_safe
 
 
 def value_counts(df: DataFrame, x: str, by: Sequence[str] = ()) -> DataFrame:
@@ -24,82 +25,59 @@ def value_counts(df: DataFrame, x: str, by: Sequence[str] = ()) -> DataFrame:
     return counts.where(F.col("n") > 0)
 
 
-def _slice(df: DataFrame, cuts: Column, x: Column, levels: int) -> DataFrame:
-    """Add ``__slice``, the number of cuts below ``x``: a binary search in ``levels`` steps.
+def slice_of(x: Column, bits: int) -> Column:
+    """A whole number that never falls as the number ``x`` rises: 2 ** bits slices between a power of two and the next."""
+    size = F.abs(x)
+    exponent = F.least(F.floor(F.log2(size)), F.lit(2000))
+    part = F.floor((size / F.pow(F.lit(2.0), exponent) - 1) * 2**bits)
+    place = F.lit(1 << 40) + exponent * 2**bits + part
+    beyond = size == F.lit(float("inf"))
+    place = F.when(F.isnan(x), 1 << 42).when(size < 2.0**-1000, 1).when(beyond, 1 << 41).otherwise(place)
+    return F.when(x == 0, 0).when(x < 0, -place).otherwise(place).cast("long")
 
-    Each step is a column that refers to the one before it in the same ``select``.
-    """
-    steps = [F.lit(0).alias("__s0")]
-    for i, half in enumerate(2**k for k in reversed(range(levels))):
-        so_far = F.col(f"__s{i}")
-        beyond = F.get("__cuts", so_far + (half - 1)) < x
-        steps.append((so_far + F.when(beyond, half).otherwise(0)).alias(f"__s{i + 1}"))
-    found = df.select(*df.columns, cuts.alias("__cuts"), *steps)
-    return found.select(*df.columns, F.col(f"__s{levels}").alias("__slice"))
+
+def _slice_totals(counts: DataFrame, x: str, by: Sequence[str], bits: int, *more: Column) -> tuple[DataFrame, DataFrame]:
+    """Value counts with their slice, and per group and slice the rows in it, below it (``__below``) and in the group (``n_total``)."""
+    sliced = counts.withColumn("__slice", slice_of(F.col(x).cast("double"), bits))
+    below = Window.partitionBy(*by).orderBy("__slice").rowsBetween(Window.unboundedPreceding, 0)
+    totals = sliced.groupBy(*by, "__slice").agg(F.sum("n").alias("__n"), *more).withColumns(
+        {"__below": F.sum("__n").over(below) - F.col("__n"), "n_total": F.sum("__n").over(Window.partitionBy(*by))}
+    )
+    return sliced, totals
 
 
-def slice_of(df: DataFrame, x: str, levels: int, name: str) -> DataFrame:
-    """Add the slice of the number line, cut at approximate quantiles, that the number ``x`` falls into."""
-    slices = 2**levels
-    cuts = df.agg(F.percentile_approx(x, [i / slices for i in range(1, slices)], 10 * slices)).scalar()
-    return _slice(df, cuts, F.col(x), levels).withColumnRenamed("__slice", name)  # ``df`` has no __slice of its own
+def _through(sliced: DataFrame, totals: DataFrame, x: str, by: Sequence[str], how: str = "left") -> DataFrame:
+    """``n_through`` and ``n_total`` of every value; with ``how="inner"`` of the slices in ``totals`` alone."""
+    inside = Window.partitionBy(*by, "__slice").orderBy(x).rowsBetween(Window.unboundedPreceding, 0)
+    keys = [*by, "__slice"]
+    joined = join_null_safe(sliced, totals.select(*keys, "__below", "n_total"), keys, how)
+    return joined.withColumn("n_through", F.sum("n").over(inside) + F.col("__below")).drop("__slice", "__below")
 
 
-def running_counts(counts: DataFrame, x: str, by: Sequence[str] = (), levels: int = 8) -> DataFrame:
+def running_counts(counts: DataFrame, x: str, by: Sequence[str] = (), bits: int = 10) -> DataFrame:
     """Add ``n_through`` (rows at or below the value) and ``n_total`` to value counts.
 
-    A plain running sum would need every value of a group in one task. Here approximate
-    quantiles of the values cut the number line into ``2 ** levels`` slices; the running sum is
-    taken inside each slice and lifted by the totals of the slices below. Where the cuts fall
-    only affects balance, not the result.
+    A plain running sum would need every value of a group in one task. Here the number line has fixed slices, ``2 ** bits`` of
+    them from a power of two to the next (a thousandth of the value wide); the running sum is taken inside each slice and
+    lifted by the totals of the slices below, of which a group has one row for each slice that it reaches.
     """
-    slices = 2**levels
-    number = F.col(x).cast("double")
-    cuts = counts.agg(
-        F.percentile_approx(number, [i / slices for i in range(1, slices)], 10 * slices)
-    ).scalar()
-    sliced = _slice(counts, cuts, number, levels)
-    within = Window.partitionBy(*by, "__slice").orderBy(x)
-    below = Window.partitionBy(*by).orderBy("__slice")
-    # At most one row per group and slice.
-    totals = (
-        sliced.groupBy(*by, "__slice")
-        .agg(F.sum("n").alias("__n"))
-        .withColumns(
-            {
-                "__below": F.sum("__n").over(below) - F.col("__n"),
-                "n_total": F.sum("__n").over(Window.partitionBy(*by)),
-            }
-        )
-        .drop("__n")
-    )
-    return (
-        left_join_null_safe(
-            sliced.withColumn("__through", F.sum("n").over(within.rowsBetween(Window.unboundedPreceding, 0))),
-            totals,
-            [*by, "__slice"],
-        )
-        .withColumn("n_through", F.col("__through") + F.col("__below"))
-        .drop("__slice", "__through", "__below")
-    )
-
+    sliced, totals = _slice_totals(counts, x, by, bits)
+    return _through(sliced, totals, x, by).select(*counts.columns, "n_total", "n_through")
 
-def ecdf(df: DataFrame, x: str, by: Sequence[str] = (), levels: int = 8) -> DataFrame:
-    """Steps of the empirical distribution function, one row per distinct value.
 
-    ``levels``: the work is cut into 2 ** levels slices; more for a larger cluster.
-    """
-    steps = running_counts(value_counts(df, x, by), x, by, levels)
+def ecdf(df: DataFrame, x: str, by: Sequence[str] = (), bits: int = 10) -> DataFrame:
+    """Steps of the empirical distribution function, one row per distinct value; ``bits`` as in running_counts()."""
+    steps = running_counts(value_counts(df, x, by), x, by, bits)
     return steps.select(*by, x, (F.col("n_through") / F.col("n_total")).alias("ecdf"))
 
 
-def inverse_cdf(df: DataFrame, x: str, levels: int = 8, part: int = 100_000) -> DataFrame:
+def inverse_cdf(df: DataFrame, x: str, bits: int = 10, part: int = 100_000) -> DataFrame:
     """Every row's value with its cumulative share; missing values have no rank and are left out.
 
     Only the two columns come out, so the rows are made from the counts: a value is repeated as often
     as it occurs. A value shared by a large part of the rows is dealt out in parts of ``part`` rows.
     """
-    steps = running_counts(value_counts(df, x), x, levels=levels)
+    steps = running_counts(value_counts(df, x), x, bits=bits)
     parts = steps.select(
         (F.col("n_through") / F.col("n_total")).alias("cume_dist"),
         x,
@@ -113,7 +91,7 @@ def inverse_cdf(df: DataFrame, x: str, levels: int = 8, part: int = 100_000) ->
 
 
 def quantiles(
-    df: DataFrame, x: str, probs: Sequence[float], by: Sequence[str] = (), interpolate: bool = True, levels: int = 8
+    df: DataFrame, x: str, probs: Sequence[float], by: Sequence[str] = (), interpolate: bool = True, bits: int = 10
 ) -> DataFrame:
     """Exact quantiles, one row per group and probability.
 
@@ -121,7 +99,7 @@ def quantiles(
     whose cumulative share reaches ``p``. Exact percentiles hold a group's distinct values in one
     buffer; this picks the two order statistics out of the running counts instead.
     """
-    return _pick_quantiles(running_counts(value_counts(df, x, by), x, by, levels), x, probs, by, interpolate)
+    return _pick_quantiles(running_counts(value_counts(df, x, by), x, by, bits), x, probs, by, interpolate)
 
 
 def _pick_quantiles(
@@ -176,17 +154,15 @@ def histogram(
     first_edge = F.when(F.lit(bins == 1) & (F.col("__e.lo") < F.col("__e.hi")), F.col("__e.lo")).otherwise(F.col("__e.lo") - width / 2)
     single = F.col("__e.hi") == F.col("__e.lo")
     index = F.when(single | F.lit(bins == 1), 0).otherwise(F.greatest(F.ceil(safe_div(F.col("__x") - first_edge, width)) - 1, F.lit(0)))
-    counted = data.withColumn("__e", extent).groupBy(*by, index.cast("int").alias("bin")).agg(
+    counted = data.withColumn("__e", extent).groupBy(*by, "__e", index.cast("int").alias("bin")).agg(
         F.count(F.lit(1)).alias("n")
     )
     # A group's bars as one map of at most ``bins`` entries, from which empty bins are read too.
-    bars = counted.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("__n"))
+    bars = counted.groupBy(*by, "__e").agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("__n"))
     every = F.sequence(F.lit(0), F.when(single, 0).otherwise(bins - 1))
     n = F.coalesce(F.try_element_at("__n", F.col("bin")), F.lit(0))
     return (
-        bars.withColumn("__e", extent)
-        .where(F.col("__e.total") > 0)
-        .withColumn("bin", F.explode(every))
+        bars.withColumn("bin", F.explode(every))
         .select(
             *by,
             "bin",
@@ -213,33 +189,44 @@ def density(
     ``points`` cells that reaches four bandwidths past the range, each value split linearly over
     its two neighbours; the density is read off that grid by linear interpolation. After the
     split a group has at most ``points`` rows, whatever its size, and the evaluation is
-    ``points`` x ``points`` products (262,144 by default) per group. The plan is lazy: range and
-    bandwidths are subqueries, and the passes share the exchange of the value counts.
+    ``points`` x ``points`` products (262,144 by default) per group. The plan is lazy. Size, moments, range and the places of
+    the quartiles come from one aggregate per slice of the number line, the quartiles from the few slices that
+    hold them; all passes share the exchange of the value counts.
     """
     by = list(by)
     counts = value_counts(_on_scale(df, x, log10), "__x", by)
-    extent = counts.agg(F.struct(F.min("__x").alias("lo"), F.max("__x").alias("hi"))).scalar()
-    data = counts.withColumn("__e", extent)
-    lo, hi = F.col("__e.lo"), F.col("__e.hi")
-    n, shifted = F.col("n"), F.col("__x") - lo
-    squares = F.sum(n * shifted * shifted) - F.sum(n * shifted) * F.sum(n * shifted) / F.sum("n")
-    moments = data.groupBy(*by).agg(
-        F.sum("n").alias("__n"),
-        F.sqrt(F.greatest(safe_div(squares, F.sum("n") - 1), F.lit(0.0))).alias("__sd"),
-        F.min("__x").alias("__first"),
-    )
-    quartiles = _pick_quantiles(running_counts(counts, "__x", by), "__x", [0.25, 0.75], by)
+    n, v = F.col("n"), F.col("__x")
+    apart = F.sum(n * v * v) - F.sum(n * v) * F.sum(n * v) / F.sum(n)  # the values of a slice are near each other
+    moments = [(F.sum(n * v) / F.sum(n)).alias("__mean"), F.greatest(apart, F.lit(0.0)).alias("__apart"), F.min(v).alias("__least"), F.max(v).alias("__most")]
+    sliced, totals = _slice_totals(counts, "__x", by, 10, *moments)
+    # slices that hold an order statistic beside a quartile, and all that the group's other figures need
+    quartile = [0.25 * (F.col("n_total") - 1), 0.75 * (F.col("n_total") - 1)]
+    through = F.col("__below") + F.col("__n")
+    holds = [(F.col("__below") <= p) & (p < through) for q in quartile for p in (F.floor(q), F.ceil(q))]
+    near = totals.where(reduce(lambda a, b: a | b, holds))
+    quartiles = _pick_quantiles(_through(sliced, near, "__x", by, "inner"), "__x", [0.25, 0.75], by)
     spread = quartiles.groupBy(*by).agg((F.max("quantile") - F.min("quantile")).alias("__iqr"))
-    known = left_join_null_safe(moments, spread, by) if by else moments.withColumn("__iqr", spread.scalar())
+    size, whole = F.sum("__n"), Window.partitionBy()
+    off = F.col("__mean") - F.col("__from")
+    squares = F.sum(F.col("__apart") + F.col("__n") * off * off) - F.sum(F.col("__n") * off) * F.sum(F.col("__n") * off) / size
+    known = totals.withColumn("__from", F.min("__least").over(Window.partitionBy(*by))).groupBy(*by).agg(
+        size.alias("__n"),
+        F.sqrt(F.greatest(safe_div(squares, size - 1), F.lit(0.0))).alias("__sd"),
+        F.min("__least").alias("__first"),
+        F.max("__most").alias("__last"),
+    )
+    known = left_join_null_safe(known, spread, by) if by else known.withColumn("__iqr", spread.scalar())
     rule = F.least("__sd", F.col("__iqr") / 1.34)
     # Same fall-backs as the usual rule of thumb when the spread is zero.
     scale = F.coalesce(
         F.when(rule > 0, rule), F.when(F.col("__sd") > 0, F.col("__sd")),
         F.when(F.col("__first") != 0, F.abs("__first")), F.lit(1.0),
     )
-    groups = known.where(F.col("__n") > 1).select(
-        *by, "__n", (0.9 * scale * F.pow(F.col("__n").cast("double"), F.lit(-0.2))).alias("__bw")
-    )
+    extent = F.struct(F.min("__first").over(whole).alias("lo"), F.max("__last").over(whole).alias("hi"))  # one row per group
+    groups = known.select(
+        *by, "__n", (0.9 * scale * F.pow(F.col("__n").cast("double"), F.lit(-0.2))).alias("__bw"), extent.alias("__e")
+    ).where(F.col("__n") > 1)
+    lo, hi = F.col("__e.lo"), F.col("__e.hi")
     low = lo - 4 * F.col("__bw")
     step = (hi + 4 * F.col("__bw") - low) / (points - 1)
     place = (F.col("__x") - low) / step
@@ -253,7 +240,7 @@ def density(
         )
     )
     mass = (
-        _attach(data, groups, by)
+        _attach(counts, groups, by)
         .select(*by, "__n", "__bw", "__e", halves.alias("h"))
         .groupBy(*by, "__n", "__bw", "__e", F.col("h.cell").alias("__cell"))
         .agg(F.sum("h.mass").alias("__mass"))
@@ -277,8 +264,8 @@ def density(
 
 
 def _attach(df: DataFrame, groups: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Size and bandwidth of a row's group beside it; rows of groups without a bandwidth go."""
+    """Size, bandwidth and range beside a row; rows of groups without a bandwidth go."""
     if by:
         return left_join_null_safe(df, groups, by).where(F.col("__bw").isNotNull())
-    one = groups.select(F.struct("__n", "__bw")).scalar()
-    return df.withColumn("__g", one).where(F.col("__g").isNotNull()).select(*df.columns, "__g.__n", "__g.__bw")
+    one = groups.select(F.struct("__n", "__bw", "__e")).scalar()
+    return df.withColumn("__g", one).where(F.col("__g").isNotNull()).select(*df.columns, "__g.__n", "__g.__bw", "__g.__e")

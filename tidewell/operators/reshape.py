@@ -22,13 +22,18 @@ def null_safe_on(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Colu
     return cond
 
 
-def left_join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Left equi-join on ``keys`` with NULL matching NULL; key columns come out once."""
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``keys`` with NULL matching NULL; key columns come out once, from the left."""
     renamed = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
     cond = F.lit(True)
     for k in keys:
         cond = cond & left[k].eqNullSafe(renamed[f"__r_{k}"])
-    return left.join(renamed, cond, "left").drop(*[f"__r_{k}" for k in keys])
+    return left.join(renamed, cond, how).drop(*[f"__r_{k}" for k in keys])
+
+
+def left_join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left equi-join on ``keys`` with NULL matching NULL; key columns come out once."""
+    return join_null_safe(left, right, keys, "left")
 
 
 def calendar_of(df: DataFrame, period: str) -> DataFrame:
@@ -79,6 +84,14 @@ def carry_to_next(df: DataFrame, key: str, day: str) -> DataFrame:
     return repeated.join(calendar, "__at", "left").withColumn(day, F.col("__day")).drop("__at", "__day")
 
 
+def small_column(df: DataFrame, col: str, most: int) -> list:
+    """The distinct non-missing values of a column, ascending, on the driver; an error if there are more than ``most``."""
+    values = [r[0] for r in df.select(col).where(F.col(col).isNotNull()).distinct().limit(most + 1).collect()]
+    if len(values) > most:
+        raise ValueError(f"{col} has more than {most} values")
+    return sorted(values)
+
+
 def rank_matrix(df: DataFrame, rank: str, col: str, value: str, values: Sequence[str]) -> DataFrame:
     """Wide table: one row per rank, one column per listed value of ``col``."""
     return df.groupBy(rank).pivot(col, list(values)).agg(F.first(value, ignorenulls=True))

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions.names import pool_short_name, short_name_chain
 from tidewell.functions.nulls import safe_div, sum_strict
 from tidewell.operators import distribution
-from tidewell.operators.ranking import number_rows
 from tidewell.operators.reshape import left_join_null_safe, top_with_ties
 
 
@@ -80,8 +79,9 @@ def league_table(lp: DataFrame, by: str = "pool") -> DataFrame:
         "chain": (["chain"], F.coalesce(F.sum("lp_position_usd"), F.lit(0.0))),
     }[by]
     table = lp.groupBy(*keys).agg(F.count(F.lit(1)).alias("liquidity_providers"), total.alias("tvl"))
-    ranked = number_rows(table, "-tvl", *keys)
-    return ranked.withColumn("rank", F.when(F.col("tvl").isNotNull(), F.col("rank")))
+    # one row per pool or chain: few enough to be numbered in one task
+    number = F.row_number().over(Window.orderBy(F.desc_nulls_last("tvl"), *map(F.asc_nulls_first, keys)))
+    return table.withColumn("rank", F.when(F.col("tvl").isNotNull(), number.cast("long")))
 
 
 def _distribution(df: DataFrame, x: str, kind: str, bins: int, by: Sequence[str]) -> DataFrame:

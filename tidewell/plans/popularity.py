@@ -7,7 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.operators.reshape import rank_matrix
+from tidewell.operators.reshape import rank_matrix, small_column
+
+#: A table may become this wide.
+MOST_COLUMNS = 200
 
 
 def top_assets(popularity: DataFrame, n: int = 10) -> DataFrame:
@@ -20,11 +23,12 @@ def top_assets_by_dex(
 ) -> DataFrame:
     """The first ``n`` ranks of every exchange in one job, or as a rank x exchange table of names.
 
-    The wide form needs the exchanges as column names; they are a handful of program names.
+    The wide form needs the exchanges as column names. Without ``dexes`` they are pulled from the data, in a job of its
+    own; more than ``MOST_COLUMNS`` of them are refused.
     """
     top = popularity.where(F.col("rank") <= n)
     if not wide:
         return top.withColumn("sort_key", -F.col("swaps"))
     if dexes is None:
-        raise ValueError("the wide form needs the exchanges, which become its columns")
+        dexes = small_column(popularity, "swap_program", MOST_COLUMNS)
     return rank_matrix(top, "rank", "swap_program", "asset_name", dexes)

@@ -11,7 +11,9 @@ from tidewell.functions.calendar import day, month_floor, starting
 from tidewell.functions.names import coin_alias
 from tidewell.functions.nulls import running_max_strict, safe_div, sum_strict
 from tidewell.operators import stats
+from tidewell.operators.distribution import running_counts, value_counts
 from tidewell.operators.reshape import left_join_null_safe
+from tidewell.operators.series import worst_fall
 
 
 def _series() -> WindowSpec:
@@ -100,29 +102,25 @@ def returns_vs_benchmark(prices: DataFrame, index: DataFrame | None = None) -> D
     return left_join_null_safe(ra, rb, ["timestamp"]).select("timestamp", "coin_id", "ra", "rb")
 
 
-def _with_drawdown(returns: DataFrame) -> DataFrame:
-    """Known returns with the fall of the compounded series from its peak; wealth starts at 1."""
-    running = _series().rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    known = returns.where(F.col("ra").isNotNull())
-    wealth = known.withColumn("wealth", F.product(1 + F.col("ra")).over(running))
-    peak = F.greatest(F.max("wealth").over(running), F.lit(1.0))
-    return wealth.withColumn("fall", 1 - safe_div(F.col("wealth"), peak))
-
-
 def max_drawdown(returns: DataFrame) -> DataFrame:
-    """Largest fall of the compounded return series, as a positive share."""
-    return _with_drawdown(returns).groupBy("coin_id").agg(F.max("fall").alias("maximum_drawdown"))
+    """Largest fall of the compounded return series, as a positive share; wealth starts at 1.
+
+    Years are summed up first and merged, so that a long series is not one task.
+    """
+    moved = returns.withColumn("__factor", 1 + F.col("ra"))
+    falls = worst_fall(moved, ["coin_id"], ["timestamp"], "__factor", F.date_trunc("year", "timestamp"))
+    return falls.withColumnRenamed("fall", "maximum_drawdown")
 
 
 def downside_risk_table(returns: DataFrame, p: float = 0.95) -> DataFrame:
-    """All four measures in one aggregation per coin."""
+    """Three measures in one aggregation per coin, and the largest fall."""
     ra = F.col("ra")
-    return _with_drawdown(returns).groupBy("coin_id").agg(
+    measures = returns.where(ra.isNotNull()).groupBy("coin_id").agg(
         stats.downside_deviation(ra).alias("downside_deviation"),
         stats.historical_var(ra, p).alias("historical_var"),
         stats.modified_var(ra).alias("modified_var"),
-        F.max("fall").alias("maximum_drawdown"),
     )
+    return left_join_null_safe(measures, max_drawdown(returns), ["coin_id"])
 
 
 def capm_table(returns: DataFrame) -> DataFrame:
@@ -144,30 +142,26 @@ def side_correlations(returns: DataFrame) -> DataFrame:
     )
 
 
+def _threshold(pairs: DataFrame, c: str, u: float) -> DataFrame:
+    """The floor(n u)-th order statistic per coin, out of running counts; no coin is sorted in one task."""
+    steps = running_counts(value_counts(pairs, c, ["coin_id"]), c, ["coin_id"])
+    cut = F.floor(F.col("n_total") * u)
+    holds = (F.col("n_through") >= cut) & (F.col("n_through") - F.col("n") < cut)
+    return steps.where(holds).select("coin_id", F.col(c).alias(f"__above_{c}"))
+
+
 def tail_dependence_table(returns: DataFrame, u: float = 0.8, kind: str = "chi") -> DataFrame:
     """How often coin and benchmark are in their upper tails together.
 
     The threshold of each series is its floor(n u)-th order statistic.
     """
     pairs = returns.where(F.col("ra").isNotNull() & F.col("rb").isNotNull())
-    coin = Window.partitionBy("coin_id")
-
-    def above(c: str) -> Column:
-        cut = F.floor(F.col("__n") * u)
-        threshold = F.max(F.when(F.col(f"__rank_{c}") <= cut, F.col(c))).over(coin)
-        return F.col(c) > threshold
-
-    ranked = pairs.withColumns(
-        {
-            "__n": F.count(F.lit(1)).over(coin),
-            "__rank_ra": F.row_number().over(coin.orderBy("ra")),
-            "__rank_rb": F.row_number().over(coin.orderBy("rb")),
-        }
-    )
+    thresholds = left_join_null_safe(_threshold(pairs, "ra", u), _threshold(pairs, "rb", u), ["coin_id"])
+    both = (F.col("ra") > F.col("__above_ra")) & (F.col("rb") > F.col("__above_rb"))
     joint = (
-        ranked.withColumn("__both", above("ra") & above("rb"))
+        left_join_null_safe(pairs, thresholds, ["coin_id"])
         .groupBy("coin_id")
-        .agg(F.count_if("__both").alias("joint"), F.count(F.lit(1)).alias("n"))
+        .agg(F.count_if(both).alias("joint"), F.count(F.lit(1)).alias("n"))
     )
     if kind == "chi":
         return joint.select("coin_id", safe_div(F.col("joint"), F.col("n") * (1 - u)).alias("tail_dependence"))

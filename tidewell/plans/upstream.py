@@ -22,13 +22,18 @@ def wallet_swap_stats(swaps: DataFrame, since: str | date | None = None) -> Data
     )
 
 
-def asset_popularity(swaps: DataFrame, since: str | date | None = None, by_dex: bool = False) -> DataFrame:
-    """Swaps to each asset and its rank, overall or per exchange; equal counts rank by asset id."""
+def asset_popularity(
+    swaps: DataFrame, since: str | date | None = None, by_dex: bool = False, n: int | None = None
+) -> DataFrame:
+    """Swaps to each asset and its rank, overall or per exchange; equal counts rank by asset id.
+
+    With ``n`` only the first ``n`` ranks (of each exchange): the others go before any shuffle of the counts.
+    """
     keys = ["swap_program"] if by_dex else []
     counts = _real_swaps(swaps, since).groupBy(
         *keys, "swap_to_asset_id", F.col("swap_to_name").alias("asset_name")
     ).agg(F.count(F.lit(1)).alias("swaps"))
-    return number_rows(counts, "-swaps", "swap_to_asset_id", by=keys)
+    return number_rows(counts, "-swaps", "swap_to_asset_id", by=keys, top=n)
 
 
 def identify_whales(accounts: DataFrame, labels: DataFrame, min_balance: float = 200_000) -> DataFrame:
@@ -107,10 +112,11 @@ def ledger_balances(transfers: DataFrame, liquidity_actions: DataFrame) -> DataF
         .agg(F.sum("leg.amount").alias("rune_wallet_balance"))
     )
     pooled = _net_stake(liquidity_actions, "address").withColumnRenamed("stake", "rune_lp_balance")
-    both = wallet.join(pooled, "address", "full")
+    same = F.col("wallet.address").eqNullSafe(F.col("pooled.address"))  # a missing address is one address
+    both = wallet.alias("wallet").join(pooled.alias("pooled"), same, "full")
     zero = F.lit(0.0)
     return both.select(
-        "address",
+        F.coalesce("wallet.address", "pooled.address").alias("address"),
         F.coalesce("rune_wallet_balance", zero).alias("rune_wallet_balance"),
         F.coalesce("rune_lp_balance", zero).alias("rune_lp_balance"),
         (F.coalesce("rune_wallet_balance", zero) + F.coalesce("rune_lp_balance", zero)).alias("rune_total_balance"),

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import re
+import tempfile
+import uuid
 from collections.abc import Iterable, Mapping, Sequence
 from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import DateType, StructField, StructType
 
 from tidewell.sources.schemas import SCHEMAS
 
@@ -98,6 +100,33 @@ def read_prices(
     )
 
 
+def land_prices(prices: DataFrame, path: str) -> None:
+    """Price history in folders by coin and month, so that a reader of some coins and months opens no other file.
+
+    Rows are dealt out by folder first, which gives each folder the files of one task.
+    """
+    landed = prices.withColumn("month", F.date_trunc("month", "timestamp").cast("date"))
+    landed.repartition("coin_id", "month").write.mode("overwrite").partitionBy("coin_id", "month").parquet(path)
+
+
+def read_landed_prices(
+    spark: SparkSession, path: str, coin_ids: str | Iterable[str], days: int, as_of: date | str, vs_currency: str = "usd"
+) -> DataFrame:
+    """``read_prices`` of what ``land_prices`` wrote; coins and months prune the folders."""
+    as_of = date.fromisoformat(as_of) if isinstance(as_of, str) else as_of
+    first = as_of - timedelta(days=days)
+    columns = StructType.fromDDL(SCHEMAS["price_history"])
+    kept = StructType([f for f in columns.fields if f.name != "coin_id"] + [columns["coin_id"], StructField("month", DateType())])
+    rows = spark.read.schema(kept).parquet(path).where(F.col("month").between(F.lit(first.replace(day=1)), F.lit(as_of)))
+    coins = [coin_ids] if isinstance(coin_ids, str) else list(coin_ids)
+    return rows.where(
+        F.col("coin_id").isin(coins)
+        & (F.col("vs_currency") == vs_currency)
+        & (F.col("timestamp") >= F.lit(first).cast("timestamp_ntz"))
+        & (F.col("timestamp") < F.lit(as_of + timedelta(days=1)).cast("timestamp_ntz"))
+    ).select(*columns.names)
+
+
 def dim(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
     """A dimension written out in code. Its size is fixed, so it may be broadcast."""
     return F.broadcast(spark.createDataFrame(list(rows), schema))
@@ -115,3 +144,23 @@ def write_result(
         writer.option("header", True).csv(path)
     else:
         writer.format(fmt).save(path)
+
+
+def refresh_days(df: DataFrame, path: str, day: str = "day") -> None:
+    """Write rows into folders by ``day``, in place of what the days in ``df`` held; all other days stay as they are.
+
+    Writing the same days again gives the same table, so a daily job can be repeated.
+    """
+    df.repartition(day).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below the one that spark.checkpoint.dir names, which all executors share."""
+    context = spark.sparkContext
+    named = context._jsc.sc().getCheckpointDir()
+    base = named.get() if named.isDefined() else context.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="tidewell-")
+    return f"{base}/{uuid.uuid4().hex}"
