@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from tidewell.catalog.base import query
 from tidewell.catalog.sql import views
+from tidewell.functions.names import TOKEN_ROWS
 from tidewell.plans import upstream as u
 from tidewell.sources.io import dim
 
@@ -54,7 +55,7 @@ def identify_whales(v):
 
 
 PROGRAM = "vault-program"
-VAULT_ROWS = [(f"account-{t}", f"mint-{t}", t) for t in ("SOL", "mSOL", "BTC", "ETH", "LUNA")]
+VAULT_ROWS = [(f"account-{t}", f"mint-{t}", t) for _, t in TOKEN_ROWS]
 
 
 def raw_transactions(v):
