@@ -4,10 +4,11 @@ import random
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
 
 from tests.llm import brute
-from tidewell.llm import licenses, ngram_join, quality, queries, substrings
+from tidewell.llm import licenses, ngram_join, pairing, quality, queries, substrings
 from tidewell.llm.words import count_words, name_texts, spans
 
 SCHEMA = "doc_id long, text string"
@@ -140,14 +141,68 @@ def test_licenses_in_odd_texts(spark):
 
 
 def test_a_hot_token_is_no_window(spark):
-    rows = [(t, c, 10, t) for t in (1, 2, 3) for c in range(40) if t < 3 or c == 5]
-    found = spark.createDataFrame(rows + rows[:7], "token long, class long, n int, i int")
+    rows = [(t, c, 10, t, c) for t in (1, 2, 3) for c in range(40) if t < 3 or c == 5]
+    found = spark.createDataFrame(rows + rows[:7], "token long, class long, n int, i int, rare int")
     met = ngram_join.meeting(found)
     assert Counter(tuple(r) for r in met.collect()) == Counter(r for r in rows if r[0] < 3)
     labels = spark.createDataFrame([(c, c // 20) for c in range(40)], "node long, component long")
     left = ngram_join.labelled(met, labels)
     assert left.count() == 80 and ngram_join.labelled(met.filter("class < 20"), labels).count() == 0
-    pairs = ngram_join.hub_pairs(ngram_join.labelled(met, None), 80, 1)
-    assert pairs.count() == 39
+    pairs = ngram_join.hub_pairs(ngram_join.labelled(met, None), 80)
+    assert {(r.a, r.b) for r in pairs.collect()} == {(0, c) for c in range(1, 40)}
     for frame in (met, left, pairs):
         assert "Window" not in frame._jdf.queryExecution().optimizedPlan().toString()
+
+
+def group_of_copies(n, words, seed, base=True, others=()):
+    """Texts that differ from one text in a few words each, which are mostly too far from each other to link."""
+    rnd = random.Random(seed)
+    start = [f"w{rnd.randrange(10**6)}" for _ in range(words)]
+    out = [" ".join(start)] if base else []
+    for i in range(n):
+        mine = list(start)
+        for k in rnd.sample(range(words), 1 + i % 3):
+            mine[k] = f"x{i}y{k}"
+        out.append(" ".join(mine))
+    return [*out, *others]
+
+
+@pytest.mark.parametrize("base", [True, False])
+def test_large_groups_make_few_pairs(spark, monkeypatch, base):
+    made = []
+    real = ngram_join.linked
+    monkeypatch.setattr(ngram_join, "linked", lambda pairs, *rest: made.append(pairs.count()) or real(pairs, *rest))
+    rows = list(enumerate(group_of_copies(600, 60, 3, base, [t for _, t in ODD])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter(tuple(r) for r in ngram_join.near_copies(docs).select("doc_id", "n_shingles", "component_id").collect())
+    assert got == Counter(brute.near_copies(rows))
+    assert sum(made) <= 10 * len(rows)
+
+
+@pytest.mark.parametrize("most", [4096, 16])
+def test_pairs_in_tasks_are_all_that_can_link(spark, monkeypatch, most):
+    """Against every two rows of a token, with groups in blocks and in more than one batch."""
+    monkeypatch.setattr(pairing, "PAIRS", 100)
+    rnd = random.Random(most)
+    bases = [rnd.sample(range(10**6), n) for n in (5, 30, 60, 300)]
+    sets = {c: np.unique(np.array([x if rnd.random() > 0.1 else rnd.randrange(10**6) for x in bases[c % 4]], np.uint64)) for c in range(150)}
+    rows = [
+        (t, c, c // 3, len(s), rnd.randrange(3), ngram_join.folded(ngram_join.signature(s), 32)) for c, s in sets.items() for t in {1, 2 + c % 2, 100 + c}
+    ]
+    want = set()
+    for x in rows:
+        for y in rows:
+            if x[0] == y[0] and x[1] < y[1] and x[2] != y[2]:
+                n, rest = x[3] + y[3], min(x[3] - x[4], y[3] - y[4])
+                near = 180 * ngram_join.least_difference(x[5], y[5]) <= 20 * n
+                if near and 180 * rest >= 80 * n and 10 * x[3] >= 8 * y[3] and 10 * y[3] >= 8 * x[3]:
+                    want.add((x[1], y[1]))
+    frame = spark.createDataFrame(rows, "token long, class long, label long, n int, i int, small binary")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 40)
+    try:
+        assert {tuple(r) for r in pairing.pairs_in_tasks(frame, 80, None, most).collect()} == want
+        best = {tuple(r) for r in pairing.pairs_in_tasks(frame, 80, 1, most).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert 100 < len(want) and best <= want and len(best) <= len(rows) * (1 if most > 150 else 10)
+    assert {c for p in best for c in p} == {c for p in want for c in p}

@@ -9,12 +9,13 @@ used, each with the tokens that many texts hold at the end:
    frequent ones (a table of bounded size; it decides how well the filters work, never the result).
 2. Texts with equal sets are one class. Classes meet in a shuffle on their prefix tokens under the
    first order, which leaves classes that share one.
-3. Per token and size range, each class is compared with one hub, a few times with another hub. A pair whose parity signatures (a
-   lower bound of the difference) are near enough gets its whole sets, and must share a prefix token
+3. Per token and size range, each class is compared with one hub, the class with the fewest rare tokens. A pair whose parity
+   signatures (a lower bound of the difference) are near enough gets its whole sets, and must share a prefix token
    under the second and third order too before these are compared. Verified links give components.
-4. Every remaining pair of classes that share a prefix token, pass the position filter and are not
-   in one component yet goes through the same filters and verification. So no link between different
-   components is missed, and a large group of near copies costs as many pairs as it has members.
+4. Pairs of classes of different components are looked for inside tasks (``pairing``): size, position and signature are tested there, and
+   only what passes is sent on to verification. In the first rounds a row sends its best partners alone, so that a group of
+   near copies grows together by as many pairs as it has members; the last round sends all that pass and are not in one
+   component yet. So no link between different components is missed.
 
 Result: one row for each input row. A NULL text or one without words has an empty set and links with
 nothing; fewer words than ``width`` are one token. Rows are linked by text, whatever their doc_id, and
@@ -32,6 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.llm.components import components
+from tidewell.llm.pairing import pairs_in_tasks
 from tidewell.llm.stored import stored, stored_table
 from tidewell.llm.words import STEPS, groups, mix, name_texts, slices, window_names
 
@@ -40,8 +42,10 @@ WIDTH, PERCENT = 5, 80
 FREQUENT = 1 << 18
 #: A token counts as recurring in a batch from this many texts on, and this share of its texts.
 RECURS, RECURS_SHARE = 4, 0.001
-#: Rounds of comparisons with one hub for each token and size range.
-HUBS = 4
+#: Best partners that a class sends for each token, and rounds of it at most before all are sent.
+BEST, ROUNDS = 1, 4
+#: Bytes of the folded signatures that travel with the rows of a token.
+SMALL_SIGNATURE = 256
 #: Needed ids up to this number are broadcast (16 MB); beyond, Spark joins by shuffle.
 SMALL = 1_000_000
 
@@ -104,13 +108,18 @@ def signature(tokens: np.ndarray) -> bytes:
     return np.packbits(found.astype(np.uint8)).tobytes()
 
 
+def folded(raw: bytes, size: int) -> bytes:
+    """A signature of at most ``size`` bytes."""
+    x = np.frombuffer(raw, np.uint8)
+    while len(x) > size:  # the top bit of the hash goes: halves fold
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x.tobytes()
+
+
 def least_difference(a: bytes, b: bytes) -> int:
     """A lower bound of the number of tokens in which two sets differ, by their signatures."""
-    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
-    if len(x) > len(y):
-        x, y = y, x
-    while len(y) > len(x):  # the top bit of the hash goes: halves fold
-        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    size = min(len(a), len(b))
+    x, y = (np.frombuffer(folded(raw, size), np.uint8) for raw in (a, b))
     return int(np.bitwise_count(x ^ y).sum())
 
 
@@ -129,46 +138,49 @@ def named(docs: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sets = list(token_sets(encoded(batch), width))
-            classes = [class_name(s) for s in sets]
+            classes, whole = [class_name(s) for s in sets], [signature(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("text_name"), pa.array(classes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s) for s in sets], pa.binary()), pa.nulls(len(sets), pa.int64())],
-                names=["doc_id", "text_name", "class", "n", "signature", "texts"],
+                [batch.column("doc_id"), batch.column("text_name"), pa.array(classes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(whole, pa.binary()), pa.array([folded(x, SMALL_SIGNATURE) for x in whole], pa.binary()), pa.nulls(len(sets), pa.int64())],
+                names=["doc_id", "text_name", "class", "n", "signature", "small", "texts"],
             )
             once = list(dict(zip(classes, sets, strict=True)).values())
             token, texts = np.unique(np.concatenate(once), return_counts=True) if once else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             often = texts >= max(RECURS, RECURS_SHARE * len(once))
             none, empty = (pa.nulls(int(often.sum()), kind) for kind in (pa.int64(), pa.binary()))
             yield pa.RecordBatch.from_arrays(
-                [none, none, pa.array(token[often].view(np.int64)), none, empty, pa.array(texts[often].astype(np.int64))],
-                names=["doc_id", "text_name", "class", "n", "signature", "texts"],
+                [none, none, pa.array(token[often].view(np.int64)), none, empty, empty, pa.array(texts[often].astype(np.int64))],
+                names=["doc_id", "text_name", "class", "n", "signature", "small", "texts"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, text_name long, class long, n long, signature binary, texts long")
+    return docs.mapInArrow(run, "doc_id long, text_name long, class long, n long, signature binary, small binary, texts long")
 
 
 def prefixes(docs: DataFrame, orders: Orders, width: int, percent: int) -> DataFrame:
-    """(token, class, n, i): the prefix of every class under the first order; a class once in each batch."""
+    """(token, class, n, i, rare): the prefix of every class under the first order, and how many of all its tokens are rare; a
+    class once in each batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             found = {}
             for tokens in token_sets(encoded(batch), width):
                 if len(tokens) and (name := class_name(tokens)) not in found:
-                    found[name] = (orders.prefix(tokens, prefix_size(len(tokens), percent), 0), len(tokens))
+                    rare = int((orders.recurs(tokens) == 0).sum())
+                    found[name] = (orders.prefix(tokens, prefix_size(len(tokens), percent), 0), len(tokens), rare)
             if not found:
                 continue
-            size = np.array([len(p) for p, _ in found.values()])
+            size = np.array([len(p) for p, _, _ in found.values()])
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.concatenate([p for p, _ in found.values()]).view(np.int64)),
+                    pa.array(np.concatenate([p for p, _, _ in found.values()]).view(np.int64)),
                     pa.array(np.repeat(np.array(list(found), np.int64), size)),
-                    pa.array(np.repeat(np.array([n for _, n in found.values()], np.int32), size)),
+                    pa.array(np.repeat(np.array([n for _, n, _ in found.values()], np.int32), size)),
                     pa.array(np.concatenate([np.arange(k, dtype=np.int32) for k in size.tolist()])),
+                    pa.array(np.repeat(np.array([r for _, _, r in found.values()], np.int32), size)),
                 ],
-                names=["token", "class", "n", "i"],
+                names=["token", "class", "n", "i", "rare"],
             )
 
-    return docs.mapInArrow(run, "token long, class long, n int, i int")
+    return docs.mapInArrow(run, "token long, class long, n int, i int, rare int")
 
 
 def meeting(found: DataFrame) -> DataFrame:
@@ -198,23 +210,16 @@ def labelled(met: DataFrame, labels: DataFrame | None) -> DataFrame:
     return rows.join(mixed_tokens(rows, "label"), "token", "left_semi").select(*met.columns, "label")
 
 
-def hub_pairs(rows: DataFrame, percent: int, step: int) -> DataFrame:
-    """Each class with the hub of its size range under each token; another hub in each step."""
+def hub_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Each class with the hub of its size range under each token: the class with the fewest rare tokens, the one most like the others."""
     ranged = rows.withColumn("range", F.floor(F.log(F.col("n")) / F.log(F.lit(100 / percent))))
     one = F.struct("class", "n", "i", "label")
-    hubs = ranged.groupBy("token", "range").agg(F.min_by(one, F.struct(F.xxhash64("class", F.lit(step)), "class")).alias("hub"))
+    hubs = ranged.groupBy("token", "range").agg(F.min_by(one, F.struct("rare", F.xxhash64("class"), "class")).alias("hub"))
     both = ranged.join(hubs, ["token", "range"]).select(one.alias("x"), "hub")
     met = both.filter((F.col("x.label") != F.col("hub.label")) & can_link("x", "hub", percent))
     return met.select(F.least("x.class", "hub.class").alias("a"), F.greatest("x.class", "hub.class").alias("b")).distinct()
 
 
-def open_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Classes of different components that share a prefix token and can still link."""
-    x, y = rows.alias("x"), rows.alias("y")
-    found = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.label") < F.col("y.label")) & can_link("x", "y", percent))
-    return found.select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")).distinct()
-
-
 def with_both(pairs: DataFrame, classes: DataFrame, *columns: str) -> DataFrame:
     """``pairs`` with these columns of both classes."""
     for side in ("a", "b"):
@@ -272,6 +277,11 @@ def linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, orders: Orders
     return passing(with_both(left, whole_sets(docs, left, classes, width), "tokens"), links)
 
 
+def with_links(labels: DataFrame, found: DataFrame) -> DataFrame:
+    """The components after more links."""
+    return stored(components(found.union(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))))
+
+
 def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """The class of every row of ``docs`` (doc_id, text), and the component of every class.
 
@@ -282,23 +292,25 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple[D
     rows = first.filter(F.col("n").isNotNull()).select("doc_id", "text_name", "class", "n")
     often = first.filter(F.col("n").isNull()).groupBy("class").agg(F.sum("texts").alias("texts")).orderBy(F.desc("texts"), "class").limit(FREQUENT).toPandas()
     orders = Orders(often["class"].to_numpy().astype(np.int64).view(np.uint64), often["texts"].to_numpy().astype(np.int64))
-    classes = first.filter("n > 0").groupBy("class").agg(*(F.first(c).alias(c) for c in ("text_name", "n", "signature")))
+    classes = first.filter("n > 0").groupBy("class").agg(*(F.first(c).alias(c) for c in ("text_name", "n", "signature", "small")))
     met = stored_table(meeting(prefixes(texts, orders, width, percent)))
 
-    labels = tried = None
-    step = 0
-    while step <= HUBS:
-        rows_left = labelled(met, labels)
-        pairs = hub_pairs(rows_left, percent, step) if step < HUBS else open_pairs(rows_left, percent)
-        pairs = stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+    pairs = stored(hub_pairs(labelled(met, None), percent))
+    links = stored(linked(pairs, texts, classes, orders, width, percent))
+    labels, tried = stored(components(links)), pairs
+    small = classes.select("class", "small")
+    each, step = BEST, 0
+    while True:
+        rows_left = labelled(met, labels).join(small, "class").select("token", "class", "label", "n", "i", "small")
+        pairs = stored(pairs_in_tasks(rows_left, percent, each).join(tried, ["a", "b"], "left_anti"))
         found = stored(linked(pairs, texts, classes, orders, width, percent))
-        tried = pairs if tried is None else tried.union(pairs)
-        if labels is None or not found.isEmpty():
-            links = found if labels is None else found.union(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
-            labels = stored(components(links))
-            step += 1
-        else:  # hubs no longer join anything: on to the open pairs, or done
-            step = HUBS if step < HUBS else HUBS + 1
+        some = not found.isEmpty()
+        if some:
+            labels = with_links(labels, found)
+        if each is None:
+            break
+        tried, step = tried.union(pairs), step + 1
+        each = BEST if some and step < ROUNDS else None
     return rows, labels.select(F.col("node").alias("class"), "component")
 
 
