@@ -142,16 +142,16 @@ def test_licenses_in_odd_texts(spark):
 
 def test_a_hot_token_is_no_window(spark):
     rows = [(t, c, 10, t, c) for t in (1, 2, 3) for c in range(40) if t < 3 or c == 5]
-    found = spark.createDataFrame(rows + rows[:7], "token long, class long, n int, i int, rare int")
-    met = ngram_join.meeting(found)
+    found = spark.createDataFrame([(*r, r[0] == 2) for r in rows + rows[:7] + rows[50:60]], f"{ngram_join.MET}, often boolean")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)  # tokens go on from batch to batch
+    try:
+        met = spark.createDataFrame(ngram_join.meeting(found).collect(), ngram_join.MET)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert Counter(tuple(r) for r in met.collect()) == Counter(r for r in rows if r[0] < 3)
-    labels = spark.createDataFrame([(c, c // 20) for c in range(40)], "node long, component long")
-    left = ngram_join.labelled(met, labels)
-    assert left.count() == 80 and ngram_join.labelled(met.filter("class < 20"), labels).count() == 0
-    pairs = ngram_join.hub_pairs(ngram_join.labelled(met, None), 80)
+    pairs = ngram_join.hub_pairs(met, 80)
     assert {(r.a, r.b) for r in pairs.collect()} == {(0, c) for c in range(1, 40)}
-    for frame in (met, left, pairs):
-        assert "Window" not in frame._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in pairs._jdf.queryExecution().optimizedPlan().toString()
 
 
 def group_of_copies(n, words, seed, base=True, others=()):
@@ -198,10 +198,11 @@ def test_pairs_in_tasks_are_all_that_can_link(spark, monkeypatch, most):
                 if near and 180 * rest >= 80 * n and 10 * x[3] >= 8 * y[3] and 10 * y[3] >= 8 * x[3]:
                     want.add((x[1], y[1]))
     frame = spark.createDataFrame(rows, "token long, class long, label long, n int, i int, small binary")
+    hot = pairing.hot_tokens(frame, most)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 40)
     try:
-        assert {tuple(r) for r in pairing.pairs_in_tasks(frame, 80, None, most).collect()} == want
-        best = {tuple(r) for r in pairing.pairs_in_tasks(frame, 80, 1, most).collect()}
+        assert {tuple(r) for r in pairing.as_pairs(pairing.pairs_in_tasks(frame, hot, 80, None)).collect()} == want
+        best = {tuple(r) for r in pairing.as_pairs(pairing.pairs_in_tasks(frame, hot, 80, 1)).collect()}
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert 100 < len(want) and best <= want and len(best) <= len(rows) * (1 if most > 150 else 10)

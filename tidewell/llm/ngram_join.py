@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.llm.components import components
-from tidewell.llm.pairing import pairs_in_tasks
+from tidewell.llm.pairing import as_pairs, hot_tokens, pairs_in_tasks
 from tidewell.llm.stored import stored, stored_table
 from tidewell.llm.words import STEPS, groups, mix, name_texts, slices, window_names
 
@@ -45,10 +45,13 @@ RECURS, RECURS_SHARE = 4, 0.001
 #: Best partners that a class sends for each token, and rounds of it at most before all are sent.
 BEST, ROUNDS = 1, 4
 #: Bytes of the folded signatures that travel with the rows of a token.
-SMALL_SIGNATURE = 256
+SMALL_SIGNATURE = 64
 #: Needed ids up to this number are broadcast (16 MB); beyond, Spark joins by shuffle.
 SMALL = 1_000_000
 
+#: Columns of the rows that meet.
+MET = "token long, class long, n int, i int, rare int"
+
 _LENGTH = np.uint64(0x2545F4914F6CDD1D)
 _CLASS = np.uint64(0x9E6C63D0876A9A47)
 
@@ -156,8 +159,8 @@ def named(docs: DataFrame, width: int) -> DataFrame:
 
 
 def prefixes(docs: DataFrame, orders: Orders, width: int, percent: int) -> DataFrame:
-    """(token, class, n, i, rare): the prefix of every class under the first order, and how many of all its tokens are rare; a
-    class once in each batch."""
+    """(token, class, n, i, rare, often): the prefix of every class under the first order, how many of all its tokens are rare, and
+    whether this one is frequent; a class once in each batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -176,23 +179,44 @@ def prefixes(docs: DataFrame, orders: Orders, width: int, percent: int) -> DataF
                     pa.array(np.repeat(np.array([n for _, n, _ in found.values()], np.int32), size)),
                     pa.array(np.concatenate([np.arange(k, dtype=np.int32) for k in size.tolist()])),
                     pa.array(np.repeat(np.array([r for _, _, r in found.values()], np.int32), size)),
+                    pa.array(orders.recurs(np.concatenate([p for p, _, _ in found.values()])) > 0),
                 ],
-                names=["token", "class", "n", "i", "rare"],
+                names=["token", "class", "n", "i", "rare", "often"],
             )
 
-    return docs.mapInArrow(run, "token long, class long, n int, i int, rare int")
+    return docs.mapInArrow(run, f"{MET}, often boolean")
 
 
 def meeting(found: DataFrame) -> DataFrame:
-    """The rows of prefixes() whose token several classes have, each class once."""
-    rows = found.distinct()
-    return rows.join(mixed_tokens(rows, "class"), "token", "left_semi")
+    """The rows of prefixes() whose token several classes have, each class once.
 
+    One exchange: rows are dealt out by token, those of frequent tokens by token and class, as they meet anyway. In the order of
+    token and class a task tells repeated rows and lone tokens from the row before, however many rows a token has.
+    """
 
-def mixed_tokens(rows: DataFrame, name: str) -> DataFrame:
-    """The tokens under which ``name`` has several values, combined before the shuffle."""
-    ends = rows.groupBy("token").agg(F.min(name).alias("least"), F.max(name).alias("most"))
-    return ends.filter("least < most").select("token")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.RecordBatch | None = None  # the last row so far, and whether it was given out
+        given = False
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = batch if held is None else pa.concat_batches([held, batch])
+            token, name, often = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("token", "class", "often"))
+            other = np.concatenate([[True], token[1:] != token[:-1]])
+            first = np.concatenate([[True], other[1:] | (name[1:] != name[:-1])])
+            group = np.cumsum(other) - 1
+            mixed = (np.bincount(group[first])[group] > 1) | often
+            if given:
+                mixed |= group == 0
+            out = mixed & first
+            out[0] &= not given
+            last = int(np.flatnonzero(first)[-1])
+            given = bool(out[last]) or (last == 0 and given)
+            held = rows.slice(last, 1)
+            yield rows.filter(pa.array(out)).select(["token", "class", "n", "i", "rare"])
+
+    place = F.when(F.col("often"), F.xxhash64("token", "class")).otherwise(F.col("token"))
+    return found.repartition(place).sortWithinPartitions("token", "class").mapInArrow(run, MET)
 
 
 def can_link(a: str, b: str, percent: int) -> Column:
@@ -202,21 +226,19 @@ def can_link(a: str, b: str, percent: int) -> Column:
     return (100 * n_a >= percent * n_b) & (100 * n_b >= percent * n_a) & ((100 + percent) * rest >= percent * (n_a + n_b))
 
 
-def labelled(met: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """The rows of meeting() whose token joins several components, with the component as label."""
-    if labels is None:
-        return met.withColumn("label", F.col("class"))
-    rows = met.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("component", "class"))
-    return rows.join(mixed_tokens(rows, "label"), "token", "left_semi").select(*met.columns, "label")
+def labelled(met: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of meeting() with the component of the class as label."""
+    rows = met.join(labels.withColumnRenamed("node", "class"), "class", "left")
+    return rows.withColumn("label", F.coalesce("component", "class")).drop("component")
 
 
 def hub_pairs(rows: DataFrame, percent: int) -> DataFrame:
     """Each class with the hub of its size range under each token: the class with the fewest rare tokens, the one most like the others."""
     ranged = rows.withColumn("range", F.floor(F.log(F.col("n")) / F.log(F.lit(100 / percent))))
-    one = F.struct("class", "n", "i", "label")
+    one = F.struct("class", "n", "i")
     hubs = ranged.groupBy("token", "range").agg(F.min_by(one, F.struct("rare", F.xxhash64("class"), "class")).alias("hub"))
     both = ranged.join(hubs, ["token", "range"]).select(one.alias("x"), "hub")
-    met = both.filter((F.col("x.label") != F.col("hub.label")) & can_link("x", "hub", percent))
+    met = both.filter((F.col("x.class") != F.col("hub.class")) & can_link("x", "hub", percent))
     return met.select(F.least("x.class", "hub.class").alias("a"), F.greatest("x.class", "hub.class").alias("b")).distinct()
 
 
@@ -295,20 +317,27 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple[D
     classes = first.filter("n > 0").groupBy("class").agg(*(F.first(c).alias(c) for c in ("text_name", "n", "signature", "small")))
     met = stored_table(meeting(prefixes(texts, orders, width, percent)))
 
-    pairs = stored(hub_pairs(labelled(met, None), percent))
+    hot = stored(hot_tokens(met))
+    pairs = stored(hub_pairs(met, percent))
     links = stored(linked(pairs, texts, classes, orders, width, percent))
     labels, tried = stored(components(links)), pairs
     small = classes.select("class", "small")
-    each, step = BEST, 0
+    each, step, rest = BEST, 0, met
     while True:
-        rows_left = labelled(met, labels).join(small, "class").select("token", "class", "label", "n", "i", "small")
-        pairs = stored(pairs_in_tasks(rows_left, percent, each).join(tried, ["a", "b"], "left_anti"))
-        found = stored(linked(pairs, texts, classes, orders, width, percent))
-        some = not found.isEmpty()
+        rows_left = labelled(rest, labels).join(small, "class").select("token", "class", "label", "n", "i", "small")
+        sent = stored(pairs_in_tasks(rows_left, hot, percent, each))
+        pairs = stored(as_pairs(sent).join(tried, ["a", "b"], "left_anti"))
+        some = not pairs.isEmpty()
+        if some:
+            found = stored(linked(pairs, texts, classes, orders, width, percent))
+            some = not found.isEmpty()
         if some:
             labels = with_links(labels, found)
         if each is None:
             break
+        # a row that sent nothing has no partner any more, as components only grow
+        alive = sent.select("token", F.explode(F.array("x", "y")).alias("class")).distinct()
+        rest = stored_table(rest.join(alive, ["token", "class"], "left_semi"))
         tried, step = tried.union(pairs), step + 1
         each = BEST if some and step < ROUNDS else None
     return rows, labels.select(F.col("node").alias("class"), "component")

@@ -14,19 +14,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Rows of a token that meet in one group; more are cut into blocks.
-MOST = 4096
+MOST = 1 << 15
 #: Pairs looked at together, and words of their signatures.
 PAIRS, WORDS = 1 << 18, 1 << 21
 
 
-def dealt(rows: DataFrame, most: int) -> DataFrame:
+def hot_tokens(rows: DataFrame, most: int = MOST) -> DataFrame:
+    """(token, blocks) of the tokens that more than ``most`` rows hold; other rounds with fewer rows may use it too."""
+    return rows.groupBy("token").count().filter(F.col("count") > most).select("token", F.ceil(F.col("count") / most).cast("int").alias("blocks"))
+
+
+def dealt(rows: DataFrame, hot: DataFrame) -> DataFrame:
     """``rows`` with lo, hi and side, once for each group that a row is in: (token, lo, hi)."""
-    hot = rows.groupBy("token").count().filter(F.col("count") > most).select("token", F.ceil(F.col("count") / most).cast("int").alias("blocks"))
     own = rows.join(hot, "token", "left").withColumn("side", F.coalesce(F.pmod(F.xxhash64("class"), F.col("blocks")), F.lit(0)).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)).alias("other")
     met = own.select("*", other)
     grouped = met.select(*rows.columns, "side", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"))
-    return grouped.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi")
+    return grouped.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi", "n")
 
 
 class Signatures:
@@ -63,15 +67,18 @@ class Signatures:
         return out
 
 
-def found_in(table: pa.Table, percent: int, each: int | None) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs of classes that pass, of whole groups sorted by token, lo and hi; with ``each`` at most the best so many of a row."""
+def found_in(table: pa.Table, percent: int, each: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens and classes of the pairs that pass, of whole groups sorted by token, lo, hi and n; with ``each`` at most the best so many of a row."""
     none = np.zeros(0, np.int64)
     if not table.num_rows:
-        return none, none
+        return none, none, none
     token, lo, hi, side, name, label, n, at = (table.column(c).to_numpy().astype(np.int64) for c in ("token", "lo", "hi", "side", "class", "label", "n", "i"))
     signatures = Signatures(table.column("small").to_pylist())
     new = np.concatenate([[True], (token[1:] != token[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])])
-    stop = np.concatenate([np.flatnonzero(new)[1:], [len(token)]])[np.cumsum(new) - 1]
+    group = np.cumsum(new) - 1
+    # partners come after a row, in its group, and are not too large for it
+    reach = int(n.max()) * 100 // percent + 1
+    stop = np.searchsorted(group * (reach + 1) + n, group * (reach + 1) + n * 100 // percent, "right")
     many = stop - np.arange(len(token)) - 1
     total = np.cumsum(many)
     left, right, apart = [none], [none], [np.zeros(0)]
@@ -100,23 +107,21 @@ def found_in(table: pa.Table, percent: int, each: int | None) -> tuple[np.ndarra
         rank = np.arange(len(order)) - np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
         kept = order[rank < each]
         i, j = rows[kept], others[kept]
-    return np.minimum(name[i], name[j]), np.maximum(name[i], name[j])
+    return token[i], name[i], name[j]
 
 
-def pairs_in_tasks(rows: DataFrame, percent: int, each: int | None, most: int = MOST) -> DataFrame:
-    """(a, b): classes of different labels that share a token and pass the filters.
+def pairs_in_tasks(rows: DataFrame, hot: DataFrame, percent: int, each: int | None) -> DataFrame:
+    """(token, x, y): classes of different labels that share a token and pass the filters.
 
-    ``rows`` has token, class, label, n, i and small (the folded signature). With ``each`` a row gives its best so many partners under
-    a token at most, which keeps what is sent in proportion to the rows; without, every pair that passes.
+    ``rows`` has token, class, label, n, i and small (the folded signature); ``hot`` is of hot_tokens(). With ``each`` a row (x) gives its best so many partners
+    under a token at most, which keeps what is sent in proportion to the rows; without, every pair that passes comes once or twice.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: pa.Table | None = None
 
         def result(table: pa.Table) -> pa.RecordBatch:
-            a, b = found_in(table, percent, each)
-            both = np.unique(np.stack([a, b]), axis=1) if len(a) else np.stack([a, b])
-            return pa.RecordBatch.from_arrays([pa.array(both[0], pa.int64()), pa.array(both[1], pa.int64())], names=["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found_in(table, percent, each)], names=["token", "x", "y"])
 
         for batch in batches:
             table = pa.Table.from_batches([batch])
@@ -130,4 +135,9 @@ def pairs_in_tasks(rows: DataFrame, percent: int, each: int | None, most: int =
         if kept is not None:
             yield result(kept)
 
-    return dealt(rows, most).mapInArrow(run, "a long, b long").distinct()
+    return dealt(rows, hot).mapInArrow(run, "token long, x long, y long")
+
+
+def as_pairs(found: DataFrame) -> DataFrame:
+    """The distinct pairs (a, b) of pairs_in_tasks()."""
+    return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
