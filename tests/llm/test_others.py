@@ -119,7 +119,7 @@ def test_small_tables_are_searched_whole(spark):
     rnd = np.random.default_rng(2)
     rows = [(i, (rnd.normal(size=6) * rnd.choice([0.1, 1, 5])).tolist()) for i in range(120)]
     rows += [(200 + i, rows[7][1]) for i in range(30)]
-    odd = [(300, None), (301, []), (302, [0.0] * 6), (303, [1.0, None, 0, 0, 0, 0]), (304, [float("nan")] * 6), (305, [float("inf")] * 6), (None, [1.0] * 6)]
+    odd = [(300, None), (301, []), (302, [0.0] * 6), (303, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (304, [float("nan")] * 6), (305, [float("inf")] * 6), (None, [1.0] * 6)]
     vectors = spark.createDataFrame(rows + odd + rows[:2], "vec_id long, embedding array<double>").selectExpr("*", "1 AS dim", "2 AS bucket")
     want = full_search(rows, 20)
     got = defaultdict(list)

@@ -23,7 +23,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain, compress, pairwise
 
 import numpy as np
@@ -33,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.llm.byte_bpe import Codec, codec
-from tidewell.llm.kept import Kept
+from tidewell.llm.kept import Kept, in_worker
 from tidewell.llm.stored import stored_table
 from tidewell.llm.words import slices
 
@@ -196,7 +195,7 @@ class Codes:
         ]
 
 
-@lru_cache(maxsize=2)
+@in_worker
 def codes(path_a: str, path_b: str) -> Codes:
     return Codes(path_a, path_b)
 

@@ -16,7 +16,6 @@ import heapq
 import json
 import re
 from array import array
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +23,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.llm.kept import in_worker
+
 KEPT = 500_000
 #: Fixed value: how the byte-level pre-tokenizer cuts texts.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
@@ -117,7 +118,7 @@ class Codec:
         return b"".join(strings[i] for i in ids if 0 <= i < len(strings)).decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=4)
+@in_worker
 def codec(path: str) -> Codec:
     return Codec(path)
 

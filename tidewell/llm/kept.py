@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Collection, Hashable
+import ctypes
+from collections.abc import Callable, Collection, Hashable
+from functools import lru_cache
+
+import pyarrow as pa
 
 
 class Kept(dict):
@@ -25,3 +29,30 @@ class Kept(dict):
             else:
                 out.append(k)
         return out
+
+
+_MADE: list = []
+
+
+def in_worker(make: Callable) -> Callable:
+    """``make`` with its results kept in the worker, for the tasks to come, until the worker turns to another operator."""
+    cached = lru_cache(maxsize=2)(make)
+    _MADE.append(cached)
+    return cached
+
+
+def trim() -> None:
+    """Gives memory that is no longer used back to the system; a worker outlives its tasks, and others share the executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def give_up() -> None:
+    """What other operators keep in this worker goes."""
+    if any(cached.cache_info().currsize for cached in _MADE):
+        for cached in _MADE:
+            cached.cache_clear()
+        trim()

@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.llm.components import components
+from tidewell.llm.kept import give_up
 from tidewell.llm.pairing import as_pairs, hot_tokens, pairs_in_tasks
 from tidewell.llm.stored import stored, stored_table
 from tidewell.llm.words import STEPS, groups, mix, name_texts, slices, window_names
@@ -139,6 +140,7 @@ def named(docs: DataFrame, width: int) -> DataFrame:
     """(doc_id, text_name, class, n, signature) of each row; in rows without n the recurring tokens (class) and counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_up()
         for batch in slices(batches):
             sets = list(token_sets(encoded(batch), width))
             classes, whole = [class_name(s) for s in sets], [signature(s) for s in sets]
@@ -253,7 +255,7 @@ def passing(pairs: DataFrame, test) -> DataFrame:
     """The pairs (a, b) for which ``test`` holds, given a function that reads a column of a pair."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 512):
             columns = {f.name: batch.column(f.name) for f in batch.schema}
             yes = pa.array([i for i in range(batch.num_rows) if test(lambda name, i=i: columns[name][i])], pa.int64())
             yield pa.RecordBatch.from_arrays([columns["a"].take(yes), columns["b"].take(yes)], names=["a", "b"])
@@ -269,7 +271,7 @@ def whole_sets(docs: DataFrame, pairs: DataFrame, classes: DataFrame, width: int
         ids = F.broadcast(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             seen = {class_name(tokens): tokens for tokens in token_sets(encoded(batch), width)}
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array([t.tobytes() for t in seen.values()], pa.binary())], names=["class", "tokens"])
 

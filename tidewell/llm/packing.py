@@ -21,7 +21,6 @@ import os
 import re
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.llm.byte_bpe import byte_letters
-from tidewell.llm.kept import Kept
+from tidewell.llm.kept import Kept, in_worker
 from tidewell.llm.words import groups, slices
 
 CAPACITY = 2048
@@ -95,7 +94,7 @@ class Tokens:
         return b"".join(map(self.words.__getitem__, words))
 
 
-@lru_cache(maxsize=4)
+@in_worker
 def tokens(path: str) -> Tokens:
     return Tokens(path)
 

@@ -13,10 +13,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.llm.kept import trim
+
 #: Rows of a token that meet in one group; more are cut into blocks.
 MOST = 1 << 15
 #: Pairs looked at together, and words of their signatures.
-PAIRS, WORDS = 1 << 18, 1 << 21
+PAIRS, WORDS = 1 << 17, 1 << 18
 
 
 def hot_tokens(rows: DataFrame, most: int = MOST) -> DataFrame:
@@ -132,6 +134,7 @@ def pairs_in_tasks(rows: DataFrame, hot: DataFrame, percent: int, each: int | No
             if cut:
                 yield result(table.slice(0, cut))
             kept = table.slice(cut).combine_chunks()
+            trim()
         if kept is not None:
             yield result(kept)
 

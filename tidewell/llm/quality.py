@@ -17,12 +17,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewell.llm.kept import give_up, trim
 from tidewell.llm.words import STEPS, groups, mix, spans, window_names
 
 #: Largest share of a text's word characters inside repeated n-grams, by n.
 GRAM_SHARES = {5: 0.25, 7: 0.22, 10: 0.20}
 #: Largest shares of characters in repeated lines, of repeated lines, and of symbols to words.
 LINE_CHARS, LINE_SHARE, SYMBOL_SHARE = 0.25, 0.40, 0.10
+#: Texts taken out of a batch at once.
+ROWS = 512
 MIN_WORDS, REPEAT_PERCENT, BASE_GRAM = 10, 20, 5
 #: Fixed value: the symbols that count as noise.
 SYMBOLS = "#*$%&|<>"
@@ -91,8 +94,12 @@ def measure(texts: list[bytes]) -> list[np.ndarray]:
 @F.arrow_udf(T.StructType([T.StructField(name, T.LongType()) for name in MEASURES]))
 def measured(texts: pa.Array) -> pa.Array:
     """The measures of each text as a struct."""
-    given = [t.as_buffer().to_pybytes() for t in texts]
-    parts = [measure(given[a:b]) for a, b in groups(given)]
+    give_up()
+    parts = []
+    for at in range(0, len(texts), ROWS):  # a part of the batch at a time, so that its copies are small
+        given = [t.as_buffer().to_pybytes() for t in texts.slice(at, ROWS)]
+        parts += [measure(given[a:b]) for a, b in groups(given)]
+    trim()
     columns = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * len(MEASURES)
     return pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in columns], names=MEASURES)
 

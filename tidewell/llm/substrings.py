@@ -24,6 +24,7 @@ and stays empty; a text of fewer than ``width`` words is kept. Other columns are
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -33,7 +34,8 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.llm.words import STEPS, groups, mix, name_texts, places, powers, spans, window_names
+from tidewell.llm.kept import give_up
+from tidewell.llm.words import STEPS, groups, mix, name_texts, places, powers, slices, spans, window_names
 
 WIDTH = 20
 #: Rounds of pairing, and the most words a symbol may have.
@@ -42,6 +44,8 @@ NONE = np.uint64((1 << 64) - 1)
 #: `at` is a place in a text, with the number of the text among those of its id above COPY.
 FOUND = "name long, more int, id long, at long, run int"
 COPY = 1 << 32
+#: Texts of a batch taken together: equal names among them are sent once.
+TOGETHER = 6144
 #: Stands for a NULL doc_id in keys and order, and so is read as NULL.
 NO_ID = -(1 << 63)
 
@@ -199,7 +203,8 @@ def symbols(docs: DataFrame, width: int) -> DataFrame:
     """The symbols of all texts. run 0: to be compared by name; 1: known to be shared; 2: known, others need not see it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        give_up()
+        for batch in slices(batches, TOGETHER):
             texts = encoded(batch)
             names, rows, at = [], [], []
             for a, b in groups(texts):
@@ -232,7 +237,7 @@ def windows(texts: DataFrame, width: int) -> DataFrame:
     """Windows whose symbol is shared. run 0: to be compared by name; else so many windows known to be repeats."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, TOGETHER):
             batch = batch.take(pa.compute.sort_indices(batch, sort_keys=[("id", "ascending"), ("copy", "ascending")]))
             texts = encoded(batch)
             owners, numbers, _ = of_copy(batch.column("shared"), batch.column("copy").to_numpy())
@@ -276,14 +281,28 @@ def repeats(found: DataFrame) -> DataFrame:
     return later.groupBy("id").agg(F.collect_list(F.struct("at", run)).alias("repeats"))
 
 
-def without_repeats(texts: DataFrame, width: int) -> DataFrame:
-    """Words and removed words of each text, and the words that stay, joined by one space."""
+_WORD = re.compile(rb"[^\x20\x09-\x0d]+")
+
+
+def cut(text: bytes, gone: np.ndarray) -> bytes:
+    """``text`` without the words marked in ``gone``, each with the white space behind it; the rest stays byte for byte."""
+    starts = np.array([m.start() for m in _WORD.finditer(text)] + [len(text)])
+    edge = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0, append=0))
+    at, out = 0, []
+    for first, after in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+        out.append(text[at : starts[first]])
+        at = starts[after]
+    return b"".join([*out, text[at:]])
+
+
+def without_repeats(texts: DataFrame, width: int, joined: bool = True) -> DataFrame:
+    """Words and removed words of each text, and what stays of it: its words joined by one space, or the text with the others cut out."""
     lists = (F.coalesce(F.col(f"repeats.{c}"), F.array().cast(kind)).alias(c) for c, kind in (("at", "array<long>"), ("run", "array<int>")))
     doc_id = F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id")
     given = texts.select(doc_id, F.xxhash64("text").alias("text_name"), "copy", "text", *lists)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1024):
             total, removed, kept = [], [], []
             rows, place, mine = of_copy(batch.column("at"), batch.column("copy").to_numpy())
             stop = place + batch.column("run").flatten().to_numpy()[mine] - 1 + width
@@ -295,9 +314,11 @@ def without_repeats(texts: DataFrame, width: int) -> DataFrame:
                     edge = np.zeros(len(words) + 1, np.int64)
                     np.add.at(edge, place[of_text], 1)
                     np.add.at(edge, stop[of_text], -1)
-                    words = [words[k] for k in np.flatnonzero(np.cumsum(edge[:-1]) == 0).tolist()]
+                    gone = np.cumsum(edge[:-1]) > 0
+                    words = [words[k] for k in np.flatnonzero(~gone).tolist()]
+                    text = text if joined else cut(text, gone)
                 removed.append(total[-1] - len(words))
-                kept.append(b" ".join(words).decode())
+                kept.append((b" ".join(words) if joined else text).decode())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("text_name"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())],
                 names=["doc_id", "text_name", "n_words", "n_removed", "kept"],
@@ -306,25 +327,32 @@ def without_repeats(texts: DataFrame, width: int) -> DataFrame:
     return given.mapInArrow(run, "doc_id long, text_name long, n_words long, n_removed long, kept string")
 
 
-def dedup(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+def dedup(docs: DataFrame, width: int = WIDTH, joined: bool = True) -> DataFrame:
     """doc_id, text_name, n_words, n_removed and kept text of every row of ``docs`` (doc_id, text).
 
+    ``kept`` is the words that stay, joined by one space, or, without ``joined``, the text with the removed words cut out.
+
     All joins are on the id by which the texts were shuffled, so the texts move once.
     """
     texts = identified(docs)
     once = texts.filter(~F.col("again"))
     shared = shared_symbols(symbols(once, width))
     found = repeats(windows(once.join(shared, "id"), width))
-    return without_repeats(texts.join(found, "id", "left"), width)
+    return without_repeats(texts.join(found, "id", "left"), width, joined)
 
 
 def cleaned(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """``docs`` with the kept words as text, and n_chars, if there, to match. No row goes."""
-    found = dedup(docs, width).select(F.col("doc_id").alias("id__"), F.col("text_name").alias("name__"), F.col("kept").alias("kept__"))
+    """``docs`` with the repeated words cut out of the texts, and n_chars, if there, to match. No row goes.
+
+    Texts without repeats, and what stays of the others, keep their line breaks and white space; NULL stays NULL.
+    """
+    found = dedup(docs, width, joined=False).select(F.col("doc_id").alias("id__"), F.col("text_name").alias("name__"), F.col("kept").alias("kept__"))
     number = F.row_number()  # rows of one doc_id and text are alike in ``found``
     found = found.withColumn("number__", number.over(Window.partitionBy("id__", "name__").orderBy("id__")))
-    others = docs.select(*(c for c in docs.columns if c != "text"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("own_name__"))
+    own = [F.xxhash64(F.coalesce("text", F.lit(""))).alias("own_name__"), F.col("text").isNull().alias("none__")]
+    others = docs.select(*(c for c in docs.columns if c != "text"), *own)
     others = others.withColumn("own_number__", number.over(Window.partitionBy("doc_id", "own_name__").orderBy("own_name__")))
     on = (others["own_name__"] == found["name__"]) & others["doc_id"].eqNullSafe(found["id__"]) & (others["own_number__"] == found["number__"])
-    columns = {"text": F.col("kept__").alias("text"), "n_chars": F.length("kept__").cast("long").alias("n_chars")}
+    text = F.when(~F.col("none__"), F.col("kept__"))
+    columns = {"text": text.alias("text"), "n_chars": F.length(text).cast("long").alias("n_chars")}
     return others.join(found, on).select(*(columns.get(c, F.col(c)) for c in docs.columns))

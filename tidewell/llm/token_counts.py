@@ -12,12 +12,13 @@ Result: an empty or NULL text has 0 tokens; repeated rows and extra columns stay
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.llm.kept import in_worker
+
 MARK = "▁"
 KEPT = 800_000
 _PIECE = re.compile(" +[^ ]*")
@@ -68,7 +69,7 @@ class Counts:
         return len(ids) if piece else 1  # a space alone at the end
 
 
-@lru_cache(maxsize=4)
+@in_worker
 def counts(path: str) -> Counts:
     return Counts(path)
 

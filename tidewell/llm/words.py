@@ -12,6 +12,8 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 
+from tidewell.llm.kept import trim
+
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 BLOCK = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
@@ -95,11 +97,11 @@ def spans(text: bytes, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def slices(batches: Iterable[pa.RecordBatch], rows: int = 2048) -> Iterator[pa.RecordBatch]:
-    """Batches of at most ``rows`` rows; Arrow's unused memory is given back after each."""
+    """Batches of at most ``rows`` rows; unused memory is given back after each."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
-            pa.default_memory_pool().release_unused()
+            trim()
 
 
 def groups(texts: list[bytes], limit: int = BLOCK // 2):
