@@ -34,8 +34,8 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their sequences and places."""
-    cut = packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json"))
+    """The pieces of all documents with their sequences and places; small tables, as the executors hold what earlier stages left."""
+    cut = packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json"), kept=30_000, together=1 << 19)
     return packing.pack(stored(packing.checksums(cut)))
 
 

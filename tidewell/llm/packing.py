@@ -95,20 +95,24 @@ class Tokens:
 
 
 @in_worker
-def tokens(path: str) -> Tokens:
-    return Tokens(path)
+def tokens(path: str, kept: int = KEPT) -> Tokens:
+    return Tokens(path, kept)
 
 
-def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = 0) -> DataFrame:
-    """The ids of every text of ``docs`` (doc_id, text) and the ``end`` id, cut every ``capacity`` ids."""
+def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = 0, kept: int = KEPT, together: int = 1 << 21) -> DataFrame:
+    """The ids of every text of ``docs`` (doc_id, text) and the ``end`` id, cut every ``capacity`` ids.
+
+    ``kept`` words stay in a worker's table, and texts of about ``together`` bytes are cut at once: less of both takes less memory
+    and more time.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = tokens(path)
+        one = tokens(path, kept)
         encode = one.of
         last = np.array([end], "<u4").tobytes()
         for batch in slices(batches):
             texts = [t.as_buffer().to_pybytes() for t in batch.column(1)]
-            for a, b in groups(texts, 1 << 21):
+            for a, b in groups(texts, together):
                 rows, number, ids = [], [], []
                 for i in range(a, b):
                     found = encode(texts[i]) + last
