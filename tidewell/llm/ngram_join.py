@@ -45,8 +45,8 @@ FREQUENT = 1 << 18
 RECURS, RECURS_SHARE = 4, 0.001
 #: Best partners that a class sends for each token, and rounds of it at most before all are sent.
 BEST, ROUNDS = 1, 4
-#: Bytes of the folded signatures that travel with the rows of a token.
-SMALL_SIGNATURE = 64
+#: Bytes of the folded signatures that travel with the rows of a token: in the first round, and with the fewer rows of later ones.
+SMALL_SIGNATURE, MIDDLE_SIGNATURE = 64, 512
 #: Needed ids up to this number are broadcast (16 MB); beyond, Spark joins by shuffle.
 SMALL = 1_000_000
 
@@ -145,19 +145,19 @@ def named(docs: DataFrame, width: int) -> DataFrame:
             sets = list(token_sets(encoded(batch), width))
             classes, whole = [class_name(s) for s in sets], [signature(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("text_name"), pa.array(classes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(whole, pa.binary()), pa.array([folded(x, SMALL_SIGNATURE) for x in whole], pa.binary()), pa.nulls(len(sets), pa.int64())],
-                names=["doc_id", "text_name", "class", "n", "signature", "small", "texts"],
+                [batch.column("doc_id"), batch.column("text_name"), pa.array(classes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(whole, pa.binary()), *(pa.array([folded(x, size) for x in whole], pa.binary()) for size in (SMALL_SIGNATURE, MIDDLE_SIGNATURE)), pa.nulls(len(sets), pa.int64())],
+                names=["doc_id", "text_name", "class", "n", "signature", "small", "middle", "texts"],
             )
             once = list(dict(zip(classes, sets, strict=True)).values())
             token, texts = np.unique(np.concatenate(once), return_counts=True) if once else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             often = texts >= max(RECURS, RECURS_SHARE * len(once))
             none, empty = (pa.nulls(int(often.sum()), kind) for kind in (pa.int64(), pa.binary()))
             yield pa.RecordBatch.from_arrays(
-                [none, none, pa.array(token[often].view(np.int64)), none, empty, empty, pa.array(texts[often].astype(np.int64))],
-                names=["doc_id", "text_name", "class", "n", "signature", "small", "texts"],
+                [none, none, pa.array(token[often].view(np.int64)), none, empty, empty, empty, pa.array(texts[often].astype(np.int64))],
+                names=["doc_id", "text_name", "class", "n", "signature", "small", "middle", "texts"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, text_name long, class long, n long, signature binary, small binary, texts long")
+    return docs.mapInArrow(run, "doc_id long, text_name long, class long, n long, signature binary, small binary, middle binary, texts long")
 
 
 def prefixes(docs: DataFrame, orders: Orders, width: int, percent: int) -> DataFrame:
@@ -316,17 +316,17 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple[D
     rows = first.filter(F.col("n").isNotNull()).select("doc_id", "text_name", "class", "n")
     often = first.filter(F.col("n").isNull()).groupBy("class").agg(F.sum("texts").alias("texts")).orderBy(F.desc("texts"), "class").limit(FREQUENT).toPandas()
     orders = Orders(often["class"].to_numpy().astype(np.int64).view(np.uint64), often["texts"].to_numpy().astype(np.int64))
-    classes = first.filter("n > 0").groupBy("class").agg(*(F.first(c).alias(c) for c in ("text_name", "n", "signature", "small")))
+    classes = first.filter("n > 0").groupBy("class").agg(*(F.first(c).alias(c) for c in ("text_name", "n", "signature", "small", "middle")))
     met = stored_table(meeting(prefixes(texts, orders, width, percent)))
 
     hot = stored(hot_tokens(met))
     pairs = stored(hub_pairs(met, percent))
     links = stored(linked(pairs, texts, classes, orders, width, percent))
     labels, tried = stored(components(links)), pairs
-    small = classes.select("class", "small")
     each, step, rest = BEST, 0, met
     while True:
-        rows_left = labelled(rest, labels).join(small, "class").select("token", "class", "label", "n", "i", "small")
+        signatures = classes.select("class", F.col("middle" if step else "small").alias("small"))
+        rows_left = labelled(rest, labels).join(signatures, "class").select("token", "class", "label", "n", "i", "small")
         sent = stored(pairs_in_tasks(rows_left, hot, percent, each))
         pairs = stored(as_pairs(sent).join(tried, ["a", "b"], "left_anti"))
         some = not pairs.isEmpty()
