@@ -149,3 +149,23 @@ def test_plan_needs_few_sequences(seed):
         assert offset + length <= 2048
     assert used == {k: v for k, v in counts.items() if v}
     assert n <= 1.002 * sum(k for _, k in packing.best_fit(dict(counts), 2048)) + 1
+
+
+def test_program_places_most_pieces():
+    rnd = random.Random(5)
+    counts = defaultdict(int)
+    for _ in range(12_000):
+        counts[min(2048, max(1, int(rnd.lognormvariate(6, 1))))] += 1
+    out, left = packing.rounded(dict(counts), 2048, 2)
+    placed = defaultdict(int)
+    for pattern, times in out:
+        assert 2046 <= sum(pattern) <= 2048
+        for n in pattern:
+            placed[n] += times
+    assert {n: c for n, c in counts.items() if c} == {n: placed[n] + left.get(n, 0) for n in counts}
+    assert sum(left.values()) < 0.1 * sum(counts.values())
+    assert packing.plan(counts)[1] <= sum(n * c for n, c in counts.items()) // 2048 + 2
+    # lengths of which no pattern fills a sequence are covered too
+    uses = packing.fractional(np.array([700, 1100]), np.array([50, 30]), 2048)
+    assert [sum(p.get(i, 0) * x for p, x in uses) for i in (0, 1)] == pytest.approx([50, 30])
+    assert packing.plan({700: 50, 1100: 30})[1] == 40

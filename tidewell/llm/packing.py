@@ -3,12 +3,14 @@
 Only the histogram of piece lengths is gathered: at most ``capacity`` numbers, whatever the input.
 Over it, a configuration linear program (use patterns of lengths that fit one sequence, as few as
 possible, so that every length is covered) is solved by multiplicative weights: each round a knapsack
-dynamic program prices the pattern of greatest weight under the current weights of the lengths, the
-pattern is used as far as its scarcest length allows, and the weights of its lengths shrink. The
-fractional solution is rounded down, and best fit over the rest of the histogram packs what that
-leaves. The plan says, for each length, which ranks go to which sequences at which offset. Its size
-is bounded by the capacity and the number of rounds. Spark numbers the pieces of each length, in salted
-slices so that a common length is split, and looks every piece up in the plan.
+dynamic program prices the best pattern around every length under the current weights, the lengths that
+are covered least use theirs, and weights shrink as lengths are covered, until all are. The fractional
+solution is rounded down, the program is solved again for what that leaves, and best fit packs the last
+pieces, whose patterns would waste room. Where lengths admit no nearly full packing (many just over half
+a sequence), best fit alone may need fewer sequences and then counts. The plan says, for each length, which ranks go to which sequences
+at which offset. Its size depends on the lengths, not on how many pieces there are. Spark
+numbers the pieces of each length, in salted slices so that a common length is split, and looks every
+piece up in the plan.
 
 Result: one row for each piece, so repeated rows are packed separately; a NULL or empty text is the
 end token alone; other columns are not looked at. No input gives no sequence.
@@ -35,11 +37,12 @@ CAPACITY = 2048
 KEPT = 120_000
 #: A word of letters below U+0300 (no normalisation applies, one lower-case letter each) and the punctuation after it.
 _LETTERS = re.compile("([A-Za-zÀ-ÖØ-öø-įı-ʯ]+)([.,;:!?]*)")
-#: Rounds of multiplicative weights, how fast weights shrink, and how much they count beside the length.
-ROUNDS, RATE, NUDGE = 200, 2.0, 1e-5
-#: Shares of the fractional solution that are rounded down, of which the one with the fewest sequences counts;
-#: what a share leaves gives best fit its choice.
-SHARES = (0.75, 0.5, 0.25)
+#: What a length is covered by in one round, how fast weights shrink, and how much they count beside the length: less than
+#: one token a sequence, so that full patterns are priced first and weights decide among them.
+SHARE, RATE, NUDGE = 0.1, 2.0, 4e-4
+#: Room, as a share of the capacity, that a pattern of the program may leave. Where the first needs more sequences than the bound
+#: (all tokens over the capacity) and that share of it, the second and best fit alone are tried too; the plan with the fewest counts.
+WASTES = (0.001, 1.0)
 #: Pieces of one length that one task numbers.
 SLICE = 50_000
 
@@ -130,8 +133,8 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = 0, k
     return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, PIECES)
 
 
-def best_pattern(lengths: np.ndarray, values: np.ndarray, most: np.ndarray, capacity: int) -> dict[int, int]:
-    """The knapsack of greatest value: how often each index of ``lengths`` (ascending) is taken."""
+def priced(lengths: np.ndarray, values: np.ndarray, capacity: int) -> list[int]:
+    """The knapsack table: for every room, the index of ``lengths`` (ascending) that the pattern of greatest value takes there, or -1."""
     best = np.zeros(capacity + 1)
     pick = np.full(capacity + 1, -1)
     upto = np.searchsorted(lengths, np.arange(capacity + 1), "right")
@@ -143,40 +146,63 @@ def best_pattern(lengths: np.ndarray, values: np.ndarray, most: np.ndarray, capa
             best[room], pick[room] = gain[i], i
         else:
             best[room] = best[room - 1]
+    return pick.tolist()
+
+
+def filled(room: int, pick: list[int], lengths: list[int]) -> dict[int, int]:
+    """The pattern of greatest value for ``room``: how often each index is taken."""
     out: dict[int, int] = {}
-    room = capacity
     while room > 0:
-        i = int(pick[room])
+        i = pick[room]
         if i < 0:
             room -= 1
-            continue
-        out[i] = out.get(i, 0) + 1
-        room -= int(lengths[i])
-    return {i: min(n, int(most[i])) for i, n in out.items()}
+        else:
+            out[i] = out.get(i, 0) + 1
+            room -= lengths[i]
+    return out
 
 
-def fractional(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = ROUNDS, rate: float = RATE) -> list[tuple[dict[int, int], float]]:
-    """Patterns and how often each is used, by multiplicative weights over the lengths.
+def fractional(lengths: np.ndarray, counts: np.ndarray, capacity: int, share: float = SHARE, rate: float = RATE) -> list[tuple[dict[int, int], float]]:
+    """Patterns and how often each is used, by multiplicative weights over the lengths, until every length is covered.
 
-    The weight of a length is the share of a sequence that it fills, raised a little by a factor that
-    shrinks exponentially as the length is covered, so that full patterns are priced first and among
-    these the ones whose lengths are least covered.
+    A length is worth the room it takes, raised by a weight that shrinks exponentially as the length is covered. One
+    knapsack table a round prices the best pattern around every length; the lengths covered least use theirs for a
+    ``share`` of their pieces (one piece at least). Patterns that need more of a length than is left wait for the next prices.
     """
-    factor = np.ones(len(lengths))
     left = counts.astype(float)
     found: dict[tuple, float] = {}
-    for _ in range(rounds):
+    goal = 0.0
+    while True:  # a round uses up a length, or a share of one
         open_ = np.flatnonzero(left >= 1)
         if not len(open_):
             break
-        value = lengths[open_] * (1 + NUDGE * factor[open_])
-        pattern = best_pattern(lengths[open_], value, np.floor(left[open_]), capacity)
-        i, n = open_[list(pattern)], np.array(list(pattern.values()))
-        step = float((left[i] / n).min())
-        left[i] -= step * n
-        key = tuple(sorted(zip(i.tolist(), n.tolist(), strict=True)))
-        found[key] = found.get(key, 0) + step
-        factor[i] *= np.exp(-rate * step * n / counts[i])
+        covered = 1 - left[open_] / counts[open_]
+        goal = max(goal, covered.min()) + share
+        pick = priced(lengths[open_], lengths[open_] * (1 + NUDGE * np.exp(-rate * covered)), capacity)
+        own, at = lengths[open_].tolist(), open_.tolist()
+
+        def use(pattern: dict[int, int], k: int, at: list[int] = at) -> None:
+            step = min(max(1.0, share * counts[at[k]] / pattern[k]), *(left[at[j]] / n for j, n in pattern.items()))
+            for j, n in pattern.items():
+                left[at[j]] -= step * n
+            key = tuple(sorted((at[j], n) for j, n in pattern.items()))
+            found[key] = found.get(key, 0) + step
+
+        short = None
+        waits = True
+        for k in reversed(np.flatnonzero(covered < goal).tolist()):
+            if left[at[k]] < 1 or 1 - left[at[k]] / counts[at[k]] >= goal:
+                continue
+            pattern = filled(capacity - own[k], pick, own)
+            pattern[k] = pattern.get(k, 0) + 1
+            if all(left[at[j]] >= n for j, n in pattern.items()):
+                use(pattern, k)
+                waits = False
+            elif short is None:
+                short = pattern, k
+        if waits and short:  # no pattern can be had whole
+            pattern, k = short
+            use({j: min(n, math.floor(left[at[j]])) for j, n in pattern.items() if left[at[j]] >= 1}, k)
     return [(dict(p), x) for p, x in found.items()]
 
 
@@ -212,17 +238,26 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...
     return [x for group in rooms for x in group]
 
 
-def rounded(lengths: list[int], patterns: list[tuple[dict[int, int], float]], counts: dict[int, int], share: float, capacity: int) -> list[tuple[list[int], int]]:
-    """Whole numbers of patterns: ``share`` of the fractional solution rounded down, best fit for the rest."""
-    left = dict(counts)
-    out = []
-    for pattern, times in patterns:
-        k = min(math.floor(share * times), *(left[lengths[i]] // n for i, n in pattern.items()))
-        if k > 0:
-            out.append(([lengths[i] for i, n in sorted(pattern.items(), reverse=True) for _ in range(n)], k))
-            for i, n in pattern.items():
-                left[lengths[i]] -= k * n
-    return out + [(list(pattern), times) for pattern, times in best_fit(left, capacity)]
+def rounded(counts: dict[int, int], capacity: int, waste: int) -> tuple[list[tuple[list[int], int]], dict[int, int]]:
+    """Whole numbers of patterns, and the counts that they leave.
+
+    The fractional solution is rounded down, and the program solved again for what that leaves, as long as this places a
+    tenth of it. Patterns that leave more room than ``waste`` are not used.
+    """
+    left, out = dict(counts), []
+    while left:
+        lengths, before = sorted(left), sum(left.values())
+        for pattern, times in fractional(np.array(lengths, np.int64), np.array([left[n] for n in lengths]), capacity):
+            room = capacity - sum(lengths[i] * n for i, n in pattern.items())
+            k = min(math.floor(times + 1e-9), *(left[lengths[i]] // n for i, n in pattern.items()))
+            if k > 0 and room <= waste:
+                out.append(([lengths[i] for i, n in sorted(pattern.items(), reverse=True) for _ in range(n)], k))
+                for i, n in pattern.items():
+                    left[lengths[i]] -= k * n
+        left = {n: c for n, c in left.items() if c}
+        if 10 * (before - sum(left.values())) < before:
+            break
+    return out, left
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[int, int, int, int, int]], int]:
@@ -230,13 +265,17 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[i
     counts = {n: c for n, c in counts.items() if c > 0}
     if not counts:
         return [], 0
-    lengths = sorted(counts)
-    patterns = fractional(np.array(lengths, np.int64), np.array([counts[n] for n in lengths]), capacity)
-    tries = [rounded(lengths, patterns, counts, share, capacity) for share in SHARES]
+    bound = -(-sum(n * c for n, c in counts.items()) // capacity)
+    whole: list[list[tuple[list[int], int]]] = []
+    for waste in (*WASTES, None):
+        out, left = ([], counts) if waste is None else rounded(counts, capacity, round(capacity * waste))
+        whole.append(out + [(list(pattern), times) for pattern, times in best_fit(left, capacity)])
+        if sum(k for _, k in whole[-1]) <= bound * (1 + WASTES[0]):
+            break
     rank = dict.fromkeys(counts, 0)
     rows: list[tuple[int, int, int, int, int]] = []
     sequences = 0
-    for pattern, times in min(tries, key=lambda found: sum(k for _, k in found)):
+    for pattern, times in min(whole, key=lambda found: sum(k for _, k in found)):
         offset = 0
         for n in pattern:
             rows.append((n, rank[n], times, sequences, offset))
