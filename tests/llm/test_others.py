@@ -188,6 +188,33 @@ def test_a_stray_dimension_changes_no_other_search(spark):
     assert recall_of(plain, x)[0] < 1
 
 
+def test_few_vectors_are_hashed_like_many(spark):
+    x = np.random.default_rng(6).normal(size=(900, 64))
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    far = np.random.default_rng(7).normal(size=(8000, 64))
+    far *= 0.99 / np.sqrt((far * far).sum(1))[:, None]
+    search = lambda v: neighbours.nearest(
+        spark.createDataFrame([(i, e.tolist()) for i, e in enumerate(v)], "vec_id long, embedding array<double>"), (F.col("vec_id") % 100 == 0) & (F.col("vec_id") < 900), tables=2, probes=12
+    ).toPandas()
+    few, many = search(x), search(np.concatenate([x, far]))
+    score = {(q, v): s for q, v, s in zip(few.query_id, few.vec_id, few.score, strict=True)}
+    least = many.groupby("query_id").score.min()
+    old = many[many.vec_id < 900]
+    assert len(old) and all((q, v) in score for q, v in zip(old.query_id, old.vec_id, strict=True))
+    kept = {(q, v) for q, v in zip(old.query_id, old.vec_id, strict=True)}
+    assert all(k in kept for k, s in score.items() if s > least[k[0]])
+    assert 0 < recall_of(few, x)[0] < 1
+
+
+def test_recall_on_few_vectors(spark):
+    for n, d in ((500, 64), (2000, 64)):
+        x = np.random.default_rng(n).normal(size=(n, d))
+        x /= np.sqrt((x * x).sum(1))[:, None]
+        vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+        recall, least = recall_of(neighbours.nearest(vectors, F.col("vec_id") % 20 == 0).toPandas(), x)
+        assert recall >= 0.9 and least == 20
+
+
 def test_shared_phrases_and_copies_keep_their_text(spark):
     rnd = random.Random(8)
     own = lambda n: " ".join(rnd.choice("abcdefgh") + str(rnd.randrange(10**6)) for _ in range(n))

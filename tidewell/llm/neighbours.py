@@ -5,14 +5,14 @@ squeeze the others together. The vectors of a range are brought to the length of
 coordinate (so that the largest inner product is the nearest), padded to a power of two and rotated by
 three rounds of random signs and a fast Hadamard transform. A table's bucket is the signed axis nearest to
 the rotated vector: twice the dimension buckets in each of several independent tables. A query probes the
-``probes`` nearest axes of each table in every range. A range too small for a query to expect MEET vectors
-under its probes is searched whole, without hashing. A query that comes out with fewer than ``k`` rows is
-compared with all vectors of its dimension.
+``probes`` nearest axes of each table in every range, however many vectors the table or the range has. A query
+that comes out with fewer than ``k`` rows is compared with all vectors of its dimension. Only a caller who gives
+``meet`` has ranges searched whole: those where a query expects fewer than ``meet`` vectors under its probes.
 Query rows and vectors meet in a shuffle on (dimension, range, table, bucket), cut into blocks of at most about
 BLOCK rows of either, so that a bucket of any size spreads over tasks. Inside a block numpy finds the
 best of every query; candidate pairs are never written out. What blocks return is merged by Spark.
 
-The index needs no training. Whether a range is searched whole depends on its own size and dimension alone.
+The index needs no training.
 
 Result: up to ``k`` rows for each query row, ranked by inner product in double precision, ties to the
 smaller vec_id. A query's own vec_id is no candidate. Rows with a NULL vec_id and vectors that are NULL,
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from tidewell.llm.stored import stored
 
-NEAREST, TABLES, PROBES, MEET, BLOCK, SEED = 20, 10, 14, 400, 4096, 20240607
+NEAREST, TABLES, PROBES, BLOCK, SEED = 20, 14, 16, 4096, 20240607
 RATIO = 1.25
 BUCKET = ("dim", "range", "table", "bucket")
 KEYS = (*BUCKET, "v_block", "q_block")
@@ -172,7 +172,7 @@ def nearest(
     k: int = NEAREST,
     tables: int = TABLES,
     probes: int = PROBES,
-    meet: int = MEET,
+    meet: int = 0,
     block: int = BLOCK,
     seed: int = SEED,
 ) -> DataFrame:
