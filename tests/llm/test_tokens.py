@@ -3,11 +3,12 @@
 import hashlib
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -59,6 +60,22 @@ def test_word_tokens_like_the_library(sf_dir):
         assert np.frombuffer(own.of(text.encode()), "<u4").tolist() == want.ids
 
 
+def test_byte_pieces_of_a_group_are_merged_once(sf_dir):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, own = Tokenizer.from_file(path), byte_bpe.Codec(path, kept=2)
+    special = next(iter(own.special))
+    some = ["", " ", "a", " zqxjk  zqxjk vbnwq ", f"zqxjk vbnwq{special} vbnwq", "x\n\ny \n zqxjk", "vbnwq zqxjk vbnwq zqxjk plmvt qqjzx"] * 3
+    for part in (some, [""], [], [" a "]):
+        found = own.encode_each(pa.array(part, pa.string()))
+        assert [np.frombuffer(x, "<i4").tolist() for x in found] == [library.encode(t, add_special_tokens=False).ids for t in part]
+    assert own.encode_each(pa.array(some).slice(2, 9)) == own.encode_each(pa.array(some))[2:11]
+    merged, merge = Counter(), own.merge
+    own = byte_bpe.Codec(path, kept=2)
+    own.merge = lambda piece: merged.update([piece]) or merge(piece)
+    own.encode_each(pa.array(["zqxjk vbnwq plmvt", "plmvt qqjzx vbnwq", "zqxjk qqjzx plmvt"]))
+    assert merged and max(merged.values()) == 1
+
+
 ODD = [(1, None, 9), (1, None, 9), (2, "", 9), (None, "a b", 9), (3, "  x ", 9), (4, "word " * 9000, 9)]
 
 

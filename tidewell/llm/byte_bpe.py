@@ -20,14 +20,17 @@ from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.kept import Kept, in_worker, trim
+from tidewell.llm.kept import Kept, in_worker, laid, trim
 
 #: Pieces, and words with the space before them, kept in each of two generations.
-KEPT = 110_000
+KEPT = 200_000
+#: Texts whose words are looked up together.
+TOGETHER = 512
 #: Fixed value: how the byte-level pre-tokenizer cuts texts.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
 _ODD = re.compile(r" (?:\s|$)")
@@ -66,8 +69,8 @@ class Codec:
         """Ids of one piece."""
         ids = [self.single[b] for b in piece]
         n = len(ids)
-        ranks, merged = self.ranks, self.merged
-        heap = [ranks[pair] * n + i for i, pair in enumerate(zip(ids, ids[1:])) if pair in ranks]
+        rank_of, merged = self.ranks.get, self.merged
+        heap = [rank * n + i for i, rank in enumerate(map(rank_of, zip(ids, ids[1:]))) if rank is not None]
         if not heap:
             return ids
         heapq.heapify(heap)
@@ -82,27 +85,32 @@ class Codec:
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                if (new, ids[k]) in ranks:
-                    heapq.heappush(heap, ranks[new, ids[k]] * n + i)
+                rank = rank_of((new, ids[k]))
+                if rank is not None:
+                    heapq.heappush(heap, rank * n + i)
             h = before[i]
-            if h >= 0 and (ids[h], new) in ranks:
-                heapq.heappush(heap, ranks[ids[h], new] * n + h)
+            if h >= 0:
+                rank = rank_of((ids[h], new))
+                if rank is not None:
+                    heapq.heappush(heap, rank * n + h)
         return [x for x in ids if x >= 0]
 
-    def _pieces(self, text: str) -> bytes:
-        found, bare = PIECES.findall(text), self.bare
-        for p in bare.lacking(found):
+    def _pieces(self, texts: list[str]) -> list[bytes]:
+        found, bare = [PIECES.findall(t) for t in texts], self.bare
+        for p in bare.lacking([p for f in found for p in f]):
             bare[p] = array("i", self.merge(p.encode())).tobytes()
-        return b"".join(map(bare.__getitem__, found))
+        return [b"".join(map(bare.__getitem__, f)) for f in found]
+
+    def _learn(self, words: list[str]) -> None:
+        new = self.spaced.lacking(words)
+        self.spaced.update(zip(new, self._pieces([" " + w for w in new]), strict=True))
 
     def _part(self, text: str) -> bytes:
         if _ODD.search(text):  # white space that the next piece does not take whole
-            return self._pieces(text)
+            return self._pieces([text])[0]
         first, *words = text.split(" ")
-        spaced = self.spaced
-        for w in spaced.lacking(words):
-            spaced[w] = self._pieces(" " + w)
-        return (self._pieces(first) if first else b"") + b"".join(map(spaced.__getitem__, words))
+        self._learn(words)
+        return (self._pieces([first])[0] if first else b"") + b"".join(map(self.spaced.__getitem__, words))
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian 32-bit numbers."""
@@ -110,6 +118,22 @@ class Codec:
             return self._part(text)
         return b"".join(np.array([self.special[p]], "<i4").tobytes() if p in self.special else self._part(p) for p in self.cut.split(text) if p)
 
+    def encode_each(self, texts: pa.Array) -> list[bytes]:
+        """encode() for every text; each distinct word after a space is looked up once."""
+        out = [None if not _ODD.search(t) and (self.cut is None or not self.cut.search(t)) else self.encode(t) for t in texts.to_pylist()]
+        plain = np.flatnonzero([x is None for x in out])
+        words = pc.split_pattern(texts.take(pa.array(plain)), " ")
+        flat, ends = words.flatten(), words.offsets.to_numpy()
+        later = np.ones(len(flat), bool)
+        later[ends[:-1]] = False
+        coded = flat.filter(pa.array(later)).dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        self._learn(distinct)
+        rest = laid(pa.array([self.spaced[w] for w in distinct], pa.large_binary()), coded.indices, ends - np.arange(len(ends)))
+        for i, first, others in zip(plain.tolist(), self._pieces(flat.take(pa.array(ends[:-1])).to_pylist()), rest, strict=True):
+            out[i] = first + others
+        return out
+
     def decode(self, ids: np.ndarray | list[int]) -> str:
         ids = np.asarray(ids, np.int64)
         known = (ids >= 0) & (ids < len(self.table))
@@ -133,7 +157,7 @@ def encode(docs: DataFrame, path: str, column: str = "text", into: str = "ids")
     @F.arrow_udf("array<int>")
     def ids(texts: pa.Array) -> pa.Array:
         one = codec(path)
-        return as_lists([one.encode(t) for t in texts.to_pylist()])
+        return as_lists([x for at in range(0, len(texts), TOGETHER) for x in one.encode_each(texts.slice(at, TOGETHER))])
 
     return docs.withColumn(into, ids(F.coalesce(F.col(column), F.lit(""))))
 
@@ -156,8 +180,8 @@ def round_trip(docs: DataFrame, path: str, column: str = "text", ids: str = "ids
     @F.arrow_udf("struct<ids: array<int>, decoded: string>")
     def both(texts: pa.Array) -> pa.Array:
         one, raw, back = codec(path), [], []
-        for at in range(0, len(texts), 512):
-            found = [one.encode(t) for t in texts.slice(at, 512).to_pylist()]
+        for at in range(0, len(texts), TOGETHER):
+            found = one.encode_each(texts.slice(at, TOGETHER))
             back += [one.decode(np.frombuffer(p, "<i4")) for p in found]
             raw += found
         out = pa.StructArray.from_arrays([as_lists(raw), pa.array(back, pa.string())], names=["ids", "decoded"])

@@ -5,7 +5,9 @@ from __future__ import annotations
 import ctypes
 from collections.abc import Callable, Collection, Hashable
 from functools import lru_cache
+from itertools import pairwise
 
+import numpy as np
 import pyarrow as pa
 
 
@@ -31,6 +33,16 @@ class Kept(dict):
         return out
 
 
+def laid(values: pa.Array, at: pa.Array, ends: np.ndarray) -> list[bytes]:
+    """The large_binary values at the places ``at`` one after the other, cut where ``ends`` (from 0) tells."""
+    found = values.take(at)
+    _, offsets, data = found.buffers()
+    if data is None or not len(found):
+        return [b""] * (len(ends) - 1)
+    stops = np.frombuffer(offsets, np.int64)[ends].tolist()
+    return [data.slice(a, b - a).to_pybytes() for a, b in pairwise(stops)]
+
+
 _MADE: list = []
 
 
