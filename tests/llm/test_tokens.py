@@ -76,6 +76,18 @@ def test_byte_pieces_of_a_group_are_merged_once(sf_dir):
     assert merged and max(merged.values()) == 1
 
 
+def test_words_of_a_group_are_put_together_once():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, own = Tokenizer.from_file(path), packing.Tokens(path, kept=2)
+    made, many = Counter(), own.many
+    own.many = lambda letters: made.update(letters) or many(letters)
+    some = ["Zqxjk, zqxjk! ZQXJK vbnwq.", "", " \t", "vbnwq;; Éa éA İx x×y a-b zqxjk", "vbnwq\x1cq don't ẞ 1.5, Zqxjk?"]
+    found = own.of_each(pa.array(some))
+    assert [np.frombuffer(x, "<u4").tolist() for x in found] == [library.encode(t, add_special_tokens=False).ids for t in some]
+    assert made["zqxjk"] == made["vbnwq"] == made["éa"] == 1
+    assert own.of_each(pa.array(some).slice(1, 3)) == found[1:4] and own.of_each(pa.array([], pa.string())) == []
+
+
 ODD = [(1, None, 9), (1, None, 9), (2, "", 9), (None, "a b", 9), (3, "  x ", 9), (4, "word " * 9000, 9)]
 
 

@@ -20,23 +20,23 @@ from __future__ import annotations
 
 import math
 import os
-import re
 from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.llm.byte_bpe import byte_letters
-from tidewell.llm.kept import Kept, in_worker
+from tidewell.llm.kept import Kept, in_worker, laid
 from tidewell.llm.words import groups, slices
 
 CAPACITY = 2048
-KEPT = 120_000
-#: A word of letters below U+0300 (no normalisation applies, one lower-case letter each) and the punctuation after it.
-_LETTERS = re.compile("([A-Za-zÀ-ÖØ-öø-įı-ʯ]+)([.,;:!?]*)")
+KEPT = 150_000
+#: Letters below U+0300 (no normalisation applies, one lower-case letter each), and the punctuation that may follow them in a word.
+_LETTERS, _MARKS = "[A-Za-zÀ-ÖØ-öø-įı-ʯ]+", ".,;:!?"
 #: What a length is covered by in one round, how fast weights shrink, and how much they count beside the length: less than
 #: one token a sequence, so that full patterns are priced first and weights decide among them.
 SHARE, RATE, NUDGE = 0.1, 2.0, 4e-4
@@ -73,28 +73,36 @@ class Tokens:
         raw = (w if w.isascii() else "".join(spelled[b] for b in w.encode()) for w in letters)
         return [array("I", [t.id for t in tokenize(w)]).tobytes() for w in raw]
 
-    def learn(self, words: list[bytes]) -> None:
-        new = self.words.lacking(words)
-        if not new:
-            return
-        cut = {w: _LETTERS.fullmatch(w.decode()) for w in new}
-        lower = {w: m[1].lower() for w, m in cut.items() if m}
-        parts = self.parts.lacking(lower.values())
-        self.parts.update(zip(parts, self.many(parts), strict=True))
-        whole = [w.decode() for w, m in cut.items() if not m]
-        ends = sorted({m[2] for m in cut.values() if m and m[2]})
-        other = dict(zip(whole + ends, (np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch(whole + ends, add_special_tokens=False)), strict=True))
-        for w, m in cut.items():
-            self.words[w] = self.parts[lower[w]] + (other[m[2]] if m[2] else b"") if m else other[w.decode()]
+    def whole(self, words: list[str]) -> list[bytes]:
+        """Ids of any words."""
+        return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch(words, add_special_tokens=False)]
 
     def forget(self) -> None:
         """Gives up what was not used lately, as the worker may run other stages next."""
         self.words.old, self.parts.old = {}, {}
 
     def of(self, text: bytes) -> bytes:
-        words = text.split()
-        self.learn(words)
-        return b"".join(map(self.words.__getitem__, words))
+        return self.of_each(pa.array([text.decode()]))[0]
+
+    def of_each(self, texts: pa.Array) -> list[bytes]:
+        """Ids of every text; each distinct word is put together once."""
+        words = pc.ascii_split_whitespace(texts)
+        coded = words.flatten().dictionary_encode()
+        return laid(self.of_words(coded.dictionary), coded.indices, words.offsets.to_numpy())
+
+    def of_words(self, words: pa.Array) -> pa.Array:
+        """Ids of words without white space: those of their letters, then those of their punctuation or of the whole word."""
+        cores = pc.utf8_rtrim(words, _MARKS)
+        lower = pc.utf8_lower(pc.if_else(pc.match_substring_regex(cores, f"^{_LETTERS}$"), cores, ""))
+        rest = pc.replace_substring_regex(words, f"^{_LETTERS}([{_MARKS}]*)$", r"\1")
+        found = []
+        for kept, strings, make in ((self.parts, lower, self.many), (self.words, rest, self.whole)):
+            coded = strings.dictionary_encode()
+            distinct = coded.dictionary.to_pylist()
+            new = kept.lacking(distinct)
+            kept.update(zip(new, make(new), strict=True))
+            found.append(pa.array([kept[w] for w in distinct], pa.large_binary()).take(coded.indices))
+        return pc.binary_join_element_wise(*found, pa.scalar(b"", pa.large_binary()))
 
 
 @in_worker
@@ -111,14 +119,12 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = 0, k
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = tokens(path, kept)
-        encode = one.of
         last = np.array([end], "<u4").tobytes()
         for batch in slices(batches):
-            texts = [t.as_buffer().to_pybytes() for t in batch.column(1)]
-            for a, b in groups(texts, together):
+            for a, b in groups([t.as_buffer() for t in batch.column(1)], together):
                 rows, number, ids = [], [], []
-                for i in range(a, b):
-                    found = encode(texts[i]) + last
+                for i, found in enumerate(one.of_each(batch.column(1).slice(a, b - a)), a):
+                    found += last
                     for piece, at in enumerate(range(0, len(found), 4 * capacity)):
                         rows.append(i)
                         number.append(piece)
