@@ -2,9 +2,13 @@
 
 import hashlib
 from collections import Counter
+from types import SimpleNamespace
+from unittest.mock import MagicMock
 
 import duckdb
+import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import sentencepiece
 from tokenizers import Tokenizer
 
@@ -100,3 +104,25 @@ def test_only_suffixes_are_pairs():
     assert pairs.tolist() == [0, 1, 2, 3, 4, 5]
     both = alignment.codes(A, B)
     assert len(both.pairs) < 1_000_000
+
+
+def test_the_second_pass_holds_few_rows_and_no_pieces(spark, monkeypatch):
+    links = [[i % 7, 3, i % 7] if i % 5 else [] for i in range(3000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(3000)), pa.array(links, pa.list_(pa.int32()))], names=["doc_id", "links"]).slice(10)
+    links = links[10:]
+    count = Counter(x for of_text in links for x in of_text)
+    found = MagicMock(columns=["doc_id", "links"], schema=[])
+    alignment.codes(A, B)
+    alignment.link_counts(found)
+    counted, = found.select.return_value.mapInArrow.call_args.args[0](iter([batch]))
+    assert alignment.codes.cache_info().currsize == 0
+    assert dict(zip(*counted.to_pydict().values(), strict=True)) == count
+
+    found.sparkSession.sparkContext.broadcast = lambda value: SimpleNamespace(value=value)
+    monkeypatch.setattr(alignment, "link_counts", lambda _: SimpleNamespace(toPandas=lambda: pd.DataFrame({"pair": list(count), "n": list(count.values())})))
+    alignment.scored(found, A, B)
+    out = list(found.mapInArrow.call_args.args[0](iter([batch])))
+    assert alignment.codes.cache_info().currsize == 0
+    assert max(b.num_rows for b in out) <= alignment.LOOKED_UP
+    rows = pa.Table.from_batches(out).to_pylist()
+    assert [(r["doc_id"], r["n_links"], r["count_sum"]) for r in rows] == [(i, len(x), sum(map(count.get, x))) for i, x in enumerate(links, 10)]

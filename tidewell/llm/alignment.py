@@ -32,13 +32,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.llm.byte_bpe import Codec, codec
-from tidewell.llm.kept import Kept, in_worker
+from tidewell.llm.kept import Kept, give_up, in_worker
 from tidewell.llm.stored import stored_table
 from tidewell.llm.words import slices
 
 MARK = "▁"
-#: Pieces kept in each of two generations of the table.
-KEPT = 100_000
+#: Pieces kept in each of two generations of the table, and texts taken out of a batch at once.
+KEPT, ROWS = 50_000, 256
+#: Rows whose links are looked up together.
+LOOKED_UP = 512
 #: New pieces aligned at once, and texts of about this many bytes taken together.
 AT_ONCE, BYTES = 8192, 1 << 21
 _CUT = re.compile(r"(?<! ) (?=\S)")
@@ -205,7 +207,7 @@ def aligned(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = codes(path_a, path_b)
-        for batch in slices(batches, 512):
+        for batch in slices(batches, ROWS):
             size = np.cumsum(pc.binary_length(batch.column("text")).to_numpy().astype(np.int64))
             cuts = [0, *(np.flatnonzero(np.diff(size // BYTES)) + 1).tolist(), batch.num_rows]
             for at, to in pairwise(cuts):
@@ -232,8 +234,9 @@ def link_counts(found: DataFrame) -> DataFrame:
     """(pair, n): how often each pair is linked in all rows of aligned(); added up in each task before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_up()  # the pieces of the first pass
         total = np.zeros(0, np.int64)
-        for batch in batches:
+        for batch in slices(batches, LOOKED_UP):
             now = np.bincount(batch.column("links").flatten().to_numpy(), minlength=len(total))
             now[: len(total)] += total
             total = now
@@ -259,7 +262,8 @@ def scored(found: DataFrame, path_a: str, path_b: str) -> DataFrame:
     rest = [c for c in found.columns if c != "links"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        give_up()
+        for batch in slices(batches, LOOKED_UP):
             links = batch.column("links")
             ends = links.offsets.to_numpy()
             flat = links.values.to_numpy()[ends[0] : ends[-1]]
