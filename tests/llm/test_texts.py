@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from tests.llm import brute
-from tidewell.llm import licenses, ngram_join, pairing, quality, queries, substrings
+from tidewell.llm import licenses, ngram_join, pairing, quality, queries, substrings, words
 from tidewell.llm.words import count_words, name_texts, spans
 
 SCHEMA = "doc_id long, text string"
@@ -55,6 +55,16 @@ def test_words_longer_than_a_block(monkeypatch):
     assert names[1] == spans(b"tail")[0][0] and len(set(names.tolist())) == 3
 
 
+def test_names_do_not_depend_on_the_block(monkeypatch):
+    assert words._UP.nbytes + words._DOWN.nbytes < 1 << 23  # every worker holds these
+    text = b" one two\tthree " * 50 + b"z" * 1000 + b" end"
+    want = spans(text)
+    for block in (7, 64, 1 << 12):
+        monkeypatch.setattr(words, "BLOCK", block)
+        for got, whole in zip(spans(text), want, strict=True):
+            assert got.tolist() == whole.tolist()
+
+
 @pytest.mark.parametrize("rows", [variants(1), ODD, []], ids=["variants", "odd", "empty"])
 def test_near_copies(spark, rows):
     docs = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "'x' AS class", "1 AS n", "2L AS component")

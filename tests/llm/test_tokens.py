@@ -162,6 +162,14 @@ def test_numbering_splits_a_common_length(spark, monkeypatch):
     assert bound <= whole(packing.pack(rows.drop("slice"), 2048).collect(), 2048) <= bound + 10
 
 
+def test_slices_are_asked_for_once_a_stage(spark):
+    rows = spark.createDataFrame([(i, 0, 0, n) for i, n in enumerate([5, 5, 2000, 48, 7])], "doc_id long, piece int, start long, length long")
+    packed = packing.pack(rows.repartition(3), 2048)
+    # one for the sizes, one for the numbering, and the places; a second call in a stage takes a second Python worker for every core
+    assert packed._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 3
+    assert whole(packed.collect(), 2048) == 2
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_plan_needs_few_sequences(seed):
     rnd = random.Random(seed)

@@ -309,6 +309,9 @@ def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     def slices_of(lengths: pa.Array) -> pa.Array:
         return pa.array(number[lengths.to_numpy()], pa.int32())
 
+    # else the join's test for missing keys is pushed below the shuffle, where it calls this again in Python workers of its own
+    slices_of = slices_of.asNondeterministic()
+
     @F.arrow_udf("struct<sequence_id: long, offset: long>")
     def place(lengths: pa.Array, ranks: pa.Array) -> pa.Array:
         n, rank = lengths.to_numpy(), ranks.to_numpy()
